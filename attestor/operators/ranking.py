@@ -239,7 +239,7 @@ def priority_queue(rollup: DataFrame, members: DataFrame, limit: int = 40) -> Da
 
 
 def cap_disclosures(disclosures: DataFrame, per_supplier: int = 8) -> DataFrame:
-    """Best disclosures of each supplier: dated, then awarded, then newest."""
+    """Best disclosures of each supplier: dated, then awarded, then oldest."""
     key = F.lower(F.trim(F.regexp_replace("supplier_name", r"\s+", " ")))
     unique = disclosures.withColumn("supplier_key", key).dropDuplicates(
         ["supplier_key", "source_url", "tender_number", "bee_level", "award_date"]
@@ -247,7 +247,7 @@ def cap_disclosures(disclosures: DataFrame, per_supplier: int = 8) -> DataFrame:
     order = [
         F.col("award_date").isNull(),
         F.when(F.col("outcome") == "awarded", 0).otherwise(1),
-        F.desc_nulls_last("award_date"),
+        F.asc_nulls_last("award_date"),
         F.asc_nulls_last("tender_number"),
         F.asc("source_url"),
         F.asc_nulls_last("bee_level"),

@@ -318,7 +318,7 @@ def official_domain_sources(t):
     """with named as (select c_custkey ordinal, case c_custkey%3 when 0 then 'Firm '||c_custkey||' Trading' when 1 then 'Old Firm '||c_custkey else 'THE FIRM '||c_custkey||' bank ltd' end nm from customer),
        inp as (select ordinal, nm, trim(regexp_replace(regexp_replace(lower(nm),'\\b(the|ltd)\\b',' ','g'),'\\s+',' ','g')) k from named),
        byname as (select i.ordinal, e.*, row_number() over (partition by i.ordinal order by visibility<>'public', canonical_name, id) rn from inp i join entities e on e.merged_into_id is null and e.normalized_name=i.k),
-       byalias as (select i.ordinal, e.*, row_number() over (partition by i.ordinal order by visibility<>'public', canonical_name, id) rn from inp i join entity_aliases a on a.normalized_alias=i.k join entities e on e.id=a.entity_id and e.merged_into_id is null)
+       byalias as (select i.ordinal, e.*, row_number() over (partition by i.ordinal order by e.visibility<>'public', e.canonical_name, e.id) rn from inp i join entity_aliases a on a.normalized_alias=i.k join entities e on e.id=a.entity_id and e.merged_into_id is null)
        select i.ordinal, i.nm as name, coalesce(n.id,a.id) entity_id, coalesce(n.canonical_name,a.canonical_name) canonical_name,
          case when coalesce(n.id,a.id) is null then 'missing' when coalesce(n.visibility,a.visibility)<>'public' then 'hidden' else 'present' end state
        from inp i left join byname n on n.ordinal=i.ordinal and n.rn=1 left join byalias a on a.ordinal=i.ordinal and a.rn=1""",
