@@ -49,6 +49,16 @@ def any_where(condition: Column) -> Column:
     return F.coalesce(F.max(F.coalesce(condition, F.lit(False))), F.lit(False))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    A plain projection would be copied into every later filter and condition
+    that reads it; the output of a generator is not.  Use it for long text
+    expressions that many others build on.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group.
 

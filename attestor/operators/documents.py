@@ -54,7 +54,9 @@ def changed_documents(current: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Anchors of each page with absolute URL and text, in page order."""
-    return pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(DOC.anchors(F.col("html"))).alias("position", "a")).select(
+    # An outer explode, so that the anchors are not read twice to infer a filter.
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode_outer(DOC.anchors(F.col("html"))).alias("position", "a"))
+    return found.filter(F.col("a").isNotNull()).select(
         "page_id", "page_url", "position", escape_url(DOC.resolve_link(F.col("a.href"), F.col("page_url"))).alias("url"), F.col("a.text").alias("text")
     )
 

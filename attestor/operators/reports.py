@@ -258,7 +258,7 @@ def rejection_summary(candidates: DataFrame) -> DataFrame:
 
 
 def rejection_reasons(candidates: DataFrame) -> DataFrame:
-    return candidates.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return candidates.select(F.explode_outer("reasons").alias("reason")).filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def enrichment_rollup(results: DataFrame) -> DataFrame:
