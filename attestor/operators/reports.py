@@ -30,7 +30,7 @@ def public_stats(tables, clock: Clock, years: list[int]) -> DataFrame:
     verifiers = tables["verification_agencies"].agg(count_where(F.col("visibility") == "public").alias("verifiers"))
     events = tables["publication_events"].agg(
         count_where(
-            F.col("published_at") >= F.lit(clock.events_as_of).cast("timestamp") - F.expr("INTERVAL 30 DAYS")
+            F.col("published_at") >= F.lit(clock.events_as_of).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS")
         ).alias("updated_30d")
     )
     flags = live.select("id").join(category_flags(tables, clock), "id", "left")
@@ -154,7 +154,7 @@ def dashboard_counts(tables, flags: DataFrame) -> DataFrame:
 
 def activity_last_days(tables, clock: Clock, days: int = 7) -> DataFrame:
     """Six activity counts over the last days of each table's clock."""
-    since = F.lit(clock.events_as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
+    since = F.lit(clock.events_as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
     day = F.date_sub(F.lit(clock.as_of), days)
     runs = tables["extraction_runs"].agg(
         count_where((F.col("started_at") >= day) & F.col("success")).alias("extracted"),

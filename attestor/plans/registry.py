@@ -22,7 +22,7 @@ def portable(df: DataFrame) -> DataFrame:
         col, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, T.DateType):
             col = F.date_format(col, "yyyy-MM-dd")
-        elif isinstance(kind, T.TimestampType):
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
             col = F.array_join(col, "|")

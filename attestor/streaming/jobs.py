@@ -60,7 +60,7 @@ def stream_rate_limit(submissions: DataFrame, limit: int = 8, watermark: str = "
         yield pd.DataFrame({"id": rows["id"], "ip_hash": key[0], "accepted": accepted})
 
     return (
-        submissions.select("id", "ip_hash", "created_at")
+        submissions.select("id", "ip_hash", F.col("created_at").cast("timestamp").alias("created_at"))
         .withWatermark("created_at", watermark)
         .groupBy("ip_hash")
         .applyInPandasWithState(
@@ -111,7 +111,8 @@ def stream_source_changes(checks: DataFrame) -> DataFrame:
 
 def publication_counts(events: DataFrame, watermark: str | None = None) -> DataFrame:
     """Events per day and type; with a watermark this is the streaming form."""
-    rows = events.withWatermark("published_at", watermark) if watermark else events
+    rows = events.withColumn("published_at", F.col("published_at").cast("timestamp"))
+    rows = rows.withWatermark("published_at", watermark) if watermark else rows
     return rows.groupBy(F.window("published_at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(
         F.to_date("w.start").alias("day"), "event_type", "n"
     )
@@ -125,7 +126,7 @@ def dedupe_evidence(documents: DataFrame, stored: DataFrame) -> DataFrame:
 
 def stream_dedupe_evidence(documents: DataFrame, event_time: str, watermark: str = "1 day") -> DataFrame:
     """Streaming form for copies that arrive within the watermark of each other."""
-    return documents.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["content_hash"])
+    return documents.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def write_new_evidence(documents: DataFrame, path: str, checkpoint: str):
