@@ -161,12 +161,11 @@ def _parts(y: Column, m: Column | None = None, d: Column | None = None) -> Colum
     return F.when(year.between(1994, 2100), made)
 
 
-def explicit_date(text: Column) -> Column:
-    """Struct (y, m, d) of the first explicit month date in a text, else null.
+def explicit_date(blob: Column) -> Column:
+    """Struct (y, m, d) of the first explicit month date in a decoded text, else null.
 
     Hyphens are separators here, so an ISO day falls through to its year.
     """
-    blob = decode_blob(text)
     m = MONTH_TOKEN
     forms = [
         (rf"(?i)\b(\d{{1,2}})\s+({m})\s+(20\d{{2}})\b", 3, 2, 1),
@@ -203,13 +202,19 @@ def stated_year(text: Column) -> Column:
     return F.try_element_at(years, F.lit(-1)).cast("int")
 
 
-def inferred_parts(raw: Column, title: Column, url: Column) -> Column:
-    """Date stated by the source itself: raw text, title, then file name."""
+def date_blobs(raw: Column, title: Column, url: Column) -> dict[str, Column]:
+    """The texts a date is looked for in: decoded raw text, title and file name."""
     t, u, r = (F.coalesce(c, F.lit("")) for c in (title, url, raw))
-    name = F.when(u == "", "").otherwise(file_of_url(u))
+    return {"_raw": decode_blob(r), "_title": decode_blob(t), "_name": F.when(u == "", "").otherwise(decode_blob(file_of_url(u)))}
+
+
+def inferred_parts(title: Column, url: Column) -> Column:
+    """Date stated by the source itself, given the columns of ``date_blobs``."""
+    t, u = F.coalesce(title, F.lit("")), F.coalesce(url, F.lit(""))
+    name = F.col("_name")
     return F.coalesce(
-        explicit_date(r),
-        explicit_date(t),
+        explicit_date(F.col("_raw")),
+        explicit_date(F.col("_title")),
         explicit_date(name),
         _parts(F.coalesce(year_of_issue(t), stated_year(t))),
         _parts(F.coalesce(year_of_issue(name), stated_year(name))),

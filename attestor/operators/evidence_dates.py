@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import dates as D
 from attestor.functions import names as N
-from attestor.operators.common import any_where, count_where, is_status, is_valid, linked_evidence, live_entity, top_per_group
+from attestor.operators.common import any_where, computed, count_where, is_status, is_valid, linked_evidence, live_entity, top_per_group
 from attestor.operators.ranking import evidence_rank
 from attestor.schemas import COMPANY_DISCLOSURE_TYPES, DISCLOSURE_TYPES, PROCUREMENT, Clock
 
@@ -34,14 +34,16 @@ def resolve_evidence_dates(evidence: DataFrame) -> DataFrame:
     A stored date equal to an import day is ignored; an invented day is
     demoted to what the source states.
     """
-    stored = F.col("issue_date")
-    staged = evidence.withColumn(
-        "_inferred", D.inferred_parts(F.col("issue_date_raw"), F.col("title"), F.col("source_url"))
-    ).withColumn("import_day", D.is_import_day(stored, F.col("created_at"), F.col("retrieved_at"), F.col("discovered_at")))
-    chosen = D.resolve_parts(
-        F.col("_inferred"), stored, F.col("issue_date_precision"), F.col("import_day"), F.col("title"), F.col("source_url")
+    title, url, stored = F.col("title"), F.col("source_url"), F.col("issue_date")
+    blobs = computed(evidence, **D.date_blobs(F.col("issue_date_raw"), title, url))
+    staged = computed(
+        blobs,
+        _inferred=D.inferred_parts(title, url),
+        import_day=D.is_import_day(stored, F.col("created_at"), F.col("retrieved_at"), F.col("discovered_at")),
     )
-    return staged.withColumn("_chosen", chosen).withColumn("resolved", D.describe_parts(F.col("_chosen"))).drop("_inferred", "_chosen")
+    chosen = D.resolve_parts(F.col("_inferred"), stored, F.col("issue_date_precision"), F.col("import_day"), title, url)
+    staged = computed(staged, _chosen=chosen)
+    return computed(staged, resolved=D.describe_parts(F.col("_chosen"))).drop("_raw", "_title", "_name", "_inferred", "_chosen")
 
 
 def evidence_kind(clock: Clock) -> Column:

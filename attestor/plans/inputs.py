@@ -53,6 +53,16 @@ URL_TYPES = [
 URL_SCORES = [5, 0, 3, 1, 3, 1, 3, 0, 2, 0]
 
 
+def spread(t, columns: list[str]) -> DataFrame:
+    """Order keys over all tasks before text is made from them.
+
+    A small table is one file and would be one task; only the narrow key
+    columns are shuffled, never the texts.
+    """
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.raw("orders").select(*columns).repartition(n)
+
+
 def with_key(text: str, key: Column) -> Column:
     before, _, after = text.partition("{k}")
     return F.concat(F.lit(before), s(key), F.lit(after))
@@ -221,7 +231,7 @@ def agency_texts(t) -> DataFrame:
 
 def certificate_texts(t) -> DataFrame:
     """One certificate per order, modelled on real layouts, years 2017 to 2023."""
-    o = t.raw("orders")
+    o = spread(t, ["o_orderkey", "o_custkey", "o_orderdate"])
     k, d = K(ORDER), F.add_months(F.to_date("o_orderdate"), 264)
     number = F.concat(s(1990 + K("o_custkey") % 30), F.lit("/"), F.lpad(s(K("o_custkey") % 1000000), 6, "0"), F.lit("/07"))
     issue_line = pick(
@@ -281,7 +291,7 @@ def opening_registers(t) -> DataFrame:
         F.lit("Officials responsible: two"),
         F.lit("After End Bidder   Level 2"),
     )
-    return t.raw("orders").select(k.alias("document_id"), text.alias("text"))
+    return spread(t, ["o_orderkey", "o_custkey", "o_orderdate"]).select(k.alias("document_id"), text.alias("text"))
 
 
 def award_registers(t) -> DataFrame:
@@ -299,7 +309,7 @@ def award_registers(t) -> DataFrame:
         F.concat(F.lit("Awarded to Overberg "), s(c), F.lit(" Hardware (Pty) Ltd   2")),
         F.lit("Prose without any level"),
     )
-    return t.raw("orders").select(k.alias("document_id"), text.alias("text"))
+    return spread(t, ["o_orderkey", "o_custkey", "o_orderdate"]).select(k.alias("document_id"), text.alias("text"))
 
 
 def scm_reports(t) -> DataFrame:
@@ -316,7 +326,7 @@ def scm_reports(t) -> DataFrame:
         F.concat(F.lit("Tender number: Q"), s(k)),
         F.concat(F.lit("Adjudication date: "), F.date_format(d, "MMMM yyyy")),
     )
-    return t.raw("orders").select(k.alias("document_id"), text.alias("text"))
+    return spread(t, ["o_orderkey", "o_custkey", "o_orderdate"]).select(k.alias("document_id"), text.alias("text"))
 
 
 def register_pages(t) -> DataFrame:
@@ -342,7 +352,7 @@ def register_pages(t) -> DataFrame:
         F.date_format(d, "d MMMM yyyy"),
         F.lit("</td></tr><tr><td>short</td></tr></TABLE><table><tr><td>a</td></tr><tr><td>b</td></tr></table></body></html>"),
     )
-    return t.raw("orders").select(k.alias("document_id"), html.alias("html"))
+    return spread(t, ["o_orderkey", "o_custkey", "o_orderdate"]).select(k.alias("document_id"), html.alias("html"))
 
 
 def candidates(t) -> DataFrame:
@@ -356,7 +366,7 @@ def candidates(t) -> DataFrame:
         F.lit("Ltd"),
         F.lit("Supply of Kestrel Catering Pty Ltd"),
     ]
-    return t.raw("orders").select(
+    return spread(t, ["o_orderkey", "o_custkey", "o_orderdate"]).select(
         k.alias("document_id"),
         F.lit(0).alias("line_no"),
         pick(names, k).alias("supplier_name"),
