@@ -11,6 +11,7 @@ from attestor.functions import names as N
 MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 MONTH_TOKEN = "|".join(MONTH_NAMES) + "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
 NOT_STATED = "Not stated in source"
+SLASH = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
 # Sites whose stored mid-month or year-end days are known to be invented.
 MID_MONTH_SITE = r"overstrand\.gov\.za"
 YEAR_END_SITE = r"twk\.gov\.za"
@@ -52,48 +53,67 @@ def _group(text: Column, pattern: str, i: int) -> Column:
     return _some(F.regexp_extract(text, pattern, i))
 
 
-def parse_date(raw: Column, assume_dmy: bool = False) -> Column:
-    """Struct (iso, ambiguous, warning) of a text that should be one date.
+def _day_first(t: Column, assume_dmy: bool) -> tuple[Column, Column]:
+    """(is the first number the day?, could both be a month?) of ``a/b/yyyy``."""
+    a, b = (_group(t, SLASH, i).cast("int") for i in (1, 2))
+    both_small = (a <= 12) & (b <= 12)
+    day_first = F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False)
+    if assume_dmy:
+        day_first = F.coalesce(day_first, F.when(both_small, True))
+    return day_first, both_small
 
-    A day/month pair that could be read both ways stays null unless the caller
-    says the source writes the day first.
-    """
-    t = N.collapse(raw)
-    iso_form = t.rlike(r"^\d{4}-\d{2}-\d{2}$")
 
+def date_candidate(t: Column, assume_dmy: bool = False) -> Column:
+    """``yyyy-MM-dd`` spelt by a clean text; the day may still be impossible."""
     dmy = r"^(\d{1,2})[/\-\s]+([A-Za-z]{3,9})[/\-\s,]+(\d{4})$"
     mdy = r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{4})$"
     short = r"^(\d{1,2})[/\-\s]+([A-Za-z]{3,9})[/\-\s]+(\d{2})$"
-    slash = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
-
     dmy_month, mdy_month, short_month = (
         month_number(_group(t, dmy, 2)),
         month_number(_group(t, mdy, 1)),
         month_number(_group(t, short, 2)),
     )
     yy = _group(t, short, 3).cast("int")
-    a, b, y = (_group(t, slash, i).cast("int") for i in (1, 2, 3))
-    both_small = (a <= 12) & (b <= 12)
-    day_first = F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False)
-    if assume_dmy:
-        day_first = F.coalesce(day_first, F.when(both_small, True))
-
-    candidate = F.coalesce(
-        F.when(iso_form, t),
+    a, b, y = (_group(t, SLASH, i).cast("int") for i in (1, 2, 3))
+    day_first, _ = _day_first(t, assume_dmy)
+    return F.coalesce(
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t),
         F.when(dmy_month.isNotNull(), _iso(_group(t, dmy, 3), dmy_month, _group(t, dmy, 1))),
         F.when(mdy_month.isNotNull(), _iso(_group(t, mdy, 3), mdy_month, _group(t, mdy, 2))),
         F.when(short_month.isNotNull(), _iso(F.when(yy >= 80, 1900 + yy).otherwise(2000 + yy), short_month, _group(t, short, 1))),
         F.when(day_first, _iso(y, b, a)).when(~day_first, _iso(y, a, b)),
     )
-    real = candidate.try_cast("date").isNotNull() & F.substring(candidate, 1, 4).cast("int").between(1990, 2100)
-    iso = F.when(real, candidate)
+
+
+def is_real_day(candidate: Column) -> Column:
+    return F.coalesce(
+        candidate.try_cast("date").isNotNull() & F.substring(candidate, 1, 4).cast("int").between(1990, 2100), F.lit(False)
+    )
+
+
+def guessed_note(t: Column) -> Column:
+    """Warning of a clean ``dd/mm/yyyy`` text that could be read both ways."""
+    _, both_small = _day_first(t, True)
+    return F.when(
+        both_small, F.concat(F.lit('Interpreted "'), t, F.lit('" as DD/MM/YYYY (South African certificate convention).'))
+    )
+
+
+def parse_date(raw: Column, assume_dmy: bool = False) -> Column:
+    """Struct (iso, ambiguous, warning) of a text that should be one date.
+
+    A day/month pair that could be read both ways stays null unless the caller
+    says the source writes the day first.
+    """
+    t = N.collapse(raw)
+    a = _group(t, SLASH, 1)
+    candidate = date_candidate(t, assume_dmy)
+    iso = F.when(is_real_day(candidate), candidate)
     quoted = F.concat(F.lit('"'), t, F.lit('"'))
     blank = t.isNull() | (t == "")
-    guessed = F.lit(False) if not assume_dmy else F.coalesce(both_small, F.lit(False))
     warning = (
         F.when(blank, F.lit(None).cast("string"))
-        .when(iso.isNotNull() & guessed, F.concat(F.lit("Interpreted "), quoted, F.lit(" as DD/MM/YYYY (South African certificate convention).")))
-        .when(iso.isNotNull(), F.lit(None).cast("string"))
+        .when(iso.isNotNull(), guessed_note(t) if assume_dmy else F.lit(None).cast("string"))
         .when(candidate.isNotNull(), F.concat(F.lit('Impossible date "'), candidate, F.lit('".')))
         .when(a.isNotNull(), F.concat(F.lit("Ambiguous date "), quoted, F.lit(" — not guessed.")))
         .otherwise(F.concat(F.lit("Unrecognised date "), quoted, F.lit(" — left unknown.")))
@@ -102,6 +122,12 @@ def parse_date(raw: Column, assume_dmy: bool = False) -> Column:
     return F.struct(iso.alias("iso"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"), warning.alias("warning"))
 
 
+def date_warning(col: Column) -> Column:
+    """Warning of ``parse_date``; a real ISO day takes the short way."""
+    plain = col.rlike(r"^\d{4}-\d{2}-\d{2}$") & is_real_day(col)
+    return F.when(~F.coalesce(plain, F.lit(False)), parse_date(col)["warning"])
+
+
 def source_date(text: Column) -> Column:
     """Date stated in a text as ``yyyy``, ``yyyy-MM`` or ``yyyy-MM-dd``.
 

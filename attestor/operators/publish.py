@@ -134,7 +134,8 @@ def validate_claims(checked: DataFrame) -> DataFrame:
     """Add ``flags``: an array of (code, severity) per document."""
     issue = F.coalesce("c_issue", F.date_format("issue_date", "yyyy-MM-dd"))
     expiry = F.coalesce("c_expiry", F.date_format("expiry_date", "yyyy-MM-dd"))
-    staged = computed(checked, _issue=issue, _expiry=expiry, _iw=D.parse_date(issue)["warning"], _ew=D.parse_date(expiry)["warning"])
+    staged = computed(checked, _issue=issue, _expiry=expiry)
+    staged = computed(staged, _iw=D.date_warning(F.col("_issue")), _ew=D.date_warning(F.col("_expiry")))
 
     def flag(condition: Column, code: str, severity: str) -> Column:
         return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
