@@ -134,15 +134,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_spans(norm: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; bytes outside words are zero in ``norm`` and add nothing."""
+def hash_spans(norm: np.ndarray, starts: np.ndarray, leading: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, or of its leading bytes; bytes outside words are zero in ``norm`` and add nothing."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     first, last = starts[0], len(norm)
     place = np.arange(last - first, dtype=np.int32)
     widths = np.diff(np.append(starts, last))
     place -= np.repeat((starts - first).astype(np.int32), widths)
-    return mix(np.add.reduceat(_BYTE[norm[first:]] * _POWER[place & 4095], starts - first))
+    each = _BYTE[norm[first:]] * _POWER[place & 4095]
+    if leading is not None:
+        each[place >= leading] = 0
+    return mix(np.add.reduceat(each, starts - first))
 
 
 def hashed_words(texts: pa.Array, letters: np.ndarray = ALNUM) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

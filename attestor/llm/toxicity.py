@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed words.  Besides a weight, each term has a short
+A text is the set of its hashed terms: its words and how they begin, so that a
+word never seen is known by its stem.  Besides a weight, each term has a short
 vector; the products of these vectors over all pairs of terms in a text let a
 pair count more than its two words do.  The sum over pairs is worked out from
 sums over single terms.
@@ -16,14 +17,18 @@ kinds of labels every score is the share of toxic ones (0 without any label).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import annotated, hashed_words
+from attestor.llm.common import ALNUM, annotated, hash_spans, mix, pieces, text_bytes, word_spans
 
 BITS, TERMS, RANK = 20, 2048, 8
+#: Leading bytes that are terms of their own.
+STEMS = (4, 6)
 TRAIN_DOCS, TRAIN_CHARS = 12_000, 50_000
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.1, 2e-4
 
@@ -34,8 +39,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - BITS)).astype(np.int64)
+def hashed_terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, past the last, buckets of terms, range of terms of each text) for pieces of the batch."""
+    data, bounds = text_bytes(texts)
+    for i, j in pieces(bounds):
+        norm = ALNUM[data[bounds[i] : bounds[j]]]
+        starts, _, ranges = word_spans(norm, bounds[i : j + 1] - bounds[i], norm)
+        terms = [hash_spans(norm, starts), *(mix(hash_spans(norm, starts, k) + np.uint64(k)) for k in STEMS)]
+        yield i, j, (np.column_stack(terms).ravel() >> np.uint64(64 - BITS)).astype(np.int64), ranges * len(terms)
 
 
 class Machine:
@@ -72,7 +83,8 @@ class Machine:
         return np.sort(best[far[best] > 0])
 
     def _fit(self, rows: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> None:
-        """Logistic loss, adaptive steps, weights shrunk a little."""
+        """Logistic loss, adaptive steps, weights shrunk a little; the rarer toxic texts weigh more."""
+        heavy = max(1.0, float(np.sqrt((1 - labels.mean()) / labels.mean())))
         gw, gv, gb = np.full_like(self.w, 1e-3), np.full_like(self.v, 1e-3), 1e-3
         for _ in range(EPOCHS):
             order = rng.permutation(len(rows))
@@ -81,7 +93,7 @@ class Machine:
                 terms = np.concatenate([rows[i] for i in mine])
                 sizes = np.array([len(rows[i]) for i in mine])
                 raw, sums = self._raw(terms, sizes)
-                loss = (1 / (1 + np.exp(-raw)) - labels[mine]) / len(mine)
+                loss = (1 / (1 + np.exp(-raw)) - labels[mine]) * np.where(labels[mine] > 0, heavy, 1) / len(mine)
                 each = np.repeat(loss, sizes)
                 dw = np.bincount(terms, each, len(self.w)) + DECAY * self.w
                 pull = each[:, None] * (np.repeat(sums, sizes, axis=0) - self.v[terms])
@@ -101,12 +113,12 @@ class Machine:
         squares = np.bincount(owner, (v**2).sum(axis=1), len(sizes))
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
-    def scores(self, words: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    def scores(self, found: np.ndarray, ranges: np.ndarray) -> np.ndarray:
         """The probability of label 1 of each text."""
         n = len(ranges) - 1
         if self.only is not None:
             return np.full(n, self.only)
-        terms = self.number[buckets(words)]
+        terms = self.number[found]
         owner = np.repeat(np.arange(n), np.diff(ranges))
         pairs = np.unique(owner[terms >= 0] * (len(self.w) + 1) + terms[terms >= 0])
         owner, terms = pairs // (len(self.w) + 1), pairs % (len(self.w) + 1)
@@ -127,8 +139,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 
     def sets(texts: pa.Array) -> list:
         out = []
-        for i, j, words, ranges in hashed_words(texts):
-            found = buckets(words)
+        for i, j, found, ranges in hashed_terms(texts):
             out += [np.unique(found[ranges[k] : ranges[k + 1]]).astype(np.int32) for k in range(j - i)]
         return [pa.array(out, pa.list_(pa.int32()))]
 
@@ -145,8 +156,8 @@ def scored(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFram
 
     def work(texts: pa.Array) -> list:
         out = np.zeros(len(texts))
-        for i, j, words, ranges in hashed_words(texts):
-            out[i:j] = held.value.scores(words, ranges)
+        for i, j, found, ranges in hashed_terms(texts):
+            out[i:j] = held.value.scores(found, ranges)
         return [pa.array(out)]
 
     return annotated(docs, text, work, ADDED)
