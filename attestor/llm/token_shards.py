@@ -160,7 +160,7 @@ def materialised(docs: DataFrame, folder: str, table: dict[bytes, int], *, key:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             number = batch.column(0).to_numpy() + batch.column(1).to_numpy()
             slots = order.slots(number)
