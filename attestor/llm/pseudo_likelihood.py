@@ -100,7 +100,7 @@ class Network:
         for k, size in sizes.items():
             setattr(self, k, self.flat[at : at + size].reshape(SHAPES[k]))
             at += size
-        self.squares = {k: np.full(s, 0.1, np.float32) for k, s in SHAPES.items()}
+        self.squares = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
 
     def hidden(self, near: list[np.ndarray]) -> np.ndarray:
         out = self.sides[0][near[0]]
@@ -179,7 +179,7 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:
     return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
-def trained(docs: DataFrame, words: Vocabulary, *, text: str = "text", rounds: int = ROUNDS) -> Network:
+def trained(docs: DataFrame, words: Vocabulary, *, text: str = "text", rounds: int = ROUNDS, batch: int = BATCH) -> Network:
     """A network trained on the hidden words of all documents."""
     context = docs.sparkSession.sparkContext
     network = Network()
@@ -190,12 +190,12 @@ def trained(docs: DataFrame, words: Vocabulary, *, text: str = "text", rounds: i
         def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known, flat = held.value
             own, examples = Network(flat.copy()), 0
-            for batch in batches:
-                for _, _, found, ranges in hashed_words(batch.column(0)):
+            for rows in batches:
+                for _, _, found, ranges in hashed_words(rows.column(0)):
                     numbers = known.numbers(found)
                     at = masked(found, ranges)
-                    for k in range(0, len(at), BATCH):
-                        some = at[k : k + BATCH]
+                    for k in range(0, len(at), batch):
+                        some = at[k : k + batch]
                         own.learn(contexts(numbers, ranges, some), numbers[some])
                         examples += len(some)
             if examples:
