@@ -160,7 +160,7 @@ def state_label(code: Column) -> Column:
     known = F.try_element_at(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p]), value)
     words = F.transform(
         F.filter(F.split(value, "[_-]+"), lambda w: w != ""),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)),
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))),
     )
     return (
         F.when(value.isNull() | (value == ""), "Not found in published evidence")

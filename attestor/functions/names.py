@@ -6,6 +6,8 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,18 +18,43 @@ VERIFIER_REGISTRATIONS = ["199500052307", "200200136407", "200101796307", "20010
 CLEARED_REGISTRATIONS = ["199500052307", "200200136407", "200101796307", "200102796307"]
 VERIFIER_NAMES = r"(?i)empowerlogic|aqrate|empowerdex"
 
-# Latin letters with marks and their plain form, in the same order.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēĕėęěğģīĭįķļľńņňōŏőŕřśşšţťūŭůűųźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸĀĂĄĆČĎĒĖĘĚĞĢĪĮĶĻĽŃŅŇŌŐŔŘŚŞŠŢŤŪŮŰŲŹŻŽ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeeeggiiikllnnnooorrsssttuuuuuzzzAAAAAACEEEEIIIINOOOOOUUUUYYAAACCDEEEEGGIIKLLNNNOORRSSSTTUUUUZZZ"
+#: White space beyond ASCII that the rules treat as such.
+WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Characters with a compatibility form: those with one plain character, in order, and the others."""
+    marked, plain, longer = [], [], {}
+    for c in map(chr, range(0xA1, 0x10000)):
+        form = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+        if c in WIDE_SPACES or form in ("", c) or "\u0300" <= c <= "\u036f" or "\uac00" <= c <= "\ud7a3":
+            continue
+        if len(form) == 1:
+            marked.append(c)
+            plain.append(form)
+        elif "LIGATURE" in unicodedata.name(c, "") and c >= "\ufb00" and form.isascii():
+            longer[c] = form
+    return "".join(marked), "".join(plain), longer
+
+
+_MARKED, _PLAIN, _LIGATURES = _compatible()
+
+
+def plain_spaces(col: Column) -> Column:
+    """Wide spaces as blanks; no character moves."""
+    return F.translate(col, WIDE_SPACES, " " * len(WIDE_SPACES))
 
 
 def fold(col: Column) -> Column:
-    """Lower case without accents (Latin range) and without combining marks."""
-    return F.lower(F.translate(F.regexp_replace(col, r"[̀-ͯ]", ""), _MARKED, _PLAIN))
+    """Lower case of the compatibility form, without accents and combining marks."""
+    t = F.translate(F.regexp_replace(plain_spaces(col), r"[\u0300-\u036f]", ""), _MARKED, _PLAIN)
+    for letter, form in _LIGATURES.items():
+        t = F.replace(t, F.lit(letter), F.lit(form))
+    return F.lower(t)
 
 
 def collapse(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    return F.trim(F.regexp_replace(col, rf"[\s{WIDE_SPACES}]+", " "))
 
 
 def strip_punctuation(col: Column) -> Column:

@@ -69,25 +69,17 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n)
 
 
-def bounded_lists(
-    df: DataFrame, keys: list[str], item: Column, salt: Column, name: str, max_rows: int = 2000
-) -> DataFrame:
-    """Collect rows into arrays of about ``max_rows`` at most.
-
-    A key with more rows than that yields several rows numbered by ``part``,
-    so no task ever holds an unbounded group.  Only keys above the bound are
-    joined back, and at most ``rows / max_rows`` of them can exist.
+def join_known(left: DataFrame, right: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """Left join in which rows with a null key are spread over all tasks.
+
+    A null key matches nothing, but all such rows would meet in one task; here
+    each is shuffled by its own ``row`` id instead.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > max_rows)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(max_rows)).alias("_parts"))
-    )
-    part = F.pmod(F.xxhash64(salt), F.coalesce("_parts", F.lit(1)))
-    return (
-        df.join(hot, keys, "left")
-        .withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
-    )
+    text = [F.col(k).cast("string") for k in keys]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    joined = F.concat_ws("\u0001", *text)
+    a = left.withColumn("_key", F.when(known, joined).otherwise(F.concat(F.lit("\u0000"), F.col(row).cast("string"))))
+    b = right.filter(known).withColumn("_key", joined).drop(*keys)
+    return a.join(b, "_key", "left").drop("_key")

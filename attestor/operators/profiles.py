@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import names as N
 from attestor.operators.claims import latest_values, working_claims
-from attestor.operators.common import bounded_lists, linked_evidence, live_entity, published, top_per_group, visible_link
+from attestor.operators.common import linked_evidence, live_entity, published, top_per_group, visible_link
 from attestor.schemas import NON_INDUSTRY_SECTORS
 
 TIMELINE_CLAIMS = ["bee_level", "tender_number", "government_institution", "enterprise_class"]
@@ -79,48 +81,34 @@ def official_domain_sources(tables) -> DataFrame:
     return hosts.join(sources, ["id", "host"], "left_semi")
 
 
-def entity_evidence_array(tables, max_rows: int = 2000) -> DataFrame:
-    """Each entity with its published documents as ordered arrays.
-
-    Entities without documents get one empty array; one with more than
-    ``max_rows`` gets several rows, numbered by ``part``.
-    """
+def entity_evidence_array(tables) -> DataFrame:
+    """Each entity with its published documents, one a row; an entity without any keeps one row of nulls."""
     rows = linked_evidence(tables, ["evidence_type", "lifecycle_state", "issue_date", "title"])
-    item = F.struct("id", "evidence_type", "lifecycle_state", "issue_date", "title")
-    lists = bounded_lists(rows, ["entity_id"], item, F.col("id"), "evidence", max_rows)
     entities = tables["entities"].filter(F.col("merged_into_id").isNull()).select(F.col("id").alias("entity_id"), "canonical_name", "visibility")
-    empty = F.from_json(F.lit("[]"), lists.schema["evidence"].dataType)
-    return entities.join(lists, "entity_id", "left").select(
-        "entity_id",
-        "canonical_name",
-        "visibility",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("evidence", empty).alias("evidence"),
+    return entities.join(rows, "entity_id", "left").select("entity_id", "canonical_name", "visibility", F.col("id").alias("evidence_id"), "evidence_type", "lifecycle_state", "issue_date", "title")
+
+
+def _section(df: DataFrame, key: str, section: str, *, date: str | None = None, of: str | None = None, value: str | None = None) -> DataFrame:
+    """(key, section, item_date, item_key, item_value)."""
+    null = F.lit(None)
+    return df.select(
+        F.col(key).alias("key"),
+        F.lit(section).alias("section"),
+        (F.to_date(date) if date else null).cast("date").alias("item_date"),
+        (F.col(of) if of else null).cast("string").alias("item_key"),
+        (F.col(value) if value else null).cast("string").alias("item_value"),
     )
 
 
-def _section(df: DataFrame, key: str, section: str, item: Column) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.lit(section).alias("section"), item.cast("string").alias("item"))
-
-
-def _sections(parts: list[DataFrame], max_rows: int) -> DataFrame:
-    """All sections of all keys in one shuffle: (key, section, part, items)."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return bounded_lists(rows, ["key", "section"], F.col("item"), F.col("item"), "items", max_rows)
-
-
-def _dated(date: str, value: str) -> Column:
-    return F.concat_ws(" ", F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("undated")), F.col(value).cast("string"))
+ITEM = ["section", "item_date", "item_key", "item_value"]
 
 
-def entity_profile(tables, max_rows: int = 2000) -> DataFrame:
-    """Profile of every live entity: its state, one row per section.
+def entity_profile(tables) -> DataFrame:
+    """Profile of every live entity: its state, one row per item of each section.
 
     Sections are aliases, sectors, parents, children, claims, events,
-    documents and included documents.  A section longer than ``max_rows`` is
-    split into rows numbered by ``part``, so nothing is cut off.
+    documents and included documents.  An entity without any item keeps one
+    row.  Items stay rows, so no list grows with an entity.
     """
     raw = tables["evidence_raw"]
     visible = linked_evidence({"evidence_entity_links": tables["evidence_entity_links"], "evidence": raw}, ["issue_date"])
@@ -152,18 +140,16 @@ def entity_profile(tables, max_rows: int = 2000) -> DataFrame:
         .select("entity_id", F.col("evidence_id").alias("id"))
         .join(raw.filter(published()).select("id", "issue_date"), "id")
     )
-    sections = _sections(
-        [
-            _section(tables["entity_aliases"].filter(F.col("reviewed_status") == "reviewed"), "entity_id", "aliases", F.col("alias")),
-            _section(sectors, "entity_id", "sectors", F.col("sector_name")),
-            _section(edges.filter(F.col("side") == "parent"), "entity_id", "parents", F.col("target_name")),
-            _section(edges.filter(F.col("side") == "child"), "entity_id", "children", F.col("target_name")),
-            _section(tables["published_claims"], "entity_id", "claims", F.concat_ws("=", "field_key", "value")),
-            _section(tables["publication_events"], "entity_id", "events", _dated("published_at", "id")),
-            _section(visible, "entity_id", "documents", _dated("issue_date", "id")),
-            _section(included, "entity_id", "included", _dated("issue_date", "id")),
+    sections = reduce(DataFrame.unionByName, [
+            _section(tables["entity_aliases"].filter(F.col("reviewed_status") == "reviewed"), "entity_id", "aliases", value="alias"),
+            _section(sectors, "entity_id", "sectors", value="sector_name"),
+            _section(edges.filter(F.col("side") == "parent"), "entity_id", "parents", value="target_name"),
+            _section(edges.filter(F.col("side") == "child"), "entity_id", "children", value="target_name"),
+            _section(tables["published_claims"], "entity_id", "claims", of="field_key", value="value"),
+            _section(tables["publication_events"], "entity_id", "events", date="published_at", of="id"),
+            _section(visible, "entity_id", "documents", date="issue_date", of="id"),
+            _section(included, "entity_id", "included", date="issue_date", of="id"),
         ],
-        max_rows,
     ).withColumnRenamed("key", "entity_id")
     return header.join(sections, "entity_id", "left").select(
         "entity_id",
@@ -175,23 +161,20 @@ def entity_profile(tables, max_rows: int = 2000) -> DataFrame:
         "agency_name",
         F.when(F.col("shown"), F.col("state_evidence_id")).otherwise(F.col("newest_id")).alias("supporting_id"),
         "section",
-        "part",
-        "items",
+        *ITEM[1:],
     )
 
 
-def evidence_profile(tables, max_rows: int = 2000) -> DataFrame:
-    """Every published document, one row per section: entities, claims, locations."""
+def evidence_profile(tables) -> DataFrame:
+    """Every published document, one row per item of each section: entities, claims, locations."""
     rows = tables["evidence"].filter(published()).select("id", "title", "evidence_type", "lifecycle_state", "verifier_agency_id", "signatory_id")
     public = tables["entities"].filter(F.col("visibility") == "public").select(F.col("id").alias("entity_id"), "canonical_name")
     entities = tables["evidence_entity_links"].filter(visible_link()).join(public, "entity_id")
-    sections = _sections(
-        [
-            _section(entities, "evidence_id", "entities", F.col("canonical_name")),
-            _section(working_claims(tables), "evidence_id", "claims", F.concat_ws("=", "field_key", "value")),
-            _section(tables["evidence_source_locations"], "evidence_id", "locations", _dated("last_seen_at", "url")),
+    sections = reduce(DataFrame.unionByName, [
+            _section(entities, "evidence_id", "entities", of="entity_id", value="canonical_name"),
+            _section(working_claims(tables), "evidence_id", "claims", of="field_key", value="value"),
+            _section(tables["evidence_source_locations"], "evidence_id", "locations", date="last_seen_at", value="url"),
         ],
-        max_rows,
     ).withColumnRenamed("key", "id")
     agencies = tables["verification_agencies"].select(F.col("id").alias("verifier_agency_id"), F.col("name").alias("agency_name"))
     people = tables["signatories"].select(F.col("id").alias("signatory_id"), F.col("name").alias("signatory_name"))
@@ -199,7 +182,7 @@ def evidence_profile(tables, max_rows: int = 2000) -> DataFrame:
         rows.join(sections, "id", "left")
         .join(agencies, "verifier_agency_id", "left")
         .join(people, "signatory_id", "left")
-        .select("id", "title", "evidence_type", "lifecycle_state", "agency_name", "signatory_name", "section", "part", "items")
+        .select("id", "title", "evidence_type", "lifecycle_state", "agency_name", "signatory_name", *ITEM)
     )
 
 

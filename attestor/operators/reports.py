@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.operators.common import bounded_lists, count_where, is_status, is_valid, linked_evidence, live_entity, published, top_per_group
+from attestor.operators.common import count_where, is_status, is_valid, linked_evidence, live_entity, published, top_per_group
 from attestor.operators.flags import category_condition, category_flags, queue_condition
 from attestor.schemas import NON_INDUSTRY_SECTORS, PAST_STATES, PROCUREMENT, Clock
 
@@ -191,10 +191,9 @@ def review_breakdown(tables, samples: int = 8) -> DataFrame:
 def duplicate_name_groups(tables, limit: int = 40) -> DataFrame:
     """Normalised names held by more than one unmerged entity, largest first.
 
-    Only the listed groups are collected into name lists, and a very large
-    group is split into several lists numbered by ``part``.
+    One row per member of the listed groups, however large they are.
     """
-    rows = tables["entities"].filter(F.col("merged_into_id").isNull()).select("normalized_name", "canonical_name")
+    rows = tables["entities"].filter(F.col("merged_into_id").isNull()).select("normalized_name", F.col("id").alias("entity_id"), "canonical_name")
     top = (
         rows.groupBy("normalized_name")
         .agg(F.count("*").alias("n"))
@@ -203,9 +202,7 @@ def duplicate_name_groups(tables, limit: int = 40) -> DataFrame:
         .limit(limit)
     )
     # At most ``limit`` rows, so the broadcast is bounded by the parameter.
-    members = rows.join(F.broadcast(top), "normalized_name")
-    lists = bounded_lists(members, ["normalized_name", "n"], F.col("canonical_name"), F.col("canonical_name"), "names")
-    return lists.withColumn("names", F.array_join("names", " | "))
+    return rows.join(F.broadcast(top), "normalized_name").select("normalized_name", "n", "entity_id", "canonical_name")
 
 
 def corpus_stats(tables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import names as N
 from attestor.functions import quality as Q
-from attestor.operators.common import is_status, live_entity, published
+from attestor.operators.common import is_status, join_known, live_entity, published
 from attestor.schemas import NON_INDUSTRY_SECTORS
 
 # --- fixed values ------------------------------------------------------------
@@ -55,9 +55,9 @@ def find_existing_entity(tables, wanted: DataFrame) -> DataFrame:
     """
     keyed = wanted.select("*", N.normalize_name(F.col("name")).alias("name_key"), F.nullif(N.normalize_registration(F.col("registration")), F.lit("")).alias("reg_key"))
     found = (
-        keyed.join(_registration_index(tables).drop("reg_holders"), "reg_key", "left")
-        .join(_name_index(tables), "name_key", "left")
-        .join(_alias_index(tables), "name_key", "left")
+        join_known(keyed, _registration_index(tables).drop("reg_holders"), ["reg_key"], "ordinal")
+        .transform(join_known, _name_index(tables), ["name_key"], "ordinal")
+        .transform(join_known, _alias_index(tables), ["name_key"], "ordinal")
     )
     via = (
         F.when(F.col("by_reg").isNotNull(), "registration_number")
@@ -114,11 +114,11 @@ def resolve_entity(tables, mentions: DataFrame) -> DataFrame:
         )
     )
     j = (
-        m.join(suggested, "suggested_id", "left")
-        .join(by_reg, "reg", "left")
-        .join(owner, "by_reg", "left")
-        .join(alias_pairs, ["by_reg", "name_key"], "left")
-        .join(candidates, "name_key", "left")
+        join_known(m, suggested, ["suggested_id"], "mention_id")
+        .transform(join_known, by_reg, ["reg"], "mention_id")
+        .transform(join_known, owner, ["by_reg"], "mention_id")
+        .transform(join_known, alias_pairs, ["by_reg", "name_key"], "mention_id")
+        .transform(join_known, candidates, ["name_key"], "mention_id")
     )
     reg = F.col("reg")
     is_suggested = F.col("s_id").isNotNull()

@@ -81,13 +81,13 @@ def link_evidence(t):
 
 @query(
     "link_included",
-    """with nm as (select o_custkey+1 entity_id, 'https://www.firm'||o_custkey||'.example.com/docs/doc-'||o_orderkey||'.pdf' url from orders where o_orderkey%3=1)
+    """with nm as (select o_custkey+1 entity_id, 'https://www.firm'||o_custkey||'.example.com/docs/doc-'||o_orderkey||'.pdf' url from orders)
        select distinct e.id evidence_id, nm.entity_id, 'included' link_state from nm join evidence_raw e on e.source_url=nm.url where e.publication_state='published' and not exists (select 1 from links l where l.evidence_id=e.id and l.entity_id=nm.entity_id)""",
 )
 def link_included(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     url = F.concat(F.lit("https://www.firm"), s(c), F.lit(".example.com/docs/doc-"), s(k), F.lit(".pdf"))
-    named = t.raw("orders").filter(k % 3 == 1).select((c + 1).alias("entity_id"), url.alias("url"))
+    named = t.raw("orders").select((c + 1).alias("entity_id"), url.alias("url"))
     return RS.link_included(t, named)
 
 
@@ -550,7 +550,7 @@ def disclosures(t):
     from attestor.operators.documents import disclosure_identity
 
     k = F.col("o_orderkey")
-    rows = t.raw("orders").filter(k % 3 == 0).select(
+    rows = t.raw("orders").select(
         k.alias("ordinal"),
         F.col("o_custkey").alias("entity_id"),
         F.concat(F.lit("https://t.example.org/"), s(k % 60)).alias("source_url"),
@@ -570,7 +570,7 @@ def disclosures(t):
 
 
 DISCLOSED = """
-dx as (select *, sha256('gpd:v1|https://t.example.org/'||(k%60)||'|'||coalesce(case when k%2=0 then 't'||(k%4) end,'')||'|kestrel '||(k%5)||'|2|'||coalesce(case when k%4<>0 then '2025-03' end,'')) h from orders_d where k%3=0),
+dx as (select *, sha256('gpd:v1|https://t.example.org/'||(k%60)||'|'||coalesce(case when k%2=0 then 't'||(k%4) end,'')||'|kestrel '||(k%5)||'|2|'||coalesce(case when k%4<>0 then '2025-03' end,'')) h from orders_d),
 dn as (select *, 'evd_'||left(h,24) evidence_id from (select *, row_number() over (partition by h order by k) rn from dx) where rn=1 and h not in (select h from dx where k%45=0))"""
 
 

@@ -312,6 +312,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     parts = ",\n".join(f"{name} as ({body.strip()})" for name, body in VIEWS.items() if name in needed)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {parts},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {parts},\n{body[5:]}"
     return f"with {parts}\n{body}"

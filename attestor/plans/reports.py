@@ -225,19 +225,19 @@ def entity_evidence_timeline(t):
 @query(
     "entity_profile",
     """select e.id entity_id, e.slug, e.canonical_name, e.registration_number, s.bee_level, s.lifecycle_state, a.name agency_name,
-        coalesce((select v.id from vis v where v.entity_id=e.id and v.id=s.evidence_id), n.id) supporting_id, x.section, case when x.section is not null then 0 end part, x.items
+        coalesce((select v.id from vis v where v.entity_id=e.id and v.id=s.evidence_id), n.id) supporting_id, x.section, strftime(x.d,'%Y-%m-%d') item_date, x.k item_key, x.v item_value
        from live e left join state s on s.entity_id=e.id left join verification_agencies a on a.id=s.verifier_agency_id
        left join (select entity_id, id, row_number() over (partition by entity_id order by issue_date desc nulls last, id desc) rn from vis) n on n.entity_id=e.id and n.rn=1
-       left join (select entity_id, section, string_agg(item,'|' order by item) items from (
-          select entity_id, 'aliases' section, alias item from entity_aliases where reviewed_status='reviewed'
-          union all select c.entity_id, 'sectors', s.name from entity_classifications c join sectors s on s.id=c.sector_id where c.is_public and c.classification_type='sector' and c.sector_id not in ('sec_jse','sec_government_suppliers')
-          union all select r.source_entity_id, case when r.relationship_type in ('parent','holding_company') then 'parents' else 'children' end, t.canonical_name from entity_relationships r join entities t on t.id=r.target_entity_id
+       left join (
+          select entity_id, 'aliases' section, null::date d, null::varchar k, alias v from entity_aliases where reviewed_status='reviewed'
+          union all select c.entity_id, 'sectors', null, null, s.name from entity_classifications c join sectors s on s.id=c.sector_id where c.is_public and c.classification_type='sector' and c.sector_id not in ('sec_jse','sec_government_suppliers')
+          union all select r.source_entity_id, case when r.relationship_type in ('parent','holding_company') then 'parents' else 'children' end, null, null, t.canonical_name from entity_relationships r join entities t on t.id=r.target_entity_id
               where r.public_status='public' and r.review_state='approved' and t.visibility='public'
-          union all select entity_id, 'claims', field_key||'='||value from published_claims
-          union all select entity_id, 'events', strftime(published_at,'%Y-%m-%d')||' '||id from publication_events
-          union all select entity_id, 'documents', coalesce(strftime(issue_date,'%Y-%m-%d'),'undated')||' '||id from vis
-          union all select l.entity_id, 'included', coalesce(strftime(r.issue_date,'%Y-%m-%d'),'undated')||' '||r.id from links l join evidence_raw r on r.id=l.evidence_id where l.link_state='included' and r.publication_state='published'
-       ) group by 1,2) x on x.entity_id=e.id""",
+          union all select entity_id, 'claims', null, field_key, value from published_claims
+          union all select entity_id, 'events', published_at::date, id::varchar, null from publication_events
+          union all select entity_id, 'documents', issue_date, id::varchar, null from vis
+          union all select l.entity_id, 'included', r.issue_date, r.id::varchar, null from links l join evidence_raw r on r.id=l.evidence_id where l.link_state='included' and r.publication_state='published'
+       ) x on x.entity_id=e.id""",
 )
 def entity_profile(t):
     return P.entity_profile(t)
@@ -245,12 +245,12 @@ def entity_profile(t):
 
 @query(
     "evidence_profile",
-    """select e.id, e.title, e.evidence_type, e.lifecycle_state, a.name agency_name, s.name signatory_name, x.section, case when x.section is not null then 0 end part, x.items
+    """select e.id, e.title, e.evidence_type, e.lifecycle_state, a.name agency_name, s.name signatory_name, x.section, strftime(x.d,'%Y-%m-%d') item_date, x.k item_key, x.v item_value
        from evidence e left join verification_agencies a on a.id=e.verifier_agency_id left join signatories s on s.id=e.signatory_id
-       left join (select evidence_id, section, string_agg(item,'|' order by item) items from (
-          select l.evidence_id, 'entities' section, n.canonical_name item from links l join entities n on n.id=l.entity_id where l.link_state in ('confirmed','extracted') and n.visibility='public'
-          union all select evidence_id, 'claims', field_key||'='||value from working
-          union all select evidence_id, 'locations', strftime(last_seen_at,'%Y-%m-%d')||' '||url from locations) group by 1,2) x on x.evidence_id=e.id
+       left join (
+          select l.evidence_id, 'entities' section, null::date d, n.id::varchar k, n.canonical_name v from links l join entities n on n.id=l.entity_id where l.link_state in ('confirmed','extracted') and n.visibility='public'
+          union all select evidence_id, 'claims', null, field_key, value from working
+          union all select evidence_id, 'locations', last_seen_at::date, null, url from locations) x on x.evidence_id=e.id
        where e.publication_state='published'""",
 )
 def evidence_profile(t):
@@ -463,7 +463,8 @@ def review_breakdown(t):
 
 @query(
     "duplicate_name_groups",
-    """select normalized_name, count(*) n, 0 part, string_agg(canonical_name,' | ' order by canonical_name) names from entities where merged_into_id is null group by 1 having count(*)>1 order by n desc, normalized_name limit 40""",
+    """with g as (select normalized_name, count(*) n from entities where merged_into_id is null group by 1 having count(*)>1 order by n desc, normalized_name limit 40)
+       select normalized_name, n, id entity_id, canonical_name from g join entities using (normalized_name) where merged_into_id is null""",
 )
 def duplicate_name_groups(t):
     return RP.duplicate_name_groups(t)
@@ -515,18 +516,11 @@ def corpus_stats(t):
 
 @query(
     "entity_evidence_array",
-    """select e.id entity_id, e.canonical_name, e.visibility, 0 part, coalesce(x.docs,'') evidence from entities e left join (
-         select entity_id, string_agg(id||':'||evidence_type||':'||lifecycle_state||':'||coalesce(strftime(issue_date,'%Y-%m-%d'),''), '|' order by id) docs from vis group by 1) x on x.entity_id=e.id where e.merged_into_id is null""",
+    """select e.id entity_id, e.canonical_name, e.visibility, x.id evidence_id, x.evidence_type, x.lifecycle_state, strftime(x.issue_date,'%Y-%m-%d') issue_date, x.title
+       from entities e left join vis x on x.entity_id=e.id where e.merged_into_id is null""",
 )
 def entity_evidence_array(t):
-    rows = P.entity_evidence_array(t)
-    text = F.transform(
-        "evidence",
-        lambda x: F.concat(
-            x["id"], F.lit(":"), x["evidence_type"], F.lit(":"), x["lifecycle_state"], F.lit(":"), F.coalesce(F.date_format(x["issue_date"], "yyyy-MM-dd"), F.lit(""))
-        ),
-    )
-    return rows.withColumn("evidence", F.array_join(text, "|"))
+    return P.entity_evidence_array(t)
 
 
 @query(

@@ -62,6 +62,19 @@ def read_documents(t):
     return RD.with_content_hash(docs).select("doc_id", "bytes", "sha256", F.md5("text").alias("text_md5"))
 
 
+WRITTEN = """
+wi as (select 'Firm '||k "canonicalName", case k%3 when 0 then 0 when 1 then 1 else 2 end n from orders_d)"""
+
+
+@query("write_corpus", f"with {WRITTEN} select * from wi")
+def write_corpus(t):
+    """Items written and read back, with the number of their disclosures."""
+    items = RD.parse_corpus(corpus_lines(t))
+    folder = SK.shared_folder(t.spark, "corpus")
+    SK.write_corpus(items, items.select(F.array().cast("array<string>").alias("reasons")), folder)
+    return RD.read_corpus(t.spark, f"{folder}/corpus").select("canonicalName", F.size("procurement").cast("long").alias("n"))
+
+
 @query("read_existing_names", "select distinct lower(x) name_key from (select unnest(['firm '||id, replace(trim(regexp_replace(canonical_name,'\\s+',' ','g')),'&',' and ')]) x from entities)")
 def read_existing_names(t):
     lines = t["entities"].select(F.concat_ws("\t", "slug", "canonical_name", "visibility").alias("value"))
@@ -91,7 +104,11 @@ def append_audit(t):
 
 @query(
     "submission_rate_limit",
-    """select id, ip_hash, not coalesce(p >= created_at - interval 1 hour, false) accepted from (select *, lag(created_at, 2) over (partition by ip_hash order by created_at, id) p from submissions)""",
+    """with recursive r as (select id, ip_hash, created_at, row_number() over (partition by ip_hash order by created_at, id) n from submissions),
+      f as (select id, ip_hash, created_at, n, true accepted, [created_at] kept from r where n=1
+        union all select id, ip_hash, created_at, n, len(near)<2, case when len(near)<2 then list_append(near, created_at) else near end
+        from (select r.id, r.ip_hash, r.created_at, r.n, list_filter(f.kept, lambda x: x >= r.created_at - interval 1 hour) near from f join r on r.ip_hash=f.ip_hash and r.n=f.n+1))
+      select id, ip_hash, accepted from f""",
 )
 def submission_rate_limit(t):
     """Threshold 2: an address has at most three events in an hour here."""

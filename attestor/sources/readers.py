@@ -22,9 +22,15 @@ FAMILY = T.StructType(
 REGISTRY = T.StructType([T.StructField("source_families", T.ArrayType(FAMILY))])
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus items from JSON (a list or one object per line); nothing is inferred."""
-    return spark.read.schema(CORPUS_ITEM).option("multiLine", True).json(path)
+def read_corpus(spark: SparkSession, path: str, form: str = "lines") -> DataFrame:
+    """Corpus items from JSON; nothing is inferred.
+
+    ``form`` is ``lines`` (one object per line, splittable, what ``write_corpus``
+    gives) or ``document`` (each file holds one object or a list of them).
+    """
+    if form not in ("lines", "document"):
+        raise ValueError(f"unknown form {form!r}; use 'lines' or 'document'")
+    return spark.read.schema(CORPUS_ITEM).option("multiLine", form == "document").json(path)
 
 
 def parse_corpus(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -61,17 +67,25 @@ def parse_registry(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def with_content_hash(documents: DataFrame, content: str = "content") -> DataFrame:
-    """Text and hash of documents within the size limit; larger ones are not evidence."""
+    """Documents with their size, hash, text and, if they are not evidence, the reason.
+
+    ``too_large``: above the size limit; ``not_text``: the bytes are not UTF-8,
+    so there is no text, but bytes and hash stay; ``missing``: no content.
+    """
     size = F.octet_length(content)
-    return documents.filter(size <= MAX_DOCUMENT_BYTES).withColumns(
-        {"bytes": size, "sha256": F.sha2(content, 256), "text": F.decode(content, "UTF-8")}
-    )
+    text = F.try_validate_utf8(F.col(content).cast("string"))
+    reason = F.when(size.isNull(), "missing").when(size > MAX_DOCUMENT_BYTES, "too_large").when(text.isNull(), "not_text")
+    return documents.withColumns({"bytes": size, "sha256": F.sha2(content, 256), "text": F.when(size <= MAX_DOCUMENT_BYTES, text), "reject_reason": reason})
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a directory tree as documents; the size filter is pushed to the listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= MAX_DOCUMENT_BYTES)
-    return files.select(F.col("path").alias("doc_id"), "modificationTime", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    """Files of a directory tree as documents; files above the size limit are rejected unread, from the listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = with_content_hash(files.filter(F.col("length") <= MAX_DOCUMENT_BYTES)).drop("bytes")
+    large = files.filter(F.col("length") > MAX_DOCUMENT_BYTES).drop("content")
+    large = large.withColumns({"sha256": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "reject_reason": F.lit("too_large")})
+    columns = [F.col("path").alias("doc_id"), "modificationTime", F.col("length").alias("bytes"), "sha256", "text", "reject_reason"]
+    return read.select(*columns).unionByName(large.select(*columns))
 
 
 def existing_names(lines: DataFrame, column: str = "value") -> DataFrame:

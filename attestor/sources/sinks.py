@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(base or tempfile.mkdtemp(prefix='run-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def reason_summary(candidates: DataFrame) -> DataFrame:
+    """Rejected rows by reason; a row with several reasons counts for each."""
+    return candidates.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def write_corpus(corpus: DataFrame, candidates: DataFrame, path: str) -> None:
-    """Grouped items and rejected rows to two JSON directories."""
-    corpus.write.mode("overwrite").json(f"{path}/corpus")
+    """Grouped items, rejected rows and the count of each reason to three JSON directories.
+
+    ``read_corpus(spark, f"{path}/corpus")`` gives the items back.
+    """
+    corpus.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/corpus")
     candidates.filter(F.size("reasons") > 0).write.mode("overwrite").json(f"{path}/rejected")
+    reason_summary(candidates).write.mode("overwrite").json(f"{path}/reasons")
 
 
 def unseen_evidence(new: DataFrame, stored: DataFrame, key: str = "content_hash") -> DataFrame:

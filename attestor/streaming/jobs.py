@@ -17,34 +17,54 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HOUR = 3600
 
 
+def _decide(recent: list[int], micros: int, limit: int) -> tuple[bool, list[int]]:
+    """Is a submission accepted, and the accepted times that may still count."""
+    recent = [t for t in recent if t >= micros - HOUR * 1_000_000]
+    return (True, [*recent, micros]) if len(recent) < limit else (False, recent)
+
+
 def submission_rate_limit(submissions: DataFrame, limit: int = 8) -> DataFrame:
-    """Reject a submission with ``limit`` earlier ones from its address within an hour.
+    """Accept a submission unless ``limit`` accepted ones came from its address in the hour before.
 
-    Rows are windowed per (address, hour).  Only the last ``limit`` rows of an
-    hour can matter to the next one, so just those are copied forward; one busy
-    address is spread over as many groups as it has hours.
+    Only stored, so accepted, submissions count, and a missing address is never
+    limited.  A pause of over an hour forgets everything, so an address is cut
+    there into runs; the cuts come from the first and last time of each (address,
+    hour), which Spark sums up before shuffling.  Each run is then read in order
+    with at most ``limit`` times in hand; no run is held as a whole.
     """
-    rows = submissions.select(
-        "id", "ip_hash", "created_at", F.floor(F.unix_timestamp("created_at") / HOUR).alias("hour"), F.lit(False).alias("history")
-    )
-    newest_first = W.partitionBy("ip_hash", "hour").orderBy(F.desc("created_at"), F.desc("id"))
-    tail = rows.withColumn("_n", F.row_number().over(newest_first)).filter(F.col("_n") <= limit).drop("_n")
-    carried = tail.withColumns({"hour": F.col("hour") + 1, "history": F.lit(True)})
-    order = W.partitionBy("ip_hash", "hour").orderBy("created_at", "id")
-    nth_before = F.lag("created_at", limit).over(order)
-    blocked = F.coalesce(nth_before >= F.col("created_at") - F.expr("INTERVAL 1 HOUR"), F.lit(False))
-    out = rows.unionByName(carried).withColumn("accepted", ~blocked)
-    return out.filter(~F.col("history")).select("id", "ip_hash", "accepted")
+    rows = submissions.select("id", "ip_hash", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
+    limited = F.coalesce(F.col("ip_hash") != "", F.lit(False))
+    free = rows.filter(~limited).select("id", "ip_hash", F.lit(True).alias("accepted"))
+    hour = F.floor(F.col("t") / (HOUR * 1_000_000))
+    rows = rows.filter(limited).withColumn("hour", hour)
+    ends = rows.groupBy("ip_hash", "hour").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    order = W.partitionBy("ip_hash").orderBy("hour")
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(order) > HOUR * 1_000_000, F.lit(True))
+    runs = ends.withColumn("fresh", fresh).withColumn("run", F.max(F.when(F.col("fresh"), F.col("hour"))).over(order))
+    dealt = rows.join(runs.select("ip_hash", "hour", "run"), ["ip_hash", "hour"]).select("ip_hash", "run", "t", "id")
+    dealt = dealt.repartition("ip_hash", "run").sortWithinPartitions("ip_hash", "run", "t", "id")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = None, []
+        for batch in batches:
+            accepted = []
+            for ip, run, t in zip(batch["ip_hash"], batch["run"], batch["t"], strict=True):
+                if (ip, run) != key:
+                    key, recent = (ip, run), []
+                ok, recent = _decide(recent, int(t), limit)
+                accepted.append(ok)
+            yield pd.DataFrame({"id": batch["id"], "ip_hash": batch["ip_hash"], "accepted": accepted})
+
+    kind = submissions.schema["id"].dataType.simpleString()
+    return dealt.mapInPandas(fold, f"id {kind}, ip_hash string, accepted boolean").unionByName(free)
 
 
 def stream_rate_limit(submissions: DataFrame, limit: int = 8, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming form; the state of an address is its last ``limit`` times.
+    """Streaming form; the state of an address is its last accepted times, ``limit`` at most.
 
     Rows of one address are ordered within a micro-batch.  State expires an
-    hour of event time after the last submission.
+    hour of event time after the last accepted submission.
     """
-    hour_ms = HOUR * 1000
-
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -53,15 +73,17 @@ def stream_rate_limit(submissions: DataFrame, limit: int = 8, watermark: str = "
         rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
         accepted = []
         for micros in rows["created_at"].astype("datetime64[us]").astype("int64"):
-            accepted.append(not (len(recent) == limit and recent[0] >= micros - hour_ms * 1000))
-            recent = (recent + [int(micros)])[-limit:]
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(recent[-1] // 1000, state.getCurrentWatermarkMs()) + hour_ms + 1)
+            ok, recent = _decide(recent, int(micros), limit)
+            accepted.append(ok)
+        if recent:
+            state.update((recent,))
+            state.setTimeoutTimestamp(max(recent[-1] // 1000, state.getCurrentWatermarkMs()) + HOUR * 1000 + 1)
         yield pd.DataFrame({"id": rows["id"], "ip_hash": key[0], "accepted": accepted})
 
-    return (
-        submissions.select("id", "ip_hash", F.col("created_at").cast("timestamp").alias("created_at"))
-        .withWatermark("created_at", watermark)
+    limited = F.coalesce(F.col("ip_hash") != "", F.lit(False))
+    rows = submissions.select("id", "ip_hash", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark("created_at", watermark)
+    checked = (
+        rows.filter(limited)
         .groupBy("ip_hash")
         .applyInPandasWithState(
             decide,
@@ -71,6 +93,7 @@ def stream_rate_limit(submissions: DataFrame, limit: int = 8, watermark: str = "
             GroupStateTimeout.EventTimeTimeout,
         )
     )
+    return checked.unionByName(rows.filter(~limited).select("id", "ip_hash", F.lit(True).alias("accepted")))
 
 
 def source_changes(checks: DataFrame) -> DataFrame:
