@@ -188,7 +188,7 @@ def materialised(docs: DataFrame, folder: str, table: dict[bytes, int], *, key:
     n_shards = max(1, -(-total // shard_rows))
     blobs = seqs.select("base", "pos", "tokens").mapInArrow(deal, "shard long, blob binary")
     if total:
-        rows = blobs.repartition(n_shards, "shard").mapInArrow(records, "shard long, slot long, record binary")
+        rows = blobs.repartitionByRange(n_shards, "shard").mapInArrow(records, "shard long, slot long, record binary")
         rows = rows.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
         rows.write.partitionBy("shard").option("lineSep", CLOSING.decode()).text(f"{folder}/shards")
     layout = {"sequences": total, "length": length, "bytes": np.dtype(kind).itemsize, "shard_rows": shard_rows, "key": key, "record": HEADER + width + 1}
