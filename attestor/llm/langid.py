@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,8 @@ class Model:
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         """Mean cross-entropy of each language's own texts, and how much it varies for a single letter."""
         own = np.array([self.langs.index(x) for x in langs], np.int64)
-        found, n, _ = self.entropies(texts)
+        some = [self.entropies(texts[i : i + 128]) for i in range(0, len(texts), 128)]  # a few at a time, to hold little
+        found, n = np.concatenate([x[0] for x in some] or [np.zeros((0, len(self.langs)))]), np.concatenate([x[1] for x in some] or [np.zeros(0, np.int64)])
         for k in range(len(self.langs)):
             mine = np.flatnonzero((own == k) & (n > 0))
             if not len(mine):
@@ -237,7 +239,7 @@ def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in set(batch.column(0).to_pylist()):
-                mine = batch.filter(pa.compute.equal(batch.column(0), name))
+                mine = batch.filter(pc.equal(batch.column(0), name))
                 codes, _, _ = normalised(mine.column(1).to_pylist())
                 if len(codes) < ORDER:
                     continue
@@ -246,11 +248,11 @@ def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), *(pa.array(grams[:, k].astype(np.int32)) for k in range(ORDER)), pa.array(n)], names=["lang", "a", "b", "c", "d", "n"])
 
     found = chosen.select("lang", "text").mapInArrow(count, "lang string, a int, b int, c int, d int, n long")
-    found = found.groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("n")).orderBy("lang", "a", "b", "c", "d").toPandas()
+    found = found.groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("n")).orderBy("lang", "a", "b", "c", "d").toArrow()
     grams = []
     for k in langs:
-        own = found[found["lang"] == k]
-        grams.append((own[["a", "b", "c", "d"]].to_numpy().astype(np.uint64), own["n"].to_numpy()))
+        own = found.filter(pc.equal(found.column("lang"), k))
+        grams.append((np.column_stack([own.column(c).to_numpy().astype(np.uint64) for c in "abcd"]), own.column("n").to_numpy()))
     model = Model(langs, grams)
     texts = chosen.select("text", "lang").collect()  # bounded by the two limits
     model.calibrate([r["text"] for r in texts], [r["lang"] for r in texts])
