@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,3 +86,19 @@ def join_known(left: DataFrame, right: DataFrame, keys: list[str], row: str) ->
     a = left.withColumn("_key", F.when(known, joined).otherwise(F.concat(F.lit("\u0000"), F.col(row).cast("string"))))
     b = right.filter(known).withColumn("_key", joined).drop(*keys)
     return a.join(b, "_key", "left").drop("_key")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once below ``spark.checkpoint.dir`` and read back.
+
+    The folder is shared, so a lost executor costs nothing that was written.
+    A temporary folder is used only where the session names none, as in tests.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

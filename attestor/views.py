@@ -2,7 +2,9 @@
 
 Each table is one lazy DataFrame built from plain expressions, so its size
 grows with the input.  ``Tables`` builds a table the first time it is asked
-for; a real deployment passes its own mapping of stored tables instead.
+for; a real deployment passes its own mapping of stored tables instead.  The
+decisions on evidence and the entity snapshot are read many times by one query,
+so they are written once to the shared folder and read from there.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import names as N
+from attestor.operators.common import stored
 from attestor.schemas import DEFAULT_CLOCK, Clock
 
 # Words that make the generated company names exercise the sector rules.
@@ -116,7 +119,7 @@ class Tables(Mapping):
     def _entities(self) -> DataFrame:
         c = self.raw("customer")
         k = F.col("c_custkey")
-        last = self.raw("customer").select(F.max("c_custkey")).scalar()
+        last = F.lit(c.agg(F.max("c_custkey")).first()[0]).cast("long")
         base = _base_key(k)
         registration = F.when(k % 500 == 7, F.lit("1995/000523/07")).when(k % 3 != 0, _registration(k, "/"))
         named = c.select(
@@ -257,7 +260,7 @@ class Tables(Mapping):
         """Evidence before any lifecycle has been decided."""
         o = self.raw("orders")
         k, cust = F.col("o_orderkey"), F.col("o_custkey")
-        agencies = self.raw("supplier").select(F.count("*")).scalar()
+        agencies = F.lit(self.raw("supplier").count())
         kind = _pick(
             ["bee_certificate", "bee_certificate", "sworn_affidavit", "government_procurement_disclosure", "annual_report", "company_webpage"],
             k,
@@ -323,7 +326,7 @@ class Tables(Mapping):
     def _decided_evidence(self) -> DataFrame:
         from attestor.operators.lifecycle import decided_evidence
 
-        return decided_evidence(self["evidence_raw"], self["evidence_entity_links"], self.clock)
+        return stored(decided_evidence(self["evidence_raw"], self["evidence_entity_links"], self.clock), "decided-evidence")
 
     def _evidence_source_locations(self) -> DataFrame:
         o = self.raw("orders")
@@ -442,7 +445,7 @@ class Tables(Mapping):
     def _entity_current_state(self) -> DataFrame:
         from attestor.operators.lifecycle import current_state
 
-        return current_state(self)
+        return stored(current_state(self), "entity-current-state")
 
     # --- monitoring, review and logs ---------------------------------------
     def _monitored_sources(self) -> DataFrame:
