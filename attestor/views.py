@@ -2,9 +2,9 @@
 
 Each table is one lazy DataFrame built from plain expressions, so its size
 grows with the input.  ``Tables`` builds a table the first time it is asked
-for; a real deployment passes its own mapping of stored tables instead.  The
-decisions on evidence and the entity snapshot are read many times by one query,
-so they are written once to the shared folder and read from there.
+for; a real deployment passes its own mapping of stored tables instead.  With
+``store`` the decisions on evidence and the entity snapshot, which most reports
+read several times, are written once to the shared folder and read from there.
 """
 
 from __future__ import annotations
@@ -91,8 +91,8 @@ def _registration(k: Column, sep: str) -> Column:
 class Tables(Mapping):
     """Lazy mapping of table name to DataFrame."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, clock: Clock = DEFAULT_CLOCK):
-        self.spark, self.dir, self.clock = spark, sf_dir, clock
+    def __init__(self, spark: SparkSession, sf_dir: str, clock: Clock = DEFAULT_CLOCK, *, store: bool = False):
+        self.spark, self.dir, self.clock, self.store = spark, sf_dir, clock, store
         self._cache: dict[str, DataFrame] = {}
         self._raw: dict[str, DataFrame] = {}
 
@@ -326,7 +326,8 @@ class Tables(Mapping):
     def _decided_evidence(self) -> DataFrame:
         from attestor.operators.lifecycle import decided_evidence
 
-        return stored(decided_evidence(self["evidence_raw"], self["evidence_entity_links"], self.clock), "decided-evidence")
+        decided = decided_evidence(self["evidence_raw"], self["evidence_entity_links"], self.clock)
+        return stored(decided, "decided-evidence") if self.store else decided
 
     def _evidence_source_locations(self) -> DataFrame:
         o = self.raw("orders")
@@ -445,7 +446,8 @@ class Tables(Mapping):
     def _entity_current_state(self) -> DataFrame:
         from attestor.operators.lifecycle import current_state
 
-        return stored(current_state(self), "entity-current-state")
+        state = current_state(self)
+        return stored(state, "entity-current-state") if self.store else state
 
     # --- monitoring, review and logs ---------------------------------------
     def _monitored_sources(self) -> DataFrame:
