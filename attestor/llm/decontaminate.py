@@ -4,8 +4,9 @@ Each Arrow batch of documents is a shard.  Words become numbers of the test
 vocabulary; a word outside it ends every match.  Runs too short for any window
 are dropped, which loses no match, and the suffixes of the rest are sorted into
 a suffix array by prefix doubling.  Every test suffix is then found by binary
-search, which gives all places of its window at once and, by extension, the
-longest verbatim match.
+search, which gives all places of its window at once.  From there the match is
+followed through the suffix array of the test text itself, over all items that
+still agree, to the longest verbatim match.
 
 Edge cases: a null or empty text has no words and is clean; a null or empty
 item matches nothing; equal items all count; rows with the same ``doc_id`` are
@@ -46,6 +47,24 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def bound(text: np.ndarray, order: np.ndarray, patterns: np.ndarray, start: np.ndarray, width: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of ``patterns[start : start + width]``, many at once, among the sorted suffixes of ``text``: the first not below it, or the first above it."""
+    low, high = np.zeros(len(start), np.int64), np.full(len(start), len(order))
+    while (low < high).any():
+        mid = (low + high) // 2
+        suffix = order[np.minimum(mid, len(order) - 1)]
+        sign = np.zeros(len(low), np.int64)  # of suffix minus pattern
+        for k in range(int(width.max())):
+            p = np.minimum(suffix + k, len(text) - 1)
+            diff = np.sign(text[p] - patterns[np.minimum(start + k, len(patterns) - 1)])
+            sign = np.where((sign == 0) & (k < width), diff, sign)
+        below = (sign < 0) | ((sign == 0) & after)
+        active = low < high
+        low = np.where(active & below, mid + 1, low)
+        high = np.where(active & ~below, mid, high)
+    return low
+
+
 class TestBlock:
     """Windows of a block of test items, distinct, each with the items that hold it."""
 
@@ -61,8 +80,9 @@ class TestBlock:
         words = np.concatenate(hashes)
         sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         self.vocabulary, ids = np.unique(words, return_inverse=True)
-        self.ids = np.append(ids + 1, np.zeros(window, np.int64))
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes) + np.arange(len(sizes))  # a zero stands behind every item
+        self.ids = np.zeros(len(ids) + len(sizes) + window, np.int64)
+        self.ids[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids + 1
         owners: dict[tuple, set[int]] = {}
         first: dict[tuple, int] = {}
         for item, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
@@ -76,9 +96,33 @@ class TestBlock:
         self.groups = [sorted(g) for g in groups]
         self.start = np.array(list(first.values()), np.int64)
         self.width = np.array([len(k) for k in first], np.int64)
-        # the number of words that may still match behind a window, within its first item
-        self.end = np.array([int(ends[np.searchsorted(ends, s, side="right")]) for s in self.start], np.int64)
         self.depth, self.least = (int(self.width.max()), int(self.width.min())) if len(self.width) else (1, 1)
+        self.order = suffix_array(self.ids, int(sizes.max(initial=1)) + 1)
+        self.low, self.high = (bound(self.ids, self.order, self.ids, self.start, self.width, after) for after in (False, True))
+
+    def _longer(self, s: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """How long the match of ``s`` at each place is, beginning with its window, in whichever item it is longest."""
+        length, left = self.width[window].copy(), np.arange(len(at))
+        low, high = self.low[window], self.high[window]
+        while len(left):
+            word = s[at[left] + length[left]]
+            left, low, high, word = left[word > 0], low[word > 0], high[word > 0], word[word > 0]
+            low = self._step(low, high, length[left], word, False)
+            high = self._step(low, high, length[left], word, True)
+            ok = low < high
+            left, low, high = left[ok], low[ok], high[ok]
+            length[left] += 1
+        return length
+
+    def _step(self, low: np.ndarray, high: np.ndarray, skip: np.ndarray, word: np.ndarray, after: bool) -> np.ndarray:
+        """Within each range of sorted test suffixes, the first whose word behind ``skip`` is not below (or is above) the given one."""
+        while (low < high).any():
+            mid = (low + high) // 2
+            found = self.ids[np.minimum(self.order[np.minimum(mid, len(self.order) - 1)] + skip, len(self.ids) - 1)]
+            below = (found < word) | ((found == word) & after)
+            active = low < high
+            low, high = np.where(active & below, mid + 1, low), np.where(active & ~below, mid, high)
+        return low
 
     def search(self, words: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
         """Places in ``words`` where windows occur, the window of each, and the length of the match there."""
@@ -108,39 +152,13 @@ class TestBlock:
         back[spread] = np.repeat(run_at, run_len) + (spread - np.repeat(offsets, run_len))
         s[spread] = ids[back[spread]]
         order = suffix_array(s, self.depth)
-        low = self._bound(s, order, False)
-        high = self._bound(s, order, True)
+        low, high = (bound(s, order, self.ids, self.start, self.width, after) for after in (False, True))
         count = high - low
         if not count.sum():
             return none
         window = np.repeat(np.arange(len(count)), count)
         at = order[np.repeat(low, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))]
-        length = self.width[window].copy()
-        left = np.arange(len(at))
-        while len(left):
-            i, p = self.start[window[left]] + length[left], at[left] + length[left]
-            ok = (i < self.end[window[left]]) & (p < total)
-            left, i, p = left[ok], i[ok], p[ok]
-            left = left[self.ids[i] == s[p]]
-            length[left] += 1
-        return back[at], window, length
-
-    def _bound(self, s: np.ndarray, order: np.ndarray, after: bool) -> np.ndarray:
-        """Binary search of every window: the first suffix not below it, or the first above it."""
-        low, high = np.zeros(len(self.start), np.int64), np.full(len(self.start), len(order))
-        while (low < high).any():
-            mid = (low + high) // 2
-            suffix = order[np.minimum(mid, len(order) - 1)]
-            sign = np.zeros(len(low), np.int64)  # of suffix minus window
-            for k in range(self.depth):
-                p = np.minimum(suffix + k, len(s) - 1)
-                diff = np.sign(s[p] - self.ids[np.minimum(self.start + k, len(self.ids) - 1)])
-                sign = np.where((sign == 0) & (k < self.width), diff, sign)
-            below = (sign < 0) | ((sign == 0) & after)
-            active = low < high
-            low = np.where(active & below, mid + 1, low)
-            high = np.where(active & ~below, mid, high)
-        return low
+        return back[at], window, self._longer(s, at, window)
 
 
 def shards(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

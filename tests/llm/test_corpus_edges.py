@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,21 @@ def test_stage(spark, docs, benchmark, tmp_path, name):
 def test_digest_is_that_of_sorted_names(spark):
     row = spark.range(1).select(decontaminate.items_digest(F.array(F.lit("9"), F.lit("10"))).alias("d")).first()
     assert row["d"] == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_longest_match_over_all_items():
+    rng = np.random.default_rng(3)
+    draw = lambda low, high: rng.choice(list("abc"), rng.integers(low, high)).tolist()
+    items = [draw(0, 30) for _ in range(25)]
+    texts = [draw(0, 80) + items[k % 25] + draw(0, 9) for k in range(40)]
+    block = decontaminate.TestBlock([(str(k), " ".join(x)) for k, x in enumerate(items)], 10)
+    held = type("Held", (), {"value": block})
+    found = decontaminate.judged([held], pa.array([" ".join(x) for x in texts]))
+    windows = {tuple(x[i : i + 10]) for x in items if x for i in range(max(1, len(x) - 9))}
+    inside = {tuple(x[i:j]) for x in items for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+    for words, longest, at in zip(texts, found[3].to_pylist(), found[4].to_pylist(), strict=True):
+        best = (0, 1)
+        for i in range(len(words)):
+            if any(tuple(words[i : i + k]) in windows for k in range(1, 11)):
+                best = max(best, (max(j - i for j in range(i + 1, len(words) + 1) if tuple(words[i:j]) in inside), -i), key=lambda b: b[0])
+        assert (longest, at) == (best[0], -best[1])
