@@ -15,7 +15,7 @@ from attestor.functions import dates as D
 from attestor.functions import names as N
 from attestor.functions import quality as Q
 from attestor.operators.claims import working_claims
-from attestor.operators.common import any_where, computed, top_per_group
+from attestor.operators.common import any_where, computed, join_known, top_per_group
 from attestor.operators.lifecycle import expiry_status, is_disclosure
 from attestor.schemas import COMPANY_DISCLOSURE_TYPES, PROCUREMENT, RECOGNISED_TYPES, STATE_FIELDS, STATUS_TYPES, Clock
 
@@ -283,15 +283,58 @@ def upsert_published_claims(existing: DataFrame, incoming: DataFrame) -> DataFra
     )
 
 
+def checked_approvals(tables, approved: DataFrame) -> DataFrame:
+    """Approvals with ``error``: why one is refused, null if it can be published.
+
+    ``approved`` has (evidence_id, entity_id) and may have review_item_id.
+    """
+    if "review_item_id" not in approved.columns:
+        approved = approved.withColumn("review_item_id", F.lit(None).cast("string"))
+    items = tables["review_items"].select(
+        F.col("id").alias("review_item_id"), F.col("status").alias("review_status"), F.col("evidence_id").alias("review_evidence"), F.lit(True).alias("has_item")
+    )
+    entities = tables["entities"].select(F.col("id").alias("entity_id"), F.col("merged_into_id").isNotNull().alias("merged"))
+    stored = tables["evidence_raw"].select(F.col("id").alias("evidence_id"), F.lit(True).alias("has_evidence"))
+    rows = join_known(approved, items, ["review_item_id"], "evidence_id").join(entities, "entity_id", "left").join(stored, "evidence_id", "left")
+    named = F.col("review_item_id").isNotNull()
+    error = (
+        F.when(named & F.col("has_item").isNull(), "Review item no longer exists.")
+        .when(named & ~F.coalesce(F.col("review_status").isin("pending", "in_review"), F.lit(False)), "Review item is no longer open.")
+        .when(named & (F.col("review_evidence") != F.col("evidence_id")), "Review item is attached to different evidence.")
+        .when(F.col("merged").isNull(), "Entity not found.")
+        .when(F.col("merged"), "This entity was merged. Publish against the surviving record.")
+        .when(F.col("has_evidence").isNull(), "Evidence not found.")
+    )
+    return rows.withColumn("error", error).drop("review_status", "review_evidence", "has_item", "merged", "has_evidence")
+
+
+def publication_days(tables, approved: DataFrame) -> DataFrame:
+    """Approved documents with the days they are published with.
+
+    A certificate's own claims come before its stored days; a disclosure keeps
+    its stored issue day and has no expiry.  A claim that is no day is passed over.
+    """
+    claims = working_claims(tables)
+    day = F.regexp_extract(F.trim("value"), r"^\d{4}-\d{2}-\d{2}", 0).try_cast("date")
+
+    def claimed(name: str) -> Column:
+        return F.max(F.when(F.col("canonical_key") == name, day))
+
+    days = claims.filter(F.col("canonical_key").isin("issue_date", "expiry_date")).groupBy("evidence_id").agg(claimed("issue_date").alias("c_issue"), claimed("expiry_date").alias("c_expiry"))
+    stored = tables["evidence_raw"].select(F.col("id").alias("evidence_id"), "evidence_type", F.col("issue_date").alias("s_issue"), F.col("expiry_date").alias("s_expiry"))
+    rows = approved.join(stored, "evidence_id").join(days, "evidence_id", "left")
+    issue = F.when(is_disclosure(), F.coalesce("s_issue", "c_issue")).otherwise(F.coalesce("c_issue", "s_issue"))
+    expiry = F.when(~is_disclosure(), F.coalesce("c_expiry", "s_expiry"))
+    return rows.withColumns({"issue_date": issue, "expiry_date": expiry}).drop("c_issue", "c_expiry", "s_issue", "s_expiry")
+
+
 def supersede_previous(tables, approved: DataFrame, clock: Clock) -> DataFrame:
     """Stored current documents that an approved primary document replaces."""
-    evidence = tables["evidence_raw"]
-    new = approved.join(evidence.select(F.col("id").alias("evidence_id"), "evidence_type", "issue_date"), "evidence_id")
-    new = new.filter(F.col("evidence_type").isin(STATUS_TYPES))
+    new = publication_days(tables, approved.select("evidence_id", "entity_id")).filter(F.col("evidence_type").isin(STATUS_TYPES))
     # The newest approved document of an entity decides.
     newest = new.groupBy("entity_id").agg(F.max(F.struct("issue_date", "evidence_id")).alias("n"), any_where(F.col("issue_date").isNull()).alias("undated"))
     state = tables["entity_current_state"].filter(F.col("evidence_id").isNotNull()).select("entity_id", F.col("evidence_id").alias("previous_id"))
-    before = evidence.select(F.col("id").alias("previous_id"), F.col("issue_date").alias("previous_issue"), F.col("expiry_date").alias("previous_expiry"))
+    before = tables["evidence_raw"].select(F.col("id").alias("previous_id"), F.col("issue_date").alias("previous_issue"), F.col("expiry_date").alias("previous_expiry"))
     j = newest.join(state, "entity_id").join(before, "previous_id").filter(F.col("previous_id") != F.col("n.evidence_id"))
     replaces = F.col("previous_issue").isNull() | F.col("undated") | (F.col("n.issue_date") >= F.col("previous_issue"))
     return j.filter(replaces).select(
@@ -302,26 +345,54 @@ def supersede_previous(tables, approved: DataFrame, clock: Clock) -> DataFrame:
     )
 
 
-def publish_batch(tables, approved: DataFrame, clock: Clock) -> dict[str, DataFrame]:
-    """All tables a batch of approvals changes.
+def claim_states(tables, published: DataFrame, superseded: DataFrame) -> DataFrame:
+    """Claims that a batch publishes or, with their document, supersedes.
+
+    A document that is approved and replaced in one batch ends as superseded.
+    """
+    new = published.select("claim_id", "evidence_id").withColumn("now", F.lit(True))
+    old = tables["extracted_claims"].filter("published_state = 'published'").select(F.col("id").alias("claim_id"), "evidence_id").withColumn("now", F.lit(False))
+    gone = superseded.select("evidence_id").distinct().withColumn("gone", F.lit(True))
+    rows = new.unionByName(old).join(gone, "evidence_id", "left").filter(F.col("now") | F.col("gone"))
+    rows = rows.groupBy("claim_id", "evidence_id").agg(any_where(F.col("now")).alias("now"), any_where(F.col("gone")).alias("gone"))
+    return rows.select("claim_id", "evidence_id", F.when(F.col("gone"), "superseded").otherwise("published").alias("published_state"), F.when(F.col("now"), "approved").alias("review_state"))
+
+
+def publish_batch(tables, approved: DataFrame, clock: Clock, *, rule_version: int | None = None, actor: str = "reviewer", reason: str | None = None) -> dict[str, DataFrame]:
+    """All tables a batch of approvals changes, and the approvals it refuses.
 
-    Approvals of merged entities are refused.  Disclosures never feed
-    certificate fields and carry no expiry.
+    Disclosures never feed certificate fields and carry no expiry.  With a
+    ``rule_version`` the publication counts as automatic.
     """
-    live = tables["entities"].filter(F.col("merged_into_id").isNull()).select(F.col("id").alias("entity_id"), "visibility")
-    accepted = approved.join(live.select("entity_id"), "entity_id", "left_semi")
-    claims = approved_claims(tables, accepted)
-    rows = accepted.join(tables["evidence_raw"].select(F.col("id").alias("evidence_id"), "evidence_type", "issue_date", "expiry_date"), "evidence_id")
-    expiry = F.when(~is_disclosure(), F.col("expiry_date"))
-    lifecycle = F.when(is_disclosure(), "historical").otherwise(expiry_status(expiry, F.lit("current"), F.lit(clock.as_of), clock.soon_days))
+    checked = checked_approvals(tables, approved)
+    accepted = checked.filter(F.col("error").isNull()).drop("error")
+    pairs = accepted.select("evidence_id", "entity_id").distinct()
+    claims = approved_claims(tables, pairs)
+    taken = claims.filter(~F.col("blocked"))
+    rows = publication_days(tables, pairs)
+    superseded = supersede_previous(tables, pairs, clock)
+    auto = rule_version is not None
+
+    lifecycle = F.when(is_disclosure(), "historical").otherwise(expiry_status(F.col("expiry_date"), F.lit("current"), F.lit(clock.as_of), clock.soon_days))
     evidence = rows.select(
-        F.col("evidence_id").alias("id"), F.lit("published").alias("publication_state"), F.lit("approved").alias("review_state"), lifecycle.alias("lifecycle_state"), "issue_date", expiry.alias("expiry_date")
+        F.col("evidence_id").alias("id"), F.lit("published").alias("publication_state"), F.lit("approved").alias("review_state"), lifecycle.alias("lifecycle_state"), "issue_date", "expiry_date"
     )
-    levels = working_claims(tables).filter(F.col("field_key") == "bee_level").select("evidence_id", F.col("value").alias("level"))
-    blocked = claims.filter("blocked").groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_set("field_key")), ", ").alias("kept"))
-    previous = supersede_previous(tables, accepted, clock).select(F.col("replaced_by").alias("evidence_id"), F.col("evidence_id").alias("previous_evidence_id"))
-    events = rows.join(levels, "evidence_id", "left").join(blocked, "evidence_id", "left").join(previous, "evidence_id", "left")
-    number, level = F.col("evidence_id").cast("string"), F.col("level")
+
+    # What each document shows: a disclosure the level it reports, a certificate the level it publishes.
+    reported = working_claims(tables).filter((F.col("canonical_key") == "bee_level") & Q.plausible_claim(F.col("canonical_key"), F.col("value")))
+    reported = reported.groupBy("evidence_id").agg(F.max("value").alias("reported"))
+    field = F.concat_ws("=", "field_key", "value")
+    shown = claims.groupBy("evidence_id", "entity_id").agg(
+        F.max(F.when((F.col("field_key") == "bee_level") & ~F.col("blocked"), F.col("value"))).alias("own_level"),
+        F.array_sort(F.collect_set(F.when(~F.col("blocked"), field))).alias("fields"),
+        F.array_sort(F.collect_set(F.when(F.col("blocked"), F.col("field_key")))).alias("skipped_locked"),
+    )
+    previous = superseded.select("entity_id", F.col("replaced_by").alias("evidence_id"), F.col("evidence_id").alias("previous_evidence_id"))
+    key = ["evidence_id", "entity_id"]
+    told = rows.join(reported, "evidence_id", "left").join(shown, key, "left").join(previous, key, "left")
+    none = F.array().cast("array<string>")
+    told = told.withColumns({"fields": F.coalesce("fields", none), "skipped_locked": F.coalesce("skipped_locked", none)})
+    number, level = F.col("evidence_id").cast("string"), F.when(is_disclosure(), F.col("reported")).otherwise(F.col("own_level"))
     summary = F.when(
         is_disclosure(),
         F.concat(
@@ -331,14 +402,35 @@ def publish_batch(tables, approved: DataFrame, clock: Clock) -> dict[str, DataFr
             F.lit(". This is not a current verification certificate."),
         ),
     ).when(level.isNotNull(), F.concat(F.lit("Published B-BBEE level "), level, F.lit(" from evidence "), number)).otherwise(F.concat(F.lit("Published evidence "), number))
-    kept = F.when(F.col("kept").isNotNull(), F.concat(F.lit(" (locked fields preserved: "), F.col("kept"), F.lit(")"))).otherwise("")
+    kept = F.when(F.size("skipped_locked") > 0, F.concat(F.lit(" (locked fields preserved: "), F.array_join("skipped_locked", ", "), F.lit(")"))).otherwise("")
+
+    live = tables["entities"].select(F.col("id").alias("entity_id"), "visibility")
     return {
         "evidence": evidence,
-        "superseded": supersede_previous(tables, accepted, clock),
+        "superseded": superseded,
         "published_claims": upsert_published_claims(tables["published_claims"], claims),
-        "links": accepted.select("evidence_id", "entity_id", F.lit("confirmed").alias("link_state")),
-        "entities": live.join(accepted.select("entity_id"), "entity_id", "left_semi").filter(F.col("visibility") == "draft").select("entity_id", F.lit("public").alias("visibility")),
-        "events": events.select("entity_id", "evidence_id", F.concat(summary, kept).alias("summary"), "previous_evidence_id"),
+        "claim_states": claim_states(tables, taken, superseded),
+        "links": pairs.select("evidence_id", "entity_id", F.lit("confirmed").alias("link_state")),
+        "entities": live.filter(F.col("visibility") == "draft").join(pairs.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.lit("public").alias("visibility")),
+        "events": told.select(
+            "entity_id", "evidence_id", F.lit("auto_published" if auto else "published").alias("event_type"), F.concat(summary, kept).alias("summary"), "previous_evidence_id", F.lit(actor).alias("published_by")
+        ),
+        "reviews": accepted.filter(F.col("review_item_id").isNotNull())
+        .select("review_item_id")
+        .distinct()
+        .select(F.col("review_item_id").alias("id"), F.lit("approved").alias("status"), F.lit(actor).alias("reviewer_id"), F.lit(reason or "Approved and published.").alias("resolution")),
+        "audit": told.select(
+            F.lit(actor).alias("actor_id"),
+            F.lit("evidence.auto_published" if auto else "evidence.published").alias("action"),
+            F.lit("evidence").alias("target_type"),
+            number.alias("target_id"),
+            "entity_id",
+            "fields",
+            "skipped_locked",
+            F.lit(rule_version).cast("long").alias("rule_version"),
+            F.lit(reason).cast("string").alias("reason"),
+        ),
+        "refused": checked.filter(F.col("error").isNotNull()).select("evidence_id", "entity_id", "error"),
     }
 
 

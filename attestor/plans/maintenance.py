@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
+
 from pyspark.sql import functions as F
 
 from attestor.operators import maintain as M
 from attestor.operators import publish as P
 from attestor.operators import quality as QC
 from attestor.operators import resolve as RS
+from attestor.operators.claims import latest_successful_run
 from attestor.plans import inputs as I
 from attestor.plans.registry import query
 from attestor.schemas import DEFAULT_CLOCK as CLOCK
@@ -307,24 +310,59 @@ def lock_overrides(t):
     return P.lock_overrides(t["published_claims"].select("entity_id", "field_key", "value"), t["field_overrides"])
 
 
-def approved(t):
-    """Documents a reviewer approves: every fourth, for its linked company."""
-    return t["evidence_entity_links"].filter(F.col("evidence_id") % 4 == 1).select("evidence_id", "entity_id")
+def dated(t):
+    """The tables, with dates among the claims of the newest runs: days, other text, and none."""
+    k, found = F.col("evidence_id"), F.col("discovered_at")
+    newest = latest_successful_run(t["extraction_runs"]).select("evidence_id", "extraction_run_id")
+    rows = newest.join(t["evidence_raw"].select(F.col("id").alias("evidence_id"), "discovered_at"), "evidence_id")
+    issue = F.when(k % 15 == 0, "day unknown").otherwise(F.date_format(F.date_sub(found, 40), "yyyy-MM-dd"))
+    expiry = F.date_format(F.date_add(found, (k % 900).cast("int")), "yyyy-MM-dd")
+
+    def claim(where, field, value):
+        return rows.filter(where).select(
+            F.concat_ws("-", "extraction_run_id", F.lit(field)).alias("id"), "evidence_id", "extraction_run_id", F.lit(field).alias("field_key"), value.alias("raw_value"), value.alias("normalized_value"), F.lit("unpublished").alias("published_state")
+        )
 
+    more = claim(k % 3 == 0, "issue_date", issue).unionByName(claim(k % 5 < 2, "expiry_date", expiry))
+    return ChainMap({"extracted_claims": t["extracted_claims"].unionByName(more, allowMissingColumns=True)}, t)
 
-APPROVED = """
-ap as (select l.evidence_id, l.entity_id, e.evidence_type, e.issue_date, e.expiry_date, n.visibility, n.registration_number_normalized nreg from links l join entities n on n.id=l.entity_id join evidence_raw e on e.id=l.evidence_id where l.evidence_id%4=1 and n.merged_into_id is null),
-ac as (select a.entity_id, a.evidence_id, w.field_key, w.value, coalesce(fo.locked and coalesce(fo.value, case w.field_key when 'bee_level' then s.bee_level end)<>w.value, false) blocked from ap a join working w on w.evidence_id=a.evidence_id
+
+def approved(t):
+    """Documents a reviewer approves: every fourth, for its linked company; some from a review, open or not."""
+    k = F.col("evidence_id")
+    item = F.when((k % 3 == 0) | (k % 21 == 1), k).when(k % 33 == 5, -k).when(k % 33 == 10, k - 1)
+    return t["evidence_entity_links"].filter(k % 4 == 1).select("evidence_id", "entity_id", item.alias("review_item_id"))
+
+
+def published(t, table, **options):
+    tables = dated(t)
+    return P.publish_batch(tables, approved(tables), CLOCK, **options)[table]
+
+
+CERTS = "('bee_certificate','sworn_affidavit')"
+APPROVED = f"""
+dc as (select r.evidence_id, r.run_id||'-issue_date' id, 'issue_date' field_key, case when r.evidence_id%15=0 then 'day unknown' else strftime(e.discovered_at-40,'%Y-%m-%d') end as value from latest_run r join evidence_raw e on e.id=r.evidence_id where r.evidence_id%3=0
+   union all select r.evidence_id, r.run_id||'-expiry_date', 'expiry_date', strftime(e.discovered_at+(r.evidence_id%900)::int,'%Y-%m-%d') from latest_run r join evidence_raw e on e.id=r.evidence_id where r.evidence_id%5<2),
+wk as (select evidence_id, id, field_key, value, published_state from working union all select *, 'unpublished' from dc),
+rq as (select l.evidence_id, l.entity_id, case when l.evidence_id%3=0 or l.evidence_id%21=1 then l.evidence_id when l.evidence_id%33=5 then -l.evidence_id when l.evidence_id%33=10 then l.evidence_id-1 end item from links l where l.evidence_id%4=1),
+er as (select q.*, case when item is not null and r.id is null then 'Review item no longer exists.' when item is not null and r.status not in ('pending','in_review') then 'Review item is no longer open.'
+   when item is not null and r.evidence_id<>q.evidence_id then 'Review item is attached to different evidence.' when n.id is null then 'Entity not found.' when n.merged_into_id is not null then 'This entity was merged. Publish against the surviving record.'
+   when e.id is null then 'Evidence not found.' end as error from rq q left join review_items r on r.id=q.item left join entities n on n.id=q.entity_id left join evidence_raw e on e.id=q.evidence_id),
+ap as (select l.evidence_id, l.entity_id, l.item, e.evidence_type, n.visibility, n.registration_number_normalized nreg,
+   case when e.evidence_type in {CERTS} then coalesce(try_cast(di.value as date), e.issue_date) else coalesce(e.issue_date, try_cast(di.value as date)) end issue_date,
+   case when e.evidence_type in {CERTS} then coalesce(try_cast(dx.value as date), e.expiry_date) end expiry_date
+   from er l join entities n on n.id=l.entity_id join evidence_raw e on e.id=l.evidence_id left join dc di on di.evidence_id=l.evidence_id and di.field_key='issue_date' left join dc dx on dx.evidence_id=l.evidence_id and dx.field_key='expiry_date' where l.error is null),
+ac as (select a.entity_id, a.evidence_id, w.id, w.field_key, w.value, coalesce(fo.locked and coalesce(fo.value, case w.field_key when 'bee_level' then s.bee_level end)<>w.value, false) blocked from ap a join wk w on w.evidence_id=a.evidence_id
    left join state s on s.entity_id=a.entity_id left join field_overrides fo on fo.locked and fo.entity_id=a.entity_id and fo.field_key=w.field_key
-   where a.evidence_type in ('bee_certificate','sworn_affidavit') and trim(w.value)<>'' and not (w.field_key='registration_number' and coalesce(regexp_replace(lower(w.value),'[^a-z0-9]','','g')<>a.nreg,false))),
+   where a.evidence_type in {CERTS} and trim(w.value)<>'' and not (w.field_key='registration_number' and coalesce(regexp_replace(lower(w.value),'[^a-z0-9]','','g')<>a.nreg,false))),
 sp as (select * from (select a.entity_id, s.evidence_id previous_id, p.issue_date pi, p.expiry_date pe, max(a.evidence_id) filter (where rn=1) nid, max(a.issue_date) filter (where rn=1) ni, bool_or(a.issue_date is null) und
-   from (select *, row_number() over (partition by entity_id order by issue_date desc nulls last, evidence_id desc) rn from ap where evidence_type in ('bee_certificate','sworn_affidavit')) a join state s on s.entity_id=a.entity_id join evidence_raw p on p.id=s.evidence_id group by 1,2,3,4)
+   from (select *, row_number() over (partition by entity_id order by issue_date desc nulls last, evidence_id desc) rn from ap where evidence_type in {CERTS}) a join state s on s.entity_id=a.entity_id join evidence_raw p on p.id=s.evidence_id group by 1,2,3,4)
    where previous_id<>nid and (pi is null or und or ni>=pi))"""
 
 
 @query("supersede_previous", f"with {APPROVED} select entity_id, previous_id evidence_id, nid replaced_by, case when pe<date '2001-01-01' then 'expired' else 'superseded' end lifecycle_state from sp")
 def supersede_previous(t):
-    return P.publish_batch(t, approved(t), CLOCK)["superseded"]
+    return published(t, "superseded")
 
 
 @query(
@@ -333,27 +371,55 @@ def supersede_previous(t):
         select entity_id, field_key, value, evidence_id, p=1 changed from (select *, row_number() over (partition by entity_id, field_key order by p desc, evidence_id desc) rn from u) where rn=1""",
 )
 def upsert_published_claims(t):
-    return P.publish_batch(t, approved(t), CLOCK)["published_claims"]
+    return published(t, "published_claims")
 
 
 @query(
     "publish_batch",
-    f"""with {APPROVED} select a.evidence_id id, 'published' publication_state, 'approved' review_state, case when evidence_type in ('bee_certificate','sworn_affidavit') then case when expiry_date is null then 'unknown_validity' when expiry_date<date '2001-01-01' then 'expired' when expiry_date<=date '2001-01-01'+90 then 'expiring_soon' else 'current' end else 'historical' end lifecycle_state,
-        strftime(issue_date,'%Y-%m-%d') issue_date, case when evidence_type in ('bee_certificate','sworn_affidavit') then strftime(expiry_date,'%Y-%m-%d') end expiry_date from ap a""",
+    f"""with {APPROVED} select a.evidence_id id, 'published' publication_state, 'approved' review_state, case when evidence_type in {CERTS} then case when expiry_date is null then 'unknown_validity' when expiry_date<date '2001-01-01' then 'expired' when expiry_date<=date '2001-01-01'+90 then 'expiring_soon' else 'current' end else 'historical' end lifecycle_state,
+        strftime(issue_date,'%Y-%m-%d') issue_date, strftime(expiry_date,'%Y-%m-%d') expiry_date from ap a""",
 )
 def publish_batch(t):
-    return P.publish_batch(t, approved(t), CLOCK)["evidence"]
+    return published(t, "evidence")
 
 
 @query(
     "publish_batch_events",
     f"""with {APPROVED}, kept as (select evidence_id, string_agg(field_key, ', ' order by field_key) k from ac where blocked group by 1)
-        select a.entity_id, a.evidence_id, case when a.evidence_type not in ('bee_certificate','sworn_affidavit') then 'Published official procurement disclosure '||a.evidence_id||coalesce(' (reported B-BBEE level '||w.value||')','')||'. This is not a current verification certificate.'
-            when w.value is not null then 'Published B-BBEE level '||w.value||' from evidence '||a.evidence_id else 'Published evidence '||a.evidence_id end || coalesce(' (locked fields preserved: '||kept.k||')','') summary, sp.previous_id previous_evidence_id
-        from ap a left join working w on w.evidence_id=a.evidence_id and w.field_key='bee_level' left join kept on kept.evidence_id=a.evidence_id left join sp on sp.nid=a.evidence_id""",
+        select a.entity_id, a.evidence_id, 'published' event_type, case when a.evidence_type not in {CERTS} then 'Published official procurement disclosure '||a.evidence_id||coalesce(' (reported B-BBEE level '||w.value||')','')||'. This is not a current verification certificate.'
+            when c.value is not null then 'Published B-BBEE level '||c.value||' from evidence '||a.evidence_id else 'Published evidence '||a.evidence_id end || coalesce(' (locked fields preserved: '||kept.k||')','') summary, sp.previous_id previous_evidence_id, 'reviewer' published_by
+        from ap a left join working w on w.evidence_id=a.evidence_id and w.field_key='bee_level' and trim(w.value)<>'' left join ac c on c.evidence_id=a.evidence_id and c.field_key='bee_level' and not c.blocked left join kept on kept.evidence_id=a.evidence_id left join sp on sp.nid=a.evidence_id""",
 )
 def publish_batch_events(t):
-    return P.publish_batch(t, approved(t), CLOCK)["events"]
+    return published(t, "events")
+
+
+@query(
+    "publish_batch_claim_states",
+    f"""with {APPROVED}, c as (select id, evidence_id, true as fresh from ac where not blocked union all select id, evidence_id, false from claims where published_state='published' and evidence_id in (select previous_id from sp))
+        select id claim_id, evidence_id, case when evidence_id in (select previous_id from sp) then 'superseded' else 'published' end published_state, case when bool_or(fresh) then 'approved' end review_state from c group by id, evidence_id""",
+)
+def publish_batch_claim_states(t):
+    return published(t, "claim_states")
+
+
+@query("publish_batch_reviews", f"with {APPROVED} select distinct item id, 'approved' status, 'reviewer' reviewer_id, 'Approved and published.' resolution from ap where item is not null")
+def publish_batch_reviews(t):
+    return published(t, "reviews")
+
+
+@query("publish_batch_refused", f"with {APPROVED} select evidence_id, entity_id, error from er where error is not null")
+def publish_batch_refused(t):
+    return published(t, "refused")
+
+
+@query(
+    "publish_batch_audit",
+    f"""with {APPROVED}, g as (select evidence_id, string_agg(field_key||'='||value, '|' order by field_key||'='||value) filter (where not blocked) f, string_agg(field_key, '|' order by field_key) filter (where blocked) b from ac group by 1)
+        select 'rule' actor_id, 'evidence.auto_published' as action, 'evidence' target_type, evidence_id::varchar target_id, entity_id, coalesce(f,'') fields, coalesce(b,'') skipped_locked, 3::bigint rule_version, 'All gates passed.' reason from ap left join g using (evidence_id)""",
+)
+def publish_batch_audit(t):
+    return published(t, "audit", rule_version=3, actor="rule", reason="All gates passed.")
 
 
 def repair_inputs(t):
