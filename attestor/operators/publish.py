@@ -117,9 +117,15 @@ def checked_evidence(tables, min_confidence: float = 0.98) -> DataFrame:
         "entity_id", F.col("bee_level").alias("s_level"), F.col("evidence_id").alias("s_evidence"), F.col("issue_date").alias("s_issue")
     )
     locks = tables["field_overrides"].filter("locked").groupBy("entity_id").agg(any_where(F.col("field_key") == "bee_level").alias("level_locked"))
+    evidence = tables["evidence_raw"]
+    # A copy is a document whose content was stored before, under a smaller id; joined by id, so a much copied text is no hot key.
+    first = evidence.filter(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first_copy"))
+    live = F.col("source_live_status") if "source_live_status" in evidence.columns else F.lit(None).cast("string")
     return (
-        tables["evidence_raw"]
-        .select("id", "evidence_type", "issue_date", "expiry_date", "mime_type", "source_domain")
+        evidence.select("id", "evidence_type", "issue_date", "expiry_date", "mime_type", "source_domain", "content_hash", live.alias("source_live_status"))
+        .join(first, "id", "left")
+        .withColumn("duplicate_hash", F.col("content_hash").isNotNull() & F.col("first_copy").isNull())
+        .drop("content_hash", "first_copy")
         .join(wide, "id", "left")
         .withColumn("agency_key", N.normalize_name(F.col("c_agency")))
         .join(agencies, "agency_key", "left")
@@ -148,11 +154,13 @@ def validate_claims(checked: DataFrame) -> DataFrame:
             flag(F.col("_iw").isNotNull(), "impossible_date", "error"),
             flag(F.col("_ew").isNotNull(), "impossible_date", "error"),
             flag(F.col("_expiry") < F.col("_issue"), "expiry_before_issue", "error"),
+            flag(F.col("duplicate_hash"), "duplicate_hash", "warning"),
             flag((reg != "") & (reg != F.col("registration_number_normalized")), "registration_mismatch", "error"),
             flag(N.normalize_name(F.col("c_name")) != F.col("normalized_name"), "company_mismatch", "warning"),
             flag((level != F.col("s_level")) & F.col("s_evidence").isNotNull(), "conflicting_level", "warning"),
             flag(F.col("low_confidence_claims") > 0, "low_confidence", "warning"),
             flag(F.col("c_agency").isNotNull() & F.col("known_agency").isNull(), "unknown_verifier", "warning"),
+            flag(F.col("source_live_status") == "missing", "source_missing", "warning"),
             flag(F.col("_issue") < F.col("s_issue"), "older_than_current", "warning"),
             flag((mime != "") & ~mime.rlike(r"^(application/pdf|text/|image/|application/json|application/xml)"), "unexpected_mime", "warning"),
             flag(F.col("evidence_type").isin(RECOGNISED_TYPES) & level.isNull(), "missing_level", "warning"),
