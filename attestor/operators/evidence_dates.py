@@ -179,6 +179,7 @@ def classify_eligibility(tables, clock: Clock) -> DataFrame:
         count_where(status == "unknown").alias("unknown_count"),
         count_where(F.col("qualifies")).alias("qualifying_count"),
         any_where(F.col("current")).alias("current_certificate"),
+        F.min("id").alias("first_evidence_id"),
         F.max(F.struct(kind_rank(F.col("kind")).alias("r"), F.col("resolved.iso").alias("d"), F.col("id"), F.col("kind"))).getField("kind").alias("latest_kind"),
         F.max(
             F.struct(F.col("directory_rank").alias("r"), F.col("issue_date"), F.col("id"), (disclosure & (status != "modern")).alias("old"))
@@ -245,6 +246,36 @@ def withdraw_ineligible(tables, classified: DataFrame) -> DataFrame:
     )
 
 
+def withdrawal_audit(classified: DataFrame, clock: Clock) -> DataFrame:
+    """One audit row for each hidden entity."""
+    boundary = F.date_format(F.lit(clock.recent_from), "d MMMM yyyy")
+    unknown = F.lit("Public page withdrawn: all evidence is undated. An unknown date does not count as recent. Entity, evidence and provenance were kept.")
+    stale = F.concat(F.lit("Public page withdrawn: no qualifying evidence dated "), boundary, F.lit(" or later. Historical records were kept."))
+    return classified.filter(F.col("bucket").startswith("unpublish")).select(
+        F.lit("entity.unpublished").alias("action"),
+        F.lit("entity").alias("target_type"),
+        F.col("entity_id").alias("target_id"),
+        F.lit("public").alias("before_visibility"),
+        F.lit("hidden").alias("after_visibility"),
+        "bucket",
+        F.when(F.col("bucket") == "unpublish_unknown", unknown).otherwise(stale).alias("reason"),
+    )
+
+
+def withdrawal_reviews(classified: DataFrame) -> DataFrame:
+    """The review that each hidden entity with undated evidence opens, at its first document."""
+    return classified.filter(F.col("bucket").startswith("unpublish") & F.col("needs_review")).select(
+        F.lit("invalid_dates").alias("type"),
+        F.lit("normal").alias("severity"),
+        F.concat(F.lit("Unpublished after the recency audit: "), "reason", F.lit(" Publish again only if recent qualifying evidence is found.")).alias("reason"),
+        "entity_id",
+        F.col("first_evidence_id").alias("evidence_id"),
+        "bucket",
+        "unknown_count",
+        "past_count",
+    )
+
+
 def latest_summary(tables, clock: Clock, latest: DataFrame) -> DataFrame:
     """One line about the latest evidence: level, kind, source, date."""
     dates = tables["evidence_raw"].select(F.col("id").alias("evidence_id"), "issue_date_raw", "created_at", "retrieved_at")

@@ -240,16 +240,16 @@ ELIGIBLE = f"""{EVIDENCE_DATED},
    when 'expired_certificate' then 50 when 'historical_certificate' then 50 when 'official_undated' then 35 else 40 end krank,
    case when evidence_type='company_webpage' and issue_date>=date '1999-01-01' then 80 else (select rank from ranked r where r.id=el.id) end drank from el),
  ew as (select *, row_number() over (partition by entity_id order by krank desc, coalesce(rdate,'') desc, id desc) kn, row_number() over (partition by entity_id order by drank desc, issue_date desc nulls last, id desc) dn from er),
- ea as (select entity_id, count(*) filter (where elig='modern') mc, count(*) filter (where elig='past') pc, count(*) filter (where elig='unknown') uc, count(*) filter (where elig='modern' or cur) qc, bool_or(cur) cc,
+ ea as (select entity_id, min(id) fe, count(*) filter (where elig='modern') mc, count(*) filter (where elig='past') pc, count(*) filter (where elig='unknown') uc, count(*) filter (where elig='modern' or cur) qc, bool_or(cur) cc,
    max(kind) filter (where kn=1) lk, bool_or(evidence_type not in ('bee_certificate','sworn_affidavit') and elig<>'modern') filter (where dn=1) dh from ew group by 1),
- ec as (select e.id entity_id, coalesce(mc,0) mc, coalesce(pc,0) pc, coalesce(uc,0) uc, coalesce(qc,0) qc, coalesce(cc,false) cc, lk, coalesce(dh,false) dh from live e left join ea on ea.entity_id=e.id),
+ ec as (select e.id entity_id, fe, coalesce(mc,0) mc, coalesce(pc,0) pc, coalesce(uc,0) uc, coalesce(qc,0) qc, coalesce(cc,false) cc, lk, coalesce(dh,false) dh from live e left join ea on ea.entity_id=e.id),
  eb as (select *, case when qc>0 and (dh or coalesce(lk in ('historical_procurement_disclosure','historical_disclosure','historical_certificate','expired_certificate'),false)) then 'keep_has_newer' when qc>0 then 'keep_qualifying_latest'
    when mc+pc+uc=0 or (uc>0 and pc=0) then 'unpublish_unknown' else 'unpublish_past' end bucket, qc=0 and (mc+pc+uc=0 or uc>0) review from ec)"""
 
 
 @query(
     "classify_eligibility",
-    f"""with {ELIGIBLE} select entity_id, mc modern_count, pc past_count, uc unknown_count, qc qualifying_count, cc current_certificate, lk latest_kind, dh directory_historical, bucket, review needs_review,
+    f"""with {ELIGIBLE} select entity_id, fe first_evidence_id, mc modern_count, pc past_count, uc unknown_count, qc qualifying_count, cc current_certificate, lk latest_kind, dh directory_historical, bucket, review needs_review,
         case when bucket='keep_has_newer' then 'A historical record is the latest shown, but recent or current-certificate evidence also exists.' when qc>0 and cc then 'Current or expiring-soon certificate.' when qc>0 then 'Has stated recent qualifying evidence.'
           when mc+pc+uc=0 then 'No published evidence.' when uc>0 and pc=0 then 'Only evidence with dates not stated in the source.' when uc>0 then 'No recent qualifying evidence; the rest is old or undated.' else 'Only evidence from before the boundary.' end reason from eb""",
 )
@@ -283,6 +283,25 @@ def withdraw_ineligible(t):
     return ED.withdraw_ineligible(t, ED.classify_eligibility(t, CLOCK))
 
 
+@query(
+    "withdrawal_audit",
+    f"""with {ELIGIBLE} select 'entity.unpublished' as action, 'entity' target_type, entity_id target_id, 'public' before_visibility, 'hidden' after_visibility, bucket,
+        case when mc+pc+uc=0 or (uc>0 and pc=0) then 'Public page withdrawn: all evidence is undated. An unknown date does not count as recent. Entity, evidence and provenance were kept.'
+        else 'Public page withdrawn: no qualifying evidence dated 1 January 1999 or later. Historical records were kept.' end reason from eb where qc=0""",
+)
+def withdrawal_audit(t):
+    return ED.withdrawal_audit(ED.classify_eligibility(t, CLOCK), CLOCK)
+
+
+@query(
+    "withdrawal_reviews",
+    f"""with {ELIGIBLE} select 'invalid_dates' as type, 'normal' severity, 'Unpublished after the recency audit: '||case when mc+pc+uc=0 then 'No published evidence.' when pc=0 then 'Only evidence with dates not stated in the source.' else 'No recent qualifying evidence; the rest is old or undated.' end
+        ||' Publish again only if recent qualifying evidence is found.' reason, entity_id, fe evidence_id, bucket, uc unknown_count, pc past_count from eb where qc=0 and (mc+pc+uc=0 or uc>0)""",
+)
+def withdrawal_reviews(t):
+    return ED.withdrawal_reviews(ED.classify_eligibility(t, CLOCK))
+
+
 @query(
     "latest_summary",
     f"""with {EVIDENCE_DATED}, l as (select l.*, e.rdate, e.ryear, e.dt, e.invented from latest l join ed e on e.id=l.evidence_id),
