@@ -5,17 +5,23 @@ each have a number, all others share buckets by hash.  The two words on either
 side of a hidden one each add a vector of their own place; the sum, bent by
 tanh, predicts first the class of the hidden word, then the word within its
 class, so a prediction costs about twice the square root of the vocabulary.
+For a word in a bucket, the probability of the bucket is multiplied by the
+word's share in it: its count over the bucket's count and one, so that the
+probabilities are those of words.  Shares come from a join of the documents'
+words with the counts, whatever the size of the vocabulary.
 
 Training hides about one word in ``1 / MASK`` of every document, chosen by
 hash, so it grows with the corpus.  Each task trains a copy on its documents;
 the copies are averaged, weighted by their examples, in blocks that Spark adds
 up in two steps, and the next round starts from the average.
 
-Scoring predicts every word of every text and sums the log-probabilities.
+Scoring predicts every word of every text and sums the log-probabilities; the
+parts from counts are summed in fixed steps, so their order does not matter.
 
 Edge cases: a null or empty text has no words, a sum of 0 and no mean; equal
-texts have equal scores; a word outside the vocabulary is scored as its bucket;
-an empty table trains nothing and scores nothing.
+texts have equal scores; the words that were never counted have one share
+together in each bucket, that of a word counted once; an empty table trains
+nothing and scores nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import annotated, hashed_words, mix
+from attestor.llm.common import annotated, hashed_words, hot_join, mix, shared_folder, stored
 
 CLASSES, PER_CLASS, RARE = 32, 32, 64
 WORDS = CLASSES * PER_CLASS
@@ -38,13 +44,23 @@ MASK, ROUNDS, BATCH, RATE = 1 / 16, 2, 512, 0.08
 SCORED, COPIES = 65_536, 512
 NOTHING = WORDS  # number of the place beyond either end
 
-ADDED = "n_words long, log_prob double"
+#: Logarithms of counts are summed as whole numbers of this part.
+STEP = 2.0**-32
+
+COUNTS = "word long, n long"
+SCORED_PARTS = "n_words long, log_prob double, words array<long>, times array<long>"
 
 
 class Vocabulary:
-    """Numbers of words: the frequent ones by rank, the others by bucket."""
+    """Numbers of words: the frequent ones by rank, the others by bucket.
+
+    ``totals`` has the count of all other words of each bucket, ``counts`` the
+    folder with the count of every word.
+    """
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, totals: np.ndarray | None = None, counts: str | None = None):
+        self.totals = np.zeros(RARE, np.int64) if totals is None else totals
+        self.counts = counts
         self.hashes = np.sort(frequent)
         self.number = np.empty(len(frequent), np.int32)
         # ranks are dealt over the classes so that each holds frequent and rare words
@@ -166,7 +182,7 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:
-    """The most frequent words of the whole corpus; ties go to the smaller hash."""
+    """The most frequent words of the whole corpus, ties to the smaller hash, and the counts of all words, which are stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +190,15 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:
             words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    folder = shared_folder(docs.sparkSession, "words")
+    counts = stored(docs.select(text).mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "words", folder)
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect()
-    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    totals = np.zeros(RARE, np.int64)
+    for r in counts.groupBy(F.col("word").bitwiseAND(RARE - 1).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # at most RARE rows
+        totals[r["bucket"]] = r["n"]
+    for r in top:
+        totals[r["word"] & RARE - 1] -= r["n"]
+    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64), totals, folder)
 
 
 def trained(docs: DataFrame, words: Vocabulary, *, text: str = "text", rounds: int = ROUNDS, batch: int = BATCH) -> Network:
@@ -221,13 +243,26 @@ def added(group: pa.Table) -> pa.Table:
     return pa.table({"block": [group.column("block")[0].as_py()], "part": [group.column("part")[0].as_py()], "n": [sum(n for n, _ in rows)], "sums": [total.tobytes()]}, schema=pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())]))
 
 
+def rare_words(words: np.ndarray, numbers: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of buckets of each text, how often each is there, and how many each text has."""
+    at = np.flatnonzero(numbers < RARE)
+    text = np.searchsorted(ranges, at, side="right") - 1
+    order = np.lexsort((words[at], text))
+    word, text = words[at][order], text[order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)])
+    return word[first], np.diff(np.append(first, len(word))), np.bincount(text[first], minlength=len(ranges) - 1)
+
+
 def scored(docs: DataFrame, words: Vocabulary, network: Network, *, text: str = "text") -> DataFrame:
-    """Each document as ``row`` with its words and its pseudo-log-likelihood."""
-    held = docs.sparkSession.sparkContext.broadcast((words, network.flat))
+    """Each document without its text as ``row``, with its words and its pseudo-log-likelihood."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((words, network.flat))
 
     def work(texts: pa.Array) -> list:
         known, own = held.value[0], Network(held.value[1])
+        out_of = np.log(known.totals + 1.0)
         n, logs = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        rare, times, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for i, j, found, ranges in hashed_words(texts):
             n[i:j] = np.diff(ranges)
             numbers = known.numbers(found)
@@ -235,8 +270,25 @@ def scored(docs: DataFrame, words: Vocabulary, network: Network, *, text: str =
             for k in range(0, len(found), SCORED):
                 at = np.arange(k, min(k + SCORED, len(found)))
                 each[at] = own.log_probs(contexts(numbers, ranges, at), numbers[at])
+            inside = numbers < RARE
+            each[inside] -= out_of[numbers[inside]]
             sums = np.append(0, np.cumsum(each))
             logs[i:j] = sums[ranges[1:]] - sums[ranges[:-1]]
-        return [pa.array(n), pa.array(logs)]
-
-    return annotated(docs, text, work, ADDED)
+            for all_of, one in zip((rare, times, kinds), rare_words(found, numbers, ranges), strict=True):
+                all_of.append(one)
+        bounds = pa.array(np.cumsum(np.concatenate(kinds)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x).view(np.int64))) for x in (rare, times)]
+        return [pa.array(n), pa.array(logs), *lists]
+
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), others, F.col(f"`{text}`").alias("text"))
+    parts = stored(annotated(keyed, "text", work, SCORED_PARTS).select("row.key", "row.row", "n_words", "log_prob", "words", "times"), "likelihood")
+    if words.counts is None:
+        return parts.select("row", "n_words", "log_prob")
+    # a word counted once, or never, adds log 1
+    counts = spark.read.schema(COUNTS).parquet(words.counts).filter((F.col("n") > 1) & ~F.col("word").isin(words.hashes.view(np.int64).tolist()))
+    facts = stored(counts.select("word", F.round(F.log("n") / STEP).cast("long").alias("steps"), "n"), "rare")
+    rows = parts.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    sums = hot_join(rows, facts, "word", "n").groupBy("key").agg(F.sum(F.col("times") * F.col("steps")).alias("steps"))
+    log_prob = F.col("log_prob") + F.coalesce("steps", F.lit(0)) * STEP
+    return parts.select("key", "row", "n_words", "log_prob").join(sums, "key", "left").select("row", "n_words", log_prob.alias("log_prob"))

@@ -340,6 +340,23 @@ def test_network_gradients_and_order(spark):
     assert right > -2.2 and right > wrong + 1.5
 
 
+def test_words_of_one_bucket_have_their_own_shares(spark):
+    frequent = [f"f{k}" for k in range(pseudo_likelihood.WORDS - pseudo_likelihood.RARE)]
+    (_, _, found, _) = next(hashed_words(pa.array([" ".join(f"r{k}" for k in range(2000))])))
+    one, two, three, new = (f"r{k}" for k in np.flatnonzero(found % np.uint64(pseudo_likelihood.RARE) == found[0] % np.uint64(pseudo_likelihood.RARE))[:4])
+    shape = "doc_id long, text string"
+    docs = spark.createDataFrame([(0, " ".join(frequent * 9)), (1, f"{one} {one} {one} {one} {two} {two} {three}")], shape)
+    words = pseudo_likelihood.vocabulary(docs)
+    asked = [*enumerate((one, two, three, new, "f5")), (5, f"{one} f1"), (6, f"{two} f1"), (7, f"{one} f1"), (8, "")]
+    found = pseudo_likelihood.scored(spark.createDataFrame(asked, shape), words, pseudo_likelihood.Network()).collect()
+    log = {r["row"]["doc_id"]: r["log_prob"] for r in found}
+    assert [log[k] - log[2] for k in (0, 1, 3)] == pytest.approx([math.log(4), math.log(2), 0], abs=1e-6)
+    near = [np.full(1, pseudo_likelihood.NOTHING)] * 4
+    whole = pseudo_likelihood.Network().log_probs(near, words.numbers(next(hashed_words(pa.array([one])))[2]))[0]
+    assert sum(math.exp(log[k]) for k in range(4)) == pytest.approx(math.exp(whole), rel=1e-4)  # the shares add up to the bucket
+    assert log[5] - log[6] == pytest.approx(math.log(2), abs=1e-6) and log[5] == pytest.approx(log[7]) and log[8] == 0
+
+
 # --- pipeline
 
 
