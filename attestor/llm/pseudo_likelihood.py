@@ -10,8 +10,8 @@ word's share in it: its count over the bucket's count and one, so that the
 probabilities are those of words.  Shares come from a join of the documents'
 words with the counts, whatever the size of the vocabulary.
 
-Training hides about one word in ``1 / MASK`` of every document, chosen by
-hash, so it grows with the corpus.  Each task trains a copy on its documents;
+Training predicts every word of every document: a hash deals the words to the
+rounds, so each is the target in one of them.  Each task trains a copy on its documents;
 the copies are averaged, weighted by their examples, in blocks that Spark adds
 up in two steps, and the next round starts from the average.
 
@@ -39,8 +39,8 @@ from attestor.llm.common import annotated, hashed_words, hot_join, mix, shared_f
 CLASSES, PER_CLASS, RARE = 32, 32, 64
 WORDS = CLASSES * PER_CLASS
 HIDDEN, SIDES = 32, (-2, -1, 1, 2)
-MASK, ROUNDS, BATCH, RATE = 1 / 16, 2, 512, 0.08
-#: Words that are scored at a time, and copies added up in one step.
+ROUNDS, BATCH, RATE = 2, 512, 0.08
+#: Words whose neighbours are looked up at a time, and copies added up in one step.
 SCORED, COPIES = 65_536, 512
 NOTHING = WORDS  # number of the place beyond either end
 
@@ -95,10 +95,12 @@ def contexts(numbers: np.ndarray, ranges: np.ndarray, at: np.ndarray) -> list[np
     return out
 
 
-def masked(words: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """Places that training hides: by a hash of the word and its place in the text."""
+def round_of(words: np.ndarray, ranges: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target: by a hash of the word, its place and its text."""
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(words, dtype=np.uint64))
+    texts = mix(sums[ranges[1:]] - sums[ranges[:-1]])
     place = np.arange(len(words)) - np.repeat(ranges[:-1], np.diff(ranges))
-    return np.flatnonzero(mix(words + place.astype(np.uint64)) < np.uint64(int(MASK * 2**64)))
+    return mix(words + place.astype(np.uint64) + np.repeat(texts, np.diff(ranges))) % np.uint64(rounds)
 
 
 SHAPES = {"sides": (len(SIDES), WORDS + 1, HIDDEN), "bend": (HIDDEN,), "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, HIDDEN, PER_CLASS), "word_b": (CLASSES, PER_CLASS)}
@@ -140,10 +142,16 @@ class Network:
                 out[mine] += log_softmax(h[a:b] @ self.word_w[c] + self.word_b[c])[np.arange(b - a), word[mine]]
         return out
 
-    def _step(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
+    def _step(self, name: str, gradient: np.ndarray, rows=None) -> None:
         squares, value = self.squares[name], getattr(self, name)
-        squares[rows] += gradient**2
-        value[rows] -= RATE * gradient / np.sqrt(squares[rows])
+        if rows is None:
+            squares += gradient * gradient
+            value -= RATE * gradient / np.sqrt(squares)
+            return
+        squares, value = squares.reshape(-1, HIDDEN), value.reshape(-1, HIDDEN)
+        now = squares[rows] + gradient * gradient
+        squares[rows] = now
+        value[rows] -= RATE * gradient / np.sqrt(now)
 
     def learn(self, near: list[np.ndarray], target: np.ndarray) -> None:
         """One step on a batch, with step sizes that shrink by the gradients seen."""
@@ -155,19 +163,27 @@ class Network:
         back = error @ self.class_w.T
         self._step("class_w", h.T @ error / n)
         self._step("class_b", error.sum(axis=0) / n)
-        for c in np.unique(of):
-            mine = np.flatnonzero(of == c)
-            error = softmax(h[mine] @ self.word_w[c] + self.word_b[c])
-            error[np.arange(len(mine)), word[mine]] -= 1
-            back[mine] += error @ self.word_w[c].T
-            self._step("word_w", h[mine].T @ error / n, c)
-            self._step("word_b", error.sum(axis=0) / n, c)
+        # the targets of each class as a block of equal height, so that all classes go in one product
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+        of, high = of[order], int(np.diff(edges).max())
+        place = np.arange(n) - edges[of]
+        blocks = np.zeros((CLASSES, high, HIDDEN), np.float32)
+        blocks[of, place] = h[order]
+        chances = softmax((blocks @ self.word_w + self.word_b[:, None])[of, place])
+        chances[np.arange(n), word[order]] -= 1
+        error = np.zeros((CLASSES, high, PER_CLASS), np.float32)
+        error[of, place] = chances
+        back[order] += (error @ self.word_w.transpose(0, 2, 1))[of, place]
+        self._step("word_w", blocks.transpose(0, 2, 1) @ error / n)
+        self._step("word_b", error.sum(axis=1) / n)
         back *= (1 - h * h) / n
         self._step("bend", back.sum(axis=0))
-        for side, numbers in enumerate(near):
-            order = np.argsort(numbers, kind="stable")
-            rows, first = np.unique(numbers[order], return_index=True)
-            self._step("sides", np.add.reduceat(back[order], first, axis=0), (side, rows))
+        rows = np.concatenate([numbers + side * (WORDS + 1) for side, numbers in enumerate(near)]).astype(np.int16)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        self._step("sides", np.add.reduceat(back[order % n], first, axis=0), rows[first])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -202,24 +218,25 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:
 
 
 def trained(docs: DataFrame, words: Vocabulary, *, text: str = "text", rounds: int = ROUNDS, batch: int = BATCH) -> Network:
-    """A network trained on the hidden words of all documents."""
+    """A network trained on all words of all documents, each in one of the rounds."""
     context = docs.sparkSession.sparkContext
     network = Network()
     block = 1 << 14
-    for _ in range(rounds):
+    for turn in range(rounds):
         held = context.broadcast((words, network.flat))
 
-        def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
             known, flat = held.value
             own, examples = Network(flat.copy()), 0
             for rows in batches:
                 for _, _, found, ranges in hashed_words(rows.column(0)):
                     numbers = known.numbers(found)
-                    at = masked(found, ranges)
-                    for k in range(0, len(at), batch):
-                        some = at[k : k + batch]
-                        own.learn(contexts(numbers, ranges, some), numbers[some])
-                        examples += len(some)
+                    at = np.flatnonzero(round_of(found, ranges, rounds) == turn)
+                    for some in (at[k : k + SCORED] for k in range(0, len(at), SCORED)):
+                        near, target = contexts(numbers, ranges, some), numbers[some]
+                        for k in range(0, len(some), batch):
+                            own.learn([x[k : k + batch] for x in near], target[k : k + batch])
+                    examples += len(at)
             if examples:
                 parts = [own.flat[k : k + block] * np.float32(examples) for k in range(0, len(own.flat), block)]
                 part = TaskContext.get().partitionId() % COPIES

@@ -340,6 +340,26 @@ def test_network_gradients_and_order(spark):
     assert right > -2.2 and right > wrong + 1.5
 
 
+def test_every_word_is_a_target_in_one_round(spark, monkeypatch):
+    (_, _, found, ranges) = next(hashed_words(pa.array(["a b a c", None, "", "a b a c d", "e " * 500])))
+    for rounds in (1, 2, 5):
+        turns = pseudo_likelihood.round_of(found, ranges, rounds)
+        assert len(turns) == len(found) and set(turns.tolist()) == set(range(rounds))
+    docs = spark.createDataFrame([(0, "a b c d e f g h " * 30)], "doc_id long, text string")
+    learned = spark.sparkContext.accumulator(0)
+    step = pseudo_likelihood.Network.learn
+    network = pseudo_likelihood.Network
+
+    class Counting(network):
+        def learn(self, near, target):
+            learned.add(len(target))
+            step(self, near, target)
+
+    monkeypatch.setattr(pseudo_likelihood, "Network", Counting)
+    pseudo_likelihood.trained(docs, pseudo_likelihood.vocabulary(docs), batch=32)
+    assert learned.value == 240
+
+
 def test_words_of_one_bucket_have_their_own_shares(spark):
     frequent = [f"f{k}" for k in range(pseudo_likelihood.WORDS - pseudo_likelihood.RARE)]
     (_, _, found, _) = next(hashed_words(pa.array([" ".join(f"r{k}" for k in range(2000))])))
