@@ -7,6 +7,9 @@ bins; every source and every duplicate cluster has the bit set of the bins that
 hold it.  A document asks for the smallest residual that fits and goes on to
 the next one until a bin there has neither its source nor its cluster.
 
+Clusters are the components of near copies (``near_clusters``); without them
+only texts that differ in case and white space are known as copies.
+
 Edge cases: a text without words (null, empty) is in no bin (null ``bin_id``);
 a text longer than a bin is cut to pieces, of which all but the last fill bins
 of their own; an unknown (null) source is in no conflict; equal rows are packed
@@ -21,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm import simhash
+from attestor.llm.common import stored
+
 CAPACITY = 2048
 #: Tokens that are packed together in one task.
 GROUP_TOKENS = 4_000_000
@@ -34,9 +40,20 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_ROW)), F.lit(0)).cast("long")
 
 
+def folded(text: str) -> Column:
+    return F.regexp_replace(F.trim(F.lower(F.coalesce(text, F.lit("")))), "\\s+", " ")
+
+
 def copy_cluster(text: str) -> Column:
     """Equal for texts that differ in case and white space only."""
-    return F.xxhash64(F.regexp_replace(F.trim(F.lower(F.coalesce(text, F.lit("")))), "\\s+", " "))
+    return F.xxhash64(folded(text))
+
+
+def near_clusters(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, tokens, and as ``cluster`` the component of near copies of the folded text, so that copies by ``copy_cluster`` stay together."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("tokens"), folded(text).alias("text"))
+    printed = stored(simhash.with_fingerprints(slim).select("row.doc_id", "row.source", "row.tokens", "fp"), "fingerprints")
+    return simhash.classes(printed).select("doc_id", "source", "tokens", F.col("root").alias("cluster"))
 
 
 class Bins:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import decontaminate, langid, line_dedup, maxscore, packing, pseudo_likelihood, quality, simhash, token_shards, toxicity
-from attestor.llm.common import shared_folder, table
+from attestor.llm.common import shared_folder, stored, table
 
 TRAINING_KEY = 20240607
 
@@ -37,7 +37,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bin and place of every piece of every document."""
-    return packing.packed_documents(table(spark, sf_dir, "documents"))
+    docs = stored(packing.near_clusters(table(spark, sf_dir, "documents")), "clusters")
+    return packing.packed_documents(docs, tokens=F.col("tokens"), cluster=F.col("cluster"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

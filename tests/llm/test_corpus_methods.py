@@ -200,6 +200,20 @@ def test_packing_covers_every_word_without_conflict(docs, texts):
         assert len({r["source"] for r in own}) == len(own) == len({" ".join(texts[r["doc_id"]].lower().split()) for r in own if r["length"] < packing.CAPACITY} | {r["doc_id"] for r in own if r["length"] == packing.CAPACITY})
 
 
+def test_near_copies_are_in_different_bins(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    first = " ".join(words)
+    near = next(t for k in range(300) if 0 < (simhash.fingerprint(t := " ".join([*words[:k], "other", *words[k + 1 :]])) ^ simhash.fingerprint(first)).bit_count() <= 2)
+    far = " ".join(f"v{rng.randrange(5000)}" for _ in range(300))
+    rows = [(1, first, "a"), (2, near, "b"), (3, far, "c"), (4, "É " + far, "d"), (5, "é  " + far, "e"), (6, None, "f")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {r["doc_id"]: (r["bin_id"], r["length"]) for r in queries.op5_packing(spark, str(tmp_path)).collect()}
+    assert [held[k][1] for k in range(1, 7)] == [300, 300, 300, 301, 301, 0] and held[6][0] is None
+    assert held[1][0] != held[2][0] and held[4][0] != held[5][0]
+    assert len({held[k][0] for k in range(1, 6)}) < 5
+
+
 # --- top k
 
 
