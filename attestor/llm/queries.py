@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import decontaminate, langid, line_dedup, maxscore, packing, pseudo_likelihood, quality, simhash, token_shards, toxicity
+from attestor.llm import decontaminate, exact_dedup, hard_negatives, langid, line_dedup, maxscore, packing, pseudo_likelihood, quality, simhash, token_shards, toxicity, whitening
 from attestor.llm.common import shared_folder, stored, table
 
 TRAINING_KEY = 20240607
@@ -75,7 +75,26 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_decontaminate, op3_quality, op4_simhash, op5_packing, op6_line_dedup, op7_pseudo_likelihood, op8_language, op9_toxicity, op10_maxscore)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives in the windows of every anchor's positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document, and the row that stays."""
+    found = exact_dedup.decided(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+NUMBERED = (op1_token_shards, op2_decontaminate, op3_quality, op4_simhash, op5_packing, op6_line_dedup, op7_pseudo_likelihood, op8_language, op9_toxicity, op10_maxscore, op11_hard_negatives, op12_exact_dedup, op13_whitening)
+QUERIES = {f.__name__: f for f in NUMBERED}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -107,4 +126,18 @@ s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q,
       from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer "rank", vec_id, score from s
 qualify "rank" <= 5""",
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) q from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id, a.l = b.l same, list_sum(list_transform(list_zip(a.q, b.q), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)))::bigint score
+      from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer "rank", vec_id negative_id, positive_score, score negative_score
+from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify "rank" <= 3""",
+    "op12_exact_dedup": f"""
+with t as (select doc_id, {_LOWERED} t from documents)
+select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 kept, sha256(t) text_sha256
+from t""",
 }
