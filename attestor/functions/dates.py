@@ -187,6 +187,11 @@ def _parts(y: Column, m: Column | None = None, d: Column | None = None) -> Colum
     return F.when(year.between(1994, 2100), made)
 
 
+def plain_parts(text: Column) -> Column:
+    """Struct (y, m, d) of ``yyyy``, ``yyyy-MM`` or ``yyyy-MM-dd``."""
+    return _parts(F.substring(text, 1, 4).try_cast("int"), F.substring(text, 6, 2).try_cast("int"), F.substring(text, 9, 2).try_cast("int"))
+
+
 def explicit_date(blob: Column) -> Column:
     """Struct (y, m, d) of the first explicit month date in a decoded text, else null.
 

@@ -119,6 +119,20 @@ def url_host(col: Column) -> Column:
     return F.when(host != "", F.regexp_replace(host, r"^www\.", ""))
 
 
+#: Hosts that no job may fetch: this machine, private networks, multicast.
+PRIVATE_HOST = (
+    r"^(localhost\.?|.*\.(localhost|local|internal)\.?"
+    r"|(0|10|127|169\.254|172\.(1[6-9]|2\d|3[01])|192\.168|22[4-9]|23\d)(\.\d{1,3})+|255\.255\.255\.255"
+    r"|\[(::1?|fe80:.*|f[cd].*|::ffff:(0|10|127|169\.254|172\.(1[6-9]|2\d|3[01])|192\.168|22[4-9]|23\d)\..*)\])$"
+)
+
+
+def fetchable_url(col: Column) -> Column:
+    """An absolute web address of a public host; false for null."""
+    host = F.lower(F.regexp_extract(F.trim(col), r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
+    return F.coalesce((host != "") & ~host.rlike(PRIVATE_HOST), F.lit(False))
+
+
 def canonical_url(col: Column) -> Column:
     """Lower-case scheme and host, no fragment, default port or trailing path slash."""
     pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.views import NAME_WORDS
+
 
 def pick(values: list, index: Column) -> Column:
     items = [v if isinstance(v, Column) else F.lit(v) for v in values]
@@ -379,3 +381,69 @@ def candidates(t) -> DataFrame:
         F.when(k % 8 == 0, "Bids received register").otherwise("Awards").alias("document_title"),
         F.when(k % 2 == 0, F.concat(F.lit("T"), s(k % 50))).alias("tender_number"),
     )
+
+
+def corpus_items(t) -> DataFrame:
+    """One corpus item per customer; groups of eight, in which one company turns up under three names.
+
+    Place 0 gives name A and a number, place 1 name B and that number, place 2
+    name C with alias B: one company, though 0 and 2 share nothing.  Place 3 is
+    a stored company, place 4 stored by number and names place 5 by an alias,
+    place 6 is held unless its number is that of place 0, place 7 is old.
+    """
+    k = K(CUSTOMER)
+    g, p = F.floor(k / 8), (k % 8).cast("int")
+    number = F.concat(s(1990 + g % 30), F.lit("/"), F.lpad(s(500000 + g), 6, "0"), F.lit("/07"))
+    stored_number = F.concat(s(1990 + k % 30), F.lit("/"), F.lpad(s(k % 1000000), 6, "0"), F.lit("/07"))
+    name = pick(
+        [
+            F.concat(F.lit("Kestrel "), s(g), F.lit(" Builders (Pty) Ltd")),
+            F.concat(F.lit("Heron "), s(g), F.lit(" Roads Ltd t/a Heron Tar "), s(g)),
+            F.concat(F.lit("Overberg "), s(g), F.lit(" Plant Hire Limited")),
+            F.concat(F.lit("Firm "), s(k), F.lit(" "), F.when(g % 4 == 0, "Trading").otherwise(pick(NAME_WORDS, k))),
+            F.concat(F.lit("Nightjar "), s(g), F.lit(" Works CC")),
+            F.concat(F.lit("Plover "), s(g), F.lit(" Trust Services")),
+            F.lit("tion Services"),
+            F.concat(F.lit("Wagtail "), s(g), F.lit(" Timber Ltd")),
+        ],
+        k,
+    )
+    none = F.lit(None).cast("string")
+    day = F.concat(s(2018 + g % 8), F.lit("-0"), s(1 + g % 9), F.lit("-15"))
+
+    def disclosure(n: Column, date: Column) -> Column:
+        values = {
+            "sourceUrl": F.when(g % 11 == 10, "http://10.0.0.1/x").otherwise(F.concat(F.lit("https://tenders.example.org/awards/t"), n)),
+            "governmentInstitution": F.concat(F.lit("Department "), s(g % 17)),
+            "tenderNumber": F.concat(F.lit("T"), n),
+            "tenderDescription": F.lit("Road works"),
+            "awardDate": date,
+            "beeLevel": F.concat(F.lit("Level "), s(1 + g % 8)),
+            "enterpriseClass": F.lit("eme"),
+            "contractPeriod": none,
+            "contractAmount": F.lit("R 5"),
+            "sourceTitle": F.when(g % 3 == 0, "Award of 3 March 2025"),
+            "outcome": F.when(g % 4 == 0, "unsuccessful").when(g % 4 == 1, "responded").otherwise("awarded"),
+        }
+        return F.struct(*[v.alias(f) for f, v in values.items()])
+
+    dated = F.when(g % 3 == 1, day)
+    paper = F.struct(F.concat(F.lit("https://www.kestrel"), s(g), F.lit(".example.com/cert.pdf")).alias("url"), *[none.alias(f) for f in ("title", "evidenceType", "issueDate", "expiryDate")])
+    watched = F.struct(F.concat(F.lit("https://www.kestrel"), s(g), F.lit(".example.com/")).alias("url"), F.lit("company_website").alias("sourceType"), F.lit("weekly").alias("frequency"))
+    return t.raw("customer").select(
+        k.alias("ordinal"),
+        name.alias("canonicalName"),
+        F.when(p.isin(1, 4), F.concat(F.lit(" Heron Roads of "), s(g))).alias("legalName"),
+        F.when(p.isin(2, 3), F.concat(F.lit("Plant "), s(g))).alias("tradingName"),
+        F.when(p < 2, number).when((p == 6) & (g % 2 == 0), number).when(p == 4, stored_number).alias("registrationNumber"),
+        F.when(p == 1, F.concat(F.lit("https://heron"), s(g), F.lit(".example.com"))).when(p == 4, "mailto:x").when(p == 3, F.concat(F.lit("http://plant"), s(g), F.lit(".example.com"))).alias("website"),
+        F.when(p == 2, F.array(F.concat(F.lit("Heron "), s(g), F.lit(" Roads")), F.lit(" "), F.concat(F.lit("OB "), s(g)))).when(p == 4, F.array(F.concat(F.lit("Plover "), s(g), F.lit(" trust services")))).alias("aliases"),
+        F.when(p.isin(0, 1), F.array(F.lit("sec_building"), F.lit("sec_jse"), F.lit("sec_none"))).when(p == 2, F.array(F.lit("sec_machinery"))).alias("sectorIds"),
+        (p == 2).alias("jseListed"),
+        F.when(p == 3, F.concat(F.lit("Kestrel "), s(g), F.lit(" Builders"))).when(p == 0, F.concat(F.lit("Kestrel "), s(g), F.lit(" Builders"))).alias("parentName"),
+        none.alias("entityType"),
+        F.when(p == 0, F.array(paper)).alias("evidence"),
+        F.when(p == 2, F.array(watched)).alias("sources"),
+        F.when(p.isin(1, 3), F.array(disclosure(s(k), dated), disclosure(s(k), dated), disclosure(F.concat(s(k), F.lit("-2020-05")), F.lit("not stated")))).when(p == 7, F.array(disclosure(s(k), F.lit("2019")))).alias("procurement"),
+        F.when(p == 3, g % 2 == 0).alias("publishIfSafe"),
+    )

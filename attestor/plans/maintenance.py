@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections import ChainMap
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from attestor.operators import imports as IM
 from attestor.operators import maintain as M
 from attestor.operators import publish as P
 from attestor.operators import quality as QC
 from attestor.operators import resolve as RS
 from attestor.operators.claims import latest_successful_run
 from attestor.plans import inputs as I
+from attestor.plans.oracle_views import normal
 from attestor.plans.registry import query
 from attestor.schemas import DEFAULT_CLOCK as CLOCK
+from attestor.views import NAME_WORDS, Tables
 
 
 def s(col):
@@ -683,6 +687,151 @@ def import_corpus(t):
     return M.import_corpus(t, items)
 
 
+# --- a batch of corpus items ---------------------------------------------------
+@lru_cache(maxsize=4)
+def _imported(app: str, spark, sf_dir: str):
+    return IM.import_batch(Tables(spark, sf_dir, CLOCK), I.corpus_items(Tables(spark, sf_dir, CLOCK)))
+
+
+def imported(t, table):
+    """A table of the batch; the batch is worked out once for a session and folder."""
+    return _imported(t.spark.sparkContext.applicationId, t.spark, t.dir)[table]
+
+
+_WORDS = ",".join(f"'{w}'" for w in NAME_WORDS)
+BATCH = f"""recursive it0 as (select c_custkey k, c_custkey//8 g, c_custkey%8 p from customer),
+it1 as (select *, ['Kestrel '||g||' Builders (Pty) Ltd','Heron '||g||' Roads Ltd','Overberg '||g||' Plant Hire Limited','Firm '||k||' '||case when g%4=0 then 'Trading' else [{_WORDS}][k%{len(NAME_WORDS)}+1] end,
+    'Nightjar '||g||' Works CC','Plover '||g||' Trust Services','tion Services','Wagtail '||g||' Timber Ltd'][p+1] nm,
+  case when p<2 or p=6 and g%2=0 then (1990+g%30)||'/'||lpad((500000+g)::varchar,6,'0')||'/07' when p=4 then (1990+k%30)||'/'||lpad((k%1000000)::varchar,6,'0')||'/07' end reg,
+  case when p in (1,4) then 'Heron Roads of '||g end legal0, case when p in (2,3) then 'Plant '||g when p=1 then 'Heron Tar '||g end trading,
+  case p when 1 then 'https://heron'||g||'.example.com' when 3 then 'http://plant'||g||'.example.com' when 4 then 'mailto:x' end site,
+  case when p in (0,3) then 'kestrel '||g||' builders' end parent,
+  case when p in (1,3) then case g%3 when 0 then 2025 when 1 then greatest(2018+g%8,2020) else 2020 end when p=7 then 2019 end yr from it0),
+it as (select *, coalesce(legal0, case when p=1 then nm||' t/a Heron Tar '||g else nm end) legal, {normal('nm')} nk, replace(reg,'/','') rk, case when site like 'http%' then site end web from it1),
+al0 as (select k, nk, 0 pos, 'Heron '||g||' Roads' alias, p from it where p=2 union all select k, nk, 2, 'OB '||g, p from it where p=2 union all select k, nk, 0, 'Plover '||g||' trust services', p from it where p=4
+  union all select k, nk, 0, 'Heron Tar '||g, p from it where p=1 union all select k, nk, 1, nm||' t/a Heron Tar '||g, p from it where p=1),
+al as (select k, pos, alias, trim(regexp_replace(lower(alias),'[^a-z0-9]+',' ','g')) ak from al0),
+um as (select * from entities where merged_into_id is null),
+rx as (select registration_number_normalized rk, min(id) rid from um where registration_number_normalized is not null group by 1),
+nx as (select normalized_name nk, min(id) nid from um group by 1),
+ax as (select a.normalized_alias nk, min(a.entity_id) aid from entity_aliases a join um on um.id=a.entity_id group by 1),
+ms as (select it.*, coalesce(rid,nid,aid) sid, case when rid is not null then 'registration_number' when nid is not null then 'canonical_name' when aid is not null then 'alias' end via
+  from it left join rx using (rk) left join nx using (nk) left join ax using (nk)),
+hs as (select ms.*, e.registration_number ereg, case when sid is null and p=6 then 'malformed' when sid is null and p in (1,3,7) and yr<2024 then 'old_procurement' end held from ms left join entities e on e.id=ms.sid),
+st as (select *, held is null and sid is null alone, held is null and sid is not null anchor from hs),
+kr as (select rk key, k from st where rk is not null and (alone or anchor and ereg is null)),
+kn as (select nk key, k from st where alone),
+ka as (select ak key, k from al join st using (k) where alone or anchor union select trim(regexp_replace(lower(trading),'[^a-z0-9]+',' ','g')), k from st where alone and trading is not null),
+fr as (select key, min(k) f from kr group by 1), fn as (select key, min(k) f from kn group by 1),
+eg as (select k u, f v from kr join fr using (key) union select k, f from kn join fn using (key) union select k, f from ka join fn using (key)),
+es as (select u, v from eg union select v, u from eg),
+rc as (select k a, k b from st where alone or anchor union select rc.a, es.v from rc join es on es.u=rc.b),
+rt as (select a k, min(b) root from rc group by 1),
+gp as (select root, arg_min(sid, k) filter (anchor) gsid, min(k) filter (alone) founder from st join rt using (k) group by 1),
+gn as (select gp.*, 'ent_'||left(sha256('ent:v1|'||coalesce(f.rk,'')||'|'||f.nk),20) gid from gp left join it f on f.k=founder),
+mb as (select st.k, coalesce(st.sid::varchar, gn.gsid::varchar, gn.gid) eid, founder, gsid from st join rt using (k) join gn using (root)),
+lr as (select key, arg_min(eid, k) e from kr join mb using (k) group by 1), ln as (select key, arg_min(eid, k) e from kn join mb using (k) group by 1), la as (select key, arg_min(eid, k) e from ka join mb using (k) group by 1),
+dc as (select st.*, coalesce(mb.eid, lr.e, ln.e, la.e) eid, alone and gsid is null fresh, alone and gsid is null and st.k=founder made
+  from st left join mb using (k) left join lr on held is not null and lr.key=st.rk left join ln on held is not null and ln.key=st.nk left join la on held is not null and la.key=st.nk),
+ds as (select dc.*, unnest([0,1,2]) pos from dc where p in (1,3) and g%11<>10 and eid is not null),
+dd as (select *, 'https://tenders.example.org/awards/t'||k||case when pos=2 then '-2020-05' else '' end url, 'T'||k||case when pos=2 then '-2020-05' else '' end tender,
+  case when pos<2 and g%3=1 then (2018+g%8)||'-0'||(1+g%9)||'-15' when g%3=0 then '2025-03-03' when pos=2 then '2020-01-01' end dy,
+  case when pos<2 and g%3=1 or g%3=0 then 'day' when pos=2 then 'year' end prec from ds),
+dh as (select *, sha256('gpd:v1|'||url||'|'||lower(tender)||'|'||nk||'|'||(1+g%8)||'|'||coalesce(dy,'')) h from dd)"""
+
+
+@query("import_corpus_decisions", f"with {BATCH} select k ordinal, nm as name, case when eid is null then 'held' when made then 'created' else 'matched' end outcome, case when eid is null then held end held_reason, eid entity_id, case when anchor then via when eid is not null and not coalesce(made,false) then 'batch' end via from dc")
+def import_corpus_decisions(t):
+    return imported(t, "decisions")
+
+
+@query(
+    "import_corpus_entities",
+    f"""with {BATCH}, ne as (select eid, arg_min(nm,k) filter (made) nm, arg_min(nk,k) filter (made) nk, arg_min(legal,k) legal, arg_min(trading,k) trading, arg_min(reg,k) reg, arg_min(case when made then site else web end,k) web from dc where fresh group by 1)
+        select eid id, trim(regexp_replace(lower(nm),'[^a-z0-9]+','-','g'),'-') slug, nm canonical_name, nk normalized_name, legal legal_name, trading trading_name, reg registration_number, replace(reg,'/','') registration_number_normalized, web website,
+          'company' entity_type, 'draft' visibility, 'review_only' automation_state from ne""",
+)
+def import_corpus_entities(t):
+    return imported(t, "entities")
+
+
+@query(
+    "import_corpus_filled",
+    f"""with {BATCH}, o as (select eid, arg_min(reg,k) reg, arg_min(web,k) web, arg_min(legal0,k) legal, arg_min(case when p in (2,3) then trading end,k) trading from dc where eid is not null and not coalesce(fresh,false) group by 1),
+        j as (select o.*, e.registration_number, e.website, e.legal_name, e.trading_name from o join entities e on e.id::varchar=eid),
+        f as (select eid, unnest([{{'f':'registration_number','v':case when registration_number is null and not exists (select 1 from um where um.registration_number=j.reg and um.id::varchar<>j.eid) then reg end}},{{'f':'website','v':case when website is null then web end}},
+          {{'f':'legal_name','v':case when legal_name is null then legal end}},{{'f':'trading_name','v':case when trading_name is null then trading end}}]) x from j)
+        select eid entity_id, x.f field, x.v as value from f where x.v is not null""",
+)
+def import_corpus_filled(t):
+    return imported(t, "filled")
+
+
+@query(
+    "import_corpus_aliases",
+    f"""with {BATCH}, a as (select eid, k, pos, alias, ak, 'other' kind from al join dc using (k) where eid is not null union all select eid, k, -1, trading, trim(regexp_replace(lower(trading),'[^a-z0-9]+',' ','g')), 'trading' from dc where made and trading is not null)
+        select eid entity_id, ak normalized_alias, arg_min(alias, (k,pos)) alias, arg_min(kind, (k,pos)) alias_type from a where not exists (select 1 from entity_aliases x where x.entity_id::varchar=a.eid and x.normalized_alias=a.ak) group by 1,2""",
+)
+def import_corpus_aliases(t):
+    return imported(t, "aliases")
+
+
+@query(
+    "import_corpus_classifications",
+    f"""with {BATCH}, c as (select eid, 'sec_building' sec, 'sector' kind from dc where p<2 union select eid, 'sec_machinery', 'sector' from dc where p=2 union select eid, 'sec_jse', 'listing' from dc where p=2)
+        select eid entity_id, sec sector_id, kind classification_type from c where eid is not null and sec in (select id from sectors) and not exists (select 1 from entity_classifications x where x.entity_id::varchar=eid and x.sector_id=sec and x.classification_type=kind)""",
+)
+def import_corpus_classifications(t):
+    return imported(t, "classifications")
+
+
+@query(
+    "import_corpus_relationships",
+    f"""with {BATCH}, nb as (select nk, arg_min(eid,k) e from dc where eid is not null group by 1), pr as (select distinct eid s, coalesce(nx.nid::varchar, ax.aid::varchar, nb.e) tgt from dc left join nx on nx.nk=parent left join ax on ax.nk=parent left join nb on nb.nk=parent where parent is not null and eid is not null)
+        select s source_entity_id, tgt target_entity_id, 'parent' relationship_type, 'public' public_status from pr where s<>tgt and not exists (select 1 from entity_relationships r where r.relationship_type='parent' and r.source_entity_id::varchar=s and r.target_entity_id::varchar=tgt)""",
+)
+def import_corpus_relationships(t):
+    return imported(t, "relationships")
+
+
+@query(
+    "import_corpus_sources",
+    f"""with {BATCH}, w as (select eid, k, 0 pos, 'https://www.kestrel'||g||'.example.com/' url, 'company_website' kind, 'weekly' freq from dc where p=2 union all select eid, k, 0, 'https://www.kestrel'||g||'.example.com/cert.pdf', 'direct_evidence_url', 'monthly' from dc where p=0
+          union all select eid, k, pos, 'https://tenders.example.org/awards/t'||k||case when pos=2 then '-2020-05' else '' end, 'government_source', 'manual' from ds)
+        select 'src_'||left(sha256(url),20) id, arg_min(eid,k) entity_id, url, url canonical_url, split_part(replace(url,'www.',''),'/',3) as domain, any_value(kind) source_type, any_value(freq) frequency from w where eid is not null group by url""",
+)
+def import_corpus_sources(t):
+    return imported(t, "sources")
+
+
+_NOTE = "Official government procurement disclosure. The B-BBEE level is exactly as reported in the source for this dated procurement. This is not a current verification certificate. No certificate number, expiry date or verification agency is inferred. "
+
+
+@query(
+    "import_corpus_evidence",
+    f"""with {BATCH} select distinct 'evd_'||left(h,24) id, 'government_procurement_disclosure' evidence_type, case when g%3=0 then 'Award of 3 March 2025' else nm||' — Level '||(1+g%8)||' reported in Department '||(g%17)||' '||tender end title, url source_url, 'tenders.example.org' source_domain, h content_hash,
+          dy issue_date, case when prec='year' then '2020' when prec='day' then strftime(dy::date,'%-d %B %Y') when pos=2 then 'not stated' end issue_date_raw, prec issue_date_precision, 'Department '||(g%17) document_issuer, 'unpublished' publication_state, 'discovered' lifecycle_state,
+          '{_NOTE}'||case g%4 when 0 then 'The named bidder was recorded in an official evaluation/result table; award is not implied.' when 1 then 'The named bidder was recorded as having responded to this procurement.' else 'The named supplier was recorded in an official awarded-tender or bidder-result publication.' end public_notes from dh""",
+)
+def import_corpus_evidence(t):
+    return imported(t, "evidence")
+
+
+@query("import_corpus_locations", f"with {BATCH} select distinct 'evd_'||left(h,24) evidence_id, url from dh")
+def import_corpus_locations(t):
+    return imported(t, "locations")
+
+
+@query("import_corpus_links", f"with {BATCH} select distinct 'evd_'||left(h,24) evidence_id, eid entity_id, 'confirmed' link_state, nm extracted_name, 'import' match_method, 1.0::double confidence, 'Official procurement disclosure from Department '||(g%17)||'.' reason from dh")
+def import_corpus_links(t):
+    return imported(t, "links")
+
+
+@query("import_corpus_approvals", f"with {BATCH} select distinct 'evd_'||left(h,24) evidence_id, eid entity_id from dh where p=1 or g%2=0")
+def import_corpus_approvals(t):
+    return imported(t, "approvals")
+
+
 # --- checks ------------------------------------------------------------------
 @query(
     "check_unique_keys",
