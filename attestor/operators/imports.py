@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from attestor.functions import dates as D
 from attestor.functions import names as N
 from attestor.functions import suppliers as S
-from attestor.operators.common import join_known, stored
+from attestor.operators.common import computed, join_known, stored
 from attestor.operators.documents import disclosure_identity
 from attestor.operators.graph import components, join_heavy
 from attestor.operators.resolve import find_existing_entity, unmerged
@@ -59,15 +59,13 @@ def prepared(items: DataFrame) -> DataFrame:
     """Items with clean names, comparable keys and the aliases they state."""
     known = {f.name: f.dataType for f in CORPUS_ITEM.fields} | {"allowHistoricalProcurement": "boolean"}
     columns = [F.col(c) if c in items.columns else F.lit(None).cast(kind).alias(c) for c, kind in known.items()]
-    rows = items.select("ordinal", *columns).select("*", S.clean_supplier(F.col("canonicalName")).alias("_c"), S.clean_spelling(F.col("canonicalName")).alias("_o"))
-    own = F.coalesce(F.col("_c.canonical_name"), F.lit(""))
+    rows = computed(items.select("ordinal", *columns), _c=S.clean_supplier(F.col("canonicalName")), _o=S.clean_spelling(F.col("canonicalName")))
+    rows = rows.withColumn("name", F.coalesce("_c.canonical_name", F.lit("")))
+    rows = computed(rows, name_key=F.coalesce(N.normalize_name(F.col("name")), F.lit("")), reg_key=F.nullif(N.normalize_registration(F.col("registrationNumber")), F.lit("")))
     rows = rows.select(
         "*",
-        own.alias("name"),
-        F.coalesce(N.normalize_name(own), F.lit("")).alias("name_key"),
-        F.nullif(N.normalize_registration(F.col("registrationNumber")), F.lit("")).alias("reg_key"),
         F.coalesce(_text("tradingName"), F.col("_c.trading_name")).alias("trading"),
-        F.coalesce(_text("legalName"), F.col("_o"), own).alias("legal"),
+        F.coalesce(_text("legalName"), "_o", "name").alias("legal"),
         F.coalesce(_text("parentName"), F.col("_c.parent_name")).alias("parent"),
     )
     stated = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("_c.aliases", F.array().cast("array<string>")), F.array("_o"))
@@ -82,9 +80,9 @@ def disclosed(items: DataFrame) -> DataFrame:
     given = _text("awardDate")
     plain = F.when(given.rlike(r"^\d{4}(-\d{2}){0,2}$"), D.plain_parts(given))
     blobs = D.date_blobs(given, F.col("sourceTitle"), F.col("sourceUrl"))
-    rows = rows.select("*", given.alias("_given"), plain.alias("_plain"), *[c.alias(n) for n, c in blobs.items()])
+    rows = computed(rows, _given=given, _plain=plain, **blobs)
     found = F.coalesce("_plain", D.explicit_date(F.col("_given")), D.inferred_parts(F.col("sourceTitle"), F.col("sourceUrl")))
-    dated = rows.select("*", D.describe_parts(found).alias("d"))
+    dated = computed(computed(rows, _found=found), d=D.describe_parts(F.col("_found")))
     return dated.select(
         "ordinal",
         "name",
@@ -126,13 +124,16 @@ def decided(tables, items: DataFrame, recent_year: int) -> DataFrame:
     own = tables["entities"].select(F.col("id").cast("string").alias("stored_id"), F.nullif(F.trim("registration_number"), F.lit("")).alias("stored_reg"))
     rows = items.join(found, "ordinal").join(procured, "ordinal", "left").transform(join_known, own, ["stored_id"], "ordinal")
     name, missing = F.col("name"), F.col("stored_id").isNull()
-    joint = S.is_joint_venture(name) | S.is_joint_venture(F.col("canonicalName"))
-    bad = S.is_malformed(name) & ~S.is_short_legal_name(name, F.col("registrationNumber"))
+    rows = computed(
+        rows,
+        joint=S.is_joint_venture(name) | S.is_joint_venture(F.col("canonicalName")),
+        bad=S.is_malformed(name) & ~S.is_short_legal_name(name, F.col("registrationNumber")),
+        valid_reg=F.when(~N.is_verifier_registration(F.col("registrationNumber")), N.format_registration(F.col("registrationNumber"))),
+    )
     only_procurement = (F.coalesce(F.size("procurement"), F.lit(0)) > 0) & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)
     old = only_procurement & ~(F.coalesce("newest_year", F.lit(0)) >= recent_year) & ~F.coalesce("allowHistoricalProcurement", F.lit(False))
-    held = F.when(F.length(name) < 2, "no_name").when(joint, "joint_venture").when(missing & bad, "malformed").when(missing & old, "old_procurement")
-    formatted = F.when(~N.is_verifier_registration(F.col("registrationNumber")), N.format_registration(F.col("registrationNumber")))
-    rows = rows.select("*", held.alias("held"), formatted.alias("valid_reg"))
+    held = F.when(F.length(name) < 2, "no_name").when(F.col("joint"), "joint_venture").when(missing & F.col("bad"), "malformed").when(missing & old, "old_procurement")
+    rows = rows.select("*", held.alias("held"))
     rows = rows.select(
         "*",
         (F.col("held").isNull() & missing).alias("standalone"),
@@ -347,3 +348,29 @@ def import_batch(tables, items: DataFrame, recent_year: int = 2024) -> dict[str,
         **new_disclosures(tables, rows),
         "public": rows.filter(F.col("entity_id").isNotNull() & shown).select("entity_id").distinct(),
     }
+
+
+def applied(tables, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after an import, with ids as text: what a second import of the same items adds nothing to."""
+    def text(name: str, *ids: str) -> DataFrame:
+        return tables[name].withColumns({c: F.col(c).cast("string") for c in ids})
+
+    def with_rows(name: str, rows: DataFrame, *ids: str) -> DataFrame:
+        return text(name, *ids).unionByName(rows, allowMissingColumns=True)
+
+    fields = ["registration_number", "website", "legal_name", "trading_name"]
+    fills = out["filled"].groupBy(F.col("entity_id").alias("id")).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}") for f in fields])
+    kept = text("entities", "id", "merged_into_id").join(fills, "id", "left").withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).drop(*[f"_{f}" for f in fields])
+    kept = kept.withColumn("registration_number_normalized", F.nullif(N.normalize_registration(F.col("registration_number")), F.lit("")))
+    evidence = out["evidence"].withColumn("issue_date", F.col("issue_date").try_cast("date")) if "issue_date" in tables["evidence_raw"].columns else out["evidence"]
+    return {
+        **{name: tables[name] for name in tables},
+        "entities": kept.unionByName(out["entities"], allowMissingColumns=True),
+        "entity_aliases": with_rows("entity_aliases", out["aliases"], "entity_id"),
+        "entity_classifications": with_rows("entity_classifications", out["classifications"], "entity_id"),
+        "entity_relationships": with_rows("entity_relationships", out["relationships"], "source_entity_id", "target_entity_id"),
+        "monitored_sources": with_rows("monitored_sources", out["sources"], "id", "entity_id"),
+        "evidence_raw": with_rows("evidence_raw", evidence, "id"),
+        "evidence_source_locations": with_rows("evidence_source_locations", out["locations"], "evidence_id"),
+        "evidence_entity_links": with_rows("evidence_entity_links", out["links"], "evidence_id", "entity_id"),
+    }
