@@ -447,3 +447,33 @@ def corpus_items(t) -> DataFrame:
         F.when(p.isin(1, 3), F.array(disclosure(s(k), dated), disclosure(s(k), dated), disclosure(F.concat(s(k), F.lit("-2020-05")), F.lit("not stated")))).when(p == 7, F.array(disclosure(s(k), F.lit("2019")))).alias("procurement"),
         F.when(p == 3, g % 2 == 0).alias("publishIfSafe"),
     )
+
+
+def identity_patches(t) -> DataFrame:
+    """Four patches per group of four companies, each depending on those before it.
+
+    0 offers its company a number; 1 offers the same number, so it finds what 0
+    made, and adds an alias; 2 is known by that alias only and replaces the
+    number; 3 offers the first number again, which nobody may hold by then.
+    """
+    e = t["entities"].filter("merged_into_id is null").select("id", "canonical_name")
+    k = K("id")
+    g, q = F.floor(k / 4), (k % 4).cast("int")
+    number = F.concat(F.lit("2016/"), F.lpad(s(700000 + g), 6, "0"), F.lit("/07"))
+    other = F.concat(F.lit("2017/"), F.lpad(s(700000 + g), 6, "0"), F.lit("/07"))
+    source = F.struct(F.concat(F.lit("https://kite"), s(F.floor(g / 2)), F.lit(".example.org/x#y")).alias("url"), F.lit(None).cast("string").alias("source_type"), F.lit("weekly").alias("frequency"))
+    private = F.struct(F.lit("http://192.168.0.1/").alias("url"), F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("frequency"))
+    return e.select(
+        k.alias("ordinal"),
+        F.when(q == 2, F.concat(F.lit("Kite "), s(g))).when(g % 9 == 8, F.concat(F.lit("Nobody "), s(k))).otherwise(F.col("canonical_name")).alias("name"),
+        F.when(q == 2, other).when((q == 3) & (g % 5 == 0), "bad number").when((q == 0) & (g % 7 == 6), "1995/000523/07").when((q == 3) & (g % 5 == 1), None).otherwise(number).alias("registration"),
+        F.when((q == 2) & (g % 2 == 0), number).alias("replace_if"),
+        F.concat(F.lit("https://patch"), s(k), F.lit(".example.com")).alias("website"),
+        F.when(q > 0, F.concat(F.lit("Kite "), s(g), F.lit(" Legal "), s(q))).alias("legal_name"),
+        F.when(q == 1, F.concat(F.lit("Trade "), s(k))).alias("trading_name"),
+        F.when(q == 1, F.array(F.concat(F.lit("kite "), s(g)), F.lit(" "), F.concat(F.lit("KITE "), s(g)))).alias("aliases"),
+        F.when(q < 2, F.array(F.lit("sec_building"), F.lit("sec_jse"), F.lit("sec_none"))).alias("sectors"),
+        (q == 3).alias("listed"),
+        F.when(q != 1, F.concat(F.lit("Kite "), s(g))).alias("parent"),
+        F.when(q > 1, F.array(source, private)).alias("sources"),
+    )

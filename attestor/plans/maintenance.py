@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import imports as IM
 from attestor.operators import maintain as M
+from attestor.operators import patches as PT
 from attestor.operators import publish as P
 from attestor.operators import quality as QC
 from attestor.operators import resolve as RS
@@ -687,6 +688,86 @@ def import_corpus(t):
     return M.import_corpus(t, items)
 
 
+# --- a batch of identity patches -----------------------------------------------
+@lru_cache(maxsize=4)
+def _patched(app: str, spark, sf_dir: str):
+    return PT.apply_batch(Tables(spark, sf_dir, CLOCK), I.identity_patches(Tables(spark, sf_dir, CLOCK)))
+
+
+def patched(t, table):
+    """A table of the batch; the batch is worked out once for a session and folder."""
+    return _patched(t.spark.sparkContext.applicationId, t.spark, t.dir)[table]
+
+
+# The loop over the patches, one step per ordinal; ev holds the numbers set so far, al the aliases added.
+SERIAL = """recursive um as (select * from entities where merged_into_id is null),
+rx as (select registration_number_normalized rk, list(id::varchar) hl from um where registration_number_normalized is not null group by 1),
+nx as (select normalized_name nk, min(id::varchar) nid from um group by 1),
+ax as (select a.normalized_alias nk, min(a.entity_id::varchar) aid from entity_aliases a join um on um.id=a.entity_id group by 1),
+p0 as (select row_number() over (order by id) n, id o, id//4 g, id%4 q, '2016'||lpad((700000+id//4)::varchar,6,'0')||'07' n6, '2017'||lpad((700000+id//4)::varchar,6,'0')||'07' n7, normalized_name nn from um),
+p1 as (select *, case when q=2 then 'kite '||g when g%9=8 then 'nobody '||o else nn end nk, case when q=2 then n7 when q=3 and g%5=0 then 'badnumber' when q=0 and g%7=6 then '199500052307' when q=3 and g%5=1 then null else n6 end rk, case when q=2 and g%2=0 then n6 end rep from p0),
+pa as (select p1.*, coalesce(hl,[]) hl, nid, aid from p1 left join rx using (rk) left join nx using (nk) left join ax using (nk)),
+one as (select map(list(id::varchar), list(registration_number_normalized)) sm from um),
+lp as (
+  select 0::bigint n, null::bigint o, null::varchar e, null::varchar via, null::varchar reason, null::varchar new, []::struct(i varchar, r varchar)[] ev, []::struct(i varchar, a varchar)[] al
+  union all
+  select n, o, e, via, reason, new, case when new is null then ev else list_append(ev, {'i':e,'r':new}) end, case when q=1 and e is not null then list_append(al, {'i':e,'a':'kite '||g}) else al end
+  from (select *, case when e is not null and rk is not null and reason is null and can then rk end new
+  from (select *, case when e is null then 'not_found' when rk is null then null when rk='badnumber' then 'invalid_registration_format' when rk='199500052307' then 'verifier_agency_registration'
+      when can and len(list_filter(h, lambda x: x<>e))>0 then 'registration_belongs_to_another_entity' when not can and old<>rk then 'existing_registration_preserved' end reason
+  from (select *, old is null or old='199500052307' or coalesce(old=rep,false) can
+  from (select *, coalesce(list_filter(ev, lambda x: x.i=e)[-1].r, map_extract(sm, e)[1]) old
+  from (select *, coalesce(list_min(h), nid, aid, ba) e, case when len(h)>0 then 'registration_number' when nid is not null then 'canonical_name' when coalesce(aid,ba) is not null then 'alias' end via
+  from (select *, list_concat(list_filter(hl, lambda i: len(list_filter(ev, lambda x: x.i=i))=0), list_transform(list_filter(ev, lambda x: x.r=rk and list_filter(ev, lambda y: y.i=x.i)[-1].r=rk), lambda x: x.i)) h, list_min(list_transform(list_filter(al, lambda x: x.a=nk), lambda x: x.i)) ba
+  from (select pa.*, lp.ev, lp.al, one.sm from lp join pa on pa.n=lp.n+1 cross join one)))))))),
+rs as (select lp.*, pa.g, pa.q, pa.nk from lp join pa using (n)),
+fo as (select e, 'website' f, 'https://patch'||o||'.example.com' v, o from rs union all select e, 'legal_name', 'Kite '||g||' Legal '||q, o from rs where q>0 union all select e, 'trading_name', 'Trade '||o, o from rs where q=1),
+ff as (select e, f, min(o) o, arg_min(v, o) v from fo join entities x on x.id::varchar=e where case f when 'website' then website when 'legal_name' then legal_name else trading_name end is null group by 1,2
+  union all select e, 'registration_number', o, new[1:4]||'/'||new[5:10]||'/'||new[11:12] from rs where new is not null),
+pr as (select rs.*, coalesce(nx.nid, ax.aid, (select min(b.e) from rs b where b.q=1 and b.e is not null and b.g=rs.g and b.o<rs.o)) par from rs left join nx on nx.nk='kite '||g left join ax on ax.nk='kite '||g where q<>1 and e is not null),
+pe as (select e, par, min(o) o, any_value(g) g from pr where par<>e and not exists (select 1 from entity_relationships r where r.relationship_type='parent' and r.source_entity_id::varchar=e and r.target_entity_id::varchar=par) group by 1,2),
+cs as (select o, e, 'sec_building' sec, 'sector' kind from rs where q<2 and e is not null union all select o, e, 'sec_jse', 'listing' from rs where q=3 and e is not null)"""
+
+
+@query("apply_identity_batch", f"with {SERIAL} select o ordinal, e entity_id, via, reason, new[1:4]||'/'||new[5:10]||'/'||new[11:12] new_registration from rs")
+def apply_identity_batch(t):
+    return patched(t, "results")
+
+
+@query("apply_identity_batch_entities", f"with {SERIAL} select e entity_id, f field, arg_max(v, o) as value from ff group by 1,2")
+def apply_identity_batch_entities(t):
+    return patched(t, "entities")
+
+
+@query("apply_identity_batch_aliases", f"with {SERIAL} select e entity_id, 'kite '||g alias, 'kite '||g normalized_alias, 'other' alias_type from rs where q=1 and e is not null")
+def apply_identity_batch_aliases(t):
+    return patched(t, "aliases")
+
+
+@query("apply_identity_batch_classifications", f"with {SERIAL} select distinct e entity_id, sec sector_id, kind classification_type from cs where sec in (select id from sectors) and not exists (select 1 from entity_classifications x where x.entity_id::varchar=e and x.sector_id=sec and x.classification_type=kind)")
+def apply_identity_batch_classifications(t):
+    return patched(t, "classifications")
+
+
+@query("apply_identity_batch_relationships", f"with {SERIAL} select e source_entity_id, par target_entity_id, 'parent' relationship_type, 'public' public_status from pe")
+def apply_identity_batch_relationships(t):
+    return patched(t, "relationships")
+
+
+@query("apply_identity_batch_sources", f"with {SERIAL} select arg_min(e, o) entity_id, 'https://kite'||(g//2)||'.example.org/x#y' url, 'https://kite'||(g//2)||'.example.org/x' canonical_url, 'other' source_type, 'weekly' frequency from rs where q>1 and e is not null group by g//2")
+def apply_identity_batch_sources(t):
+    return patched(t, "sources")
+
+
+@query(
+    "apply_identity_batch_filled",
+    f"""with {SERIAL} select o ordinal, f filled from ff union all select o, 'alias:'||unnest(['kite '||g,'KITE '||g]) from rs where q=1 and e is not null
+        union all select o, case when kind='listing' then 'listing:jse' else 'sector:'||sec end from cs where sec in (select id from sectors) union all select o, 'parent:Kite '||g from pe union all select o, 'source:https://kite'||(g//2)||'.example.org/x#y' from rs where q>1 and e is not null""",
+)
+def apply_identity_batch_filled(t):
+    return patched(t, "filled")
+
+
 # --- a batch of corpus items ---------------------------------------------------
 @lru_cache(maxsize=4)
 def _imported(app: str, spark, sf_dir: str):
