@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -88,17 +90,42 @@ def join_known(left: DataFrame, right: DataFrame, keys: list[str], row: str) ->
     return a.join(b, "_key", "left").drop("_key")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once below ``spark.checkpoint.dir`` and read back.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is shared, so a lost executor costs nothing that was written.
-    A temporary folder is used only where the session names none, as in tests.
+    Only a session on one machine may do without that setting.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to a shared folder and read back, so a lost executor costs nothing that was written."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(spark: SparkSession, folder: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Tables written once to ``folder``, with a mark after the last; where the mark is found nothing is built or written.
+
+    A run that died before the mark is written over by the next, so running
+    again always ends with one whole set of tables.
+    """
+    mark = f"{folder}/committed"
+    try:
+        names = [r["name"] for r in spark.read.schema("name string").parquet(mark).collect()]
+    except AnalysisException:
+        names = []
+    if not names:
+        tables = build()
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        names = list(tables)
+        spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").parquet(mark)
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}

@@ -15,7 +15,7 @@ from attestor.functions import dates as D
 from attestor.functions import names as N
 from attestor.functions import quality as Q
 from attestor.operators.claims import working_claims
-from attestor.operators.common import any_where, computed, join_known, top_per_group
+from attestor.operators.common import any_where, computed, join_known, shared_folder, staged, top_per_group
 from attestor.operators.lifecycle import expiry_status, is_disclosure
 from attestor.schemas import COMPANY_DISCLOSURE_TYPES, PROCUREMENT, RECOGNISED_TYPES, STATE_FIELDS, STATUS_TYPES, Clock
 
@@ -366,19 +366,42 @@ def claim_states(tables, published: DataFrame, superseded: DataFrame) -> DataFra
     return rows.select("claim_id", "evidence_id", F.when(F.col("gone"), "superseded").otherwise("published").alias("published_state"), F.when(F.col("now"), "approved").alias("review_state"))
 
 
-def publish_batch(tables, approved: DataFrame, clock: Clock, *, rule_version: int | None = None, actor: str = "reviewer", reason: str | None = None) -> dict[str, DataFrame]:
-    """All tables a batch of approvals changes, and the approvals it refuses.
+def publication_decisions(tables, approved: DataFrame, clock: Clock) -> dict[str, DataFrame]:
+    """What a batch of approvals comes to; every table that it changes follows from these.
 
-    Disclosures never feed certificate fields and carry no expiry.  With a
-    ``rule_version`` the publication counts as automatic.
+    checked: approvals and why one is refused; rows: accepted documents with
+    their days and reported level; claims: those of accepted certificates;
+    superseded: documents they replace.
     """
     checked = checked_approvals(tables, approved)
+    pairs = checked.filter("error is null").select("evidence_id", "entity_id").distinct()
+    reported = working_claims(tables).filter((F.col("canonical_key") == "bee_level") & Q.plausible_claim(F.col("canonical_key"), F.col("value")))
+    reported = reported.groupBy("evidence_id").agg(F.max("value").alias("reported"))
+    return {
+        "checked": checked,
+        "rows": publication_days(tables, pairs).join(reported, "evidence_id", "left"),
+        "claims": approved_claims(tables, pairs),
+        "superseded": supersede_previous(tables, pairs, clock),
+    }
+
+
+def publish_batch(
+    tables, approved: DataFrame, clock: Clock, *, rule_version: int | None = None, actor: str = "reviewer", reason: str | None = None, stage: str | None = None
+) -> dict[str, DataFrame]:
+    """All tables a batch of approvals changes, and the approvals it refuses.
+
+    The decisions are written once to ``stage``, a folder that names the batch
+    (a new shared folder if not given), and every table is a projection of
+    them; run again with the same folder, nothing is decided anew.  Disclosures
+    never feed certificate fields and carry no expiry.  With a ``rule_version``
+    the publication counts as automatic.
+    """
+    spark = approved.sparkSession
+    decided = staged(spark, stage or shared_folder(spark, "publication"), lambda: publication_decisions(tables, approved, clock))
+    checked, rows, claims, superseded = (decided[n] for n in ("checked", "rows", "claims", "superseded"))
     accepted = checked.filter(F.col("error").isNull()).drop("error")
-    pairs = accepted.select("evidence_id", "entity_id").distinct()
-    claims = approved_claims(tables, pairs)
+    pairs = rows.select("evidence_id", "entity_id")
     taken = claims.filter(~F.col("blocked"))
-    rows = publication_days(tables, pairs)
-    superseded = supersede_previous(tables, pairs, clock)
     auto = rule_version is not None
 
     lifecycle = F.when(is_disclosure(), "historical").otherwise(expiry_status(F.col("expiry_date"), F.lit("current"), F.lit(clock.as_of), clock.soon_days))
@@ -387,8 +410,6 @@ def publish_batch(tables, approved: DataFrame, clock: Clock, *, rule_version: in
     )
 
     # What each document shows: a disclosure the level it reports, a certificate the level it publishes.
-    reported = working_claims(tables).filter((F.col("canonical_key") == "bee_level") & Q.plausible_claim(F.col("canonical_key"), F.col("value")))
-    reported = reported.groupBy("evidence_id").agg(F.max("value").alias("reported"))
     field = F.concat_ws("=", "field_key", "value")
     shown = claims.groupBy("evidence_id", "entity_id").agg(
         F.max(F.when((F.col("field_key") == "bee_level") & ~F.col("blocked"), F.col("value"))).alias("own_level"),
@@ -397,7 +418,7 @@ def publish_batch(tables, approved: DataFrame, clock: Clock, *, rule_version: in
     )
     previous = superseded.select("entity_id", F.col("replaced_by").alias("evidence_id"), F.col("evidence_id").alias("previous_evidence_id"))
     key = ["evidence_id", "entity_id"]
-    told = rows.join(reported, "evidence_id", "left").join(shown, key, "left").join(previous, key, "left")
+    told = rows.join(shown, key, "left").join(previous, key, "left")
     none = F.array().cast("array<string>")
     told = told.withColumns({"fields": F.coalesce("fields", none), "skipped_locked": F.coalesce("skipped_locked", none)})
     number, level = F.col("evidence_id").cast("string"), F.when(is_disclosure(), F.col("reported")).otherwise(F.col("own_level"))

@@ -14,6 +14,7 @@ from attestor.operators import publish as P
 from attestor.operators import quality as QC
 from attestor.operators import resolve as RS
 from attestor.operators.claims import latest_successful_run
+from attestor.operators.common import shared_folder
 from attestor.plans import inputs as I
 from attestor.plans.oracle_views import normal
 from attestor.plans.registry import query
@@ -346,9 +347,16 @@ def approved(t):
     return t["evidence_entity_links"].filter(k % 4 == 1).select("evidence_id", "entity_id", item.alias("review_item_id"))
 
 
+@lru_cache(maxsize=16)
+def publication_folder(app: str, spark, sf_dir: str) -> str:
+    return shared_folder(spark, "publication")
+
+
 def published(t, table, **options):
+    """A table of the publication; its decisions are staged once for a session and folder."""
     tables = dated(t)
-    return P.publish_batch(tables, approved(tables), CLOCK, **options)[table]
+    stage = publication_folder(t.spark.sparkContext.applicationId, t.spark, t.dir)
+    return P.publish_batch(tables, approved(tables), CLOCK, stage=stage, **options)[table]
 
 
 CERTS = "('bee_certificate','sworn_affidavit')"

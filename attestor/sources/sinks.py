@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(base or tempfile.mkdtemp(prefix='run-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from attestor.operators.common import shared_folder
 
 
 def reason_summary(candidates: DataFrame) -> DataFrame:
