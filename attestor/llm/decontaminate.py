@@ -9,9 +9,11 @@ followed through the suffix array of the test text itself, over all items that
 still agree, to the longest verbatim match.
 
 Edge cases: a null or empty text has no words and is clean; a null or empty
-item matches nothing; equal items all count; rows with the same ``doc_id`` are
-judged one by one.  The test set is held in blocks of bounded size, so it may
-be of any length; a shard is at most an Arrow batch.
+item matches nothing; equal items all count; an item without an id counts for
+hit words and longest matches but is not named; rows with the same ``doc_id``
+are judged one by one.  The test set is built in blocks of bounded size on the
+driver and held whole by each worker, so it must fit the memory of both; a
+shard is at most an Arrow batch.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ class TestBlock:
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         texts = pa.array([t for _, t in items], pa.string())
-        self.names = [str(n) for n, _ in items]
+        self.names = [n for n, _ in items]
         hashes, sizes = [np.zeros(0, np.uint64)], []
         for _, _, words, ranges in hashed_words(texts):
             hashes.append(words)
@@ -198,7 +200,7 @@ def judged(blocks, texts: pa.Array) -> list:
             doc = np.searchsorted(ranges, at, side="right") - 1
             pairs = np.unique(doc * len(block.groups) + block.group[window])
             for d, g in zip((pairs // len(block.groups)).tolist(), (pairs % len(block.groups)).tolist(), strict=True):
-                items[i + d].update(block.names[x] for x in block.groups[g])
+                items[i + d].update(block.names[x] for x in block.groups[g] if block.names[x] is not None)
             order = np.lexsort((at, -length, doc))
             _, lead = np.unique(doc[order], return_index=True)
             lead = order[lead]
@@ -214,7 +216,7 @@ def judged(blocks, texts: pa.Array) -> list:
 def test_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars: int) -> list:
     """The test items as broadcasts of at most ``block_chars`` characters, or one item."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("item").isNotNull())
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = chars // block_chars + 1
     own = F.pmod(F.xxhash64("item", "text"), F.lit(n))

@@ -10,12 +10,12 @@ if that cross-entropy lies far above what the language's own texts have, given
 the text's length.
 
 Training takes a bounded number of labelled texts for each language
-(``TRAIN_DOCS`` by expectation, of at most ``TRAIN_CHARS`` characters); all
-texts are predicted whole.
+(``TRAIN_DOCS`` by expectation; a text of over ``TRAIN_CHARS`` characters counts
+as several, cut at that length); all texts are predicted whole.
 
 Edge cases: a null text or one without letters is ``und``, rejected, score 0;
 equal cross-entropies go to the first language by name; without any labelled
-text every text is ``und``; rows with a null ``doc_id`` are predicted but never
+text every text is ``und`` and none is rejected; rows with a null ``doc_id`` are predicted but never
 learned from.
 """
 
@@ -200,7 +200,7 @@ class Model:
     def judged(self, texts: list[str | None]) -> list[tuple]:
         """(language, score, cross-entropy, rejected) of each text."""
         if not self.langs:
-            return [(UNKNOWN, 0.0, None, True)] * len(texts)
+            return [(UNKNOWN, 0.0, None, False)] * len(texts)
         found, n, n_letters = self.entropies(texts)
         best = found.argmin(axis=1)
         lowest = found[np.arange(len(texts)), best]
@@ -225,16 +225,22 @@ def held_out(doc_id: str = "doc_id", of: int = 4, part: int = 2) -> Column:
 
 
 def trained(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
-    """A model of every language named in the rows that are not held out."""
+    """A model of every language named in the rows that are not held out.
+
+    Longer texts are read as pieces of ``train_chars``, so a language of long
+    texts is learned like any other; about ``train_docs`` pieces of each are read.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.length("text") <= train_chars))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    pieces = F.greatest(F.ceil(F.length("text") / train_chars), F.lit(1)).cast("int")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}  # one row for each language
     langs = sorted(counts)
     if not langs:
         return Model([], [])
     span = 1 << 30
     limits = F.create_map(*[F.lit(x) for k in langs for x in (k, min(span, int(span * train_docs / counts[k])))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < limits[F.col("lang")])
+    part = F.explode(F.filter(F.sequence(F.lit(0), pieces - 1), lambda k: F.pmod(F.when(k == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", k)), F.lit(span)) < limits[F.col("lang")]))
+    chosen = rows.select("lang", "text", part.alias("part")).select("lang", F.substring("text", F.col("part") * train_chars + 1, F.lit(train_chars)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

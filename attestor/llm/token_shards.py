@@ -14,13 +14,17 @@ Spark's own writer commits the shards, so a lost executor leaves no half file.
 
 Edge cases: a null or empty text gives its end mark only; an empty table gives
 no shard; equal rows are written as often as they occur; strings of special
-tokens inside a text are ordinary text.
+tokens inside a text are ordinary text; the pieces of the vocabulary can't be
+matched over very long white space, so a text is cut behind every ``RUN`` such
+characters in a row, and tokens don't reach across the cut (their bytes are
+still the text's); ids that are no numbers become null.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +44,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END_MARK = 50256
 LENGTH, SHARD_ROWS, ROUNDS = 2048, 8192, 6
 HEADER, CLOSING = 12, b"\n"
+#: White space characters in a row behind which a text is cut before it is encoded.
+RUN = 4096
+_RUN = re.compile(rf"\s{{{RUN}}}")
 
 _encoders: dict[str, object] = {}
 
@@ -50,6 +57,12 @@ def ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (r[0].split() for r in rows if r[0])}
 
 
+def without_long_runs(text: str) -> list[str]:
+    """The text, cut behind every ``RUN`` characters of white space in a row."""
+    ends = [m.end() for m in _RUN.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+
+
 def encoder(name: str, table: dict[bytes, int]):
     import tiktoken
 
@@ -127,7 +140,7 @@ def sequences(docs: DataFrame, table: dict[bytes, int], *, doc_id: str = "doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = [np.array([*code.encode_ordinary(t or ""), end_mark], kind) for t in some.column(1).to_pylist()]
+                found = [np.array([*(x for piece in without_long_runs(t or "") for x in code.encode_ordinary(piece)), end_mark], kind) for t in some.column(1).to_pylist()]
                 owners = np.concatenate([owners, np.repeat(np.arange(len(names), len(names) + len(found)), [len(f) for f in found])])
                 names = names + some.column(0).to_pylist()
                 left = np.concatenate([left, *found])

@@ -88,6 +88,50 @@ def test_language(docs):
     assert langid.accepted(docs, model).columns == docs.columns
 
 
+def test_no_language_is_lost(spark):
+    rng = np.random.default_rng(1)
+    words = {"de": "der die das und nicht wörter über schule fährt heute".split(), "en": "the and not words about school drives today with from".split()}
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    rows = [(i, text("de", 5000), "de") for i in range(40)] + [(100 + i, text("en", 30), "en") for i in range(40)]
+    long = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(long)
+    assert model.langs == ["de", "en"]
+    assert langid.accepted(long, model).count() == 80
+    found = {r["row"]["doc_id"]: r["lang_pred"] for r in langid.identified(long, model).collect()}
+    assert all(found[i] == k for i, _, k in rows)
+
+
+def test_without_labels_nothing_is_rejected(docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.trained(bare)
+    assert not model.langs and langid.accepted(bare, model).count() == bare.count()
+    assert all((r["lang_pred"], r["rejected"]) == ("und", False) for r in langid.identified(bare, model).collect())
+
+
+def test_item_without_an_id_counts_for_hits(spark):
+    docs = spark.createDataFrame([(1, "x one two three y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two"), (7, "three")], "item_id long, text string")
+    (found,) = rows_of(decontaminate.matches(docs, items))
+    assert (found["n_hit"], found["items"], found["longest_match"]) == (3, ["7"], 2)
+
+
+def test_long_white_space_round_trip(spark):
+    ranks = token_shards.ranks(spark, f"file://{token_shards.VOCABULARY}")
+    texts = ["a" + " " * 1_000_000 + "b", "\n\t" * 30_000, " " * 5000 + "x", "no runs at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    folder = shared_folder(spark, "blanks")
+    token_shards.materialised(docs, folder, ranks, key=3, length=256, shard_rows=64).count()
+    back = {v: k for k, v in ranks.items()}
+    read = list(token_shards.read_from(folder))
+    total = sum(len(back[int(t)]) for _, some in read for t in some if int(t) != token_shards.END_MARK)
+    assert total == sum(len(t.encode()) for t in texts)
+    code = token_shards.encoder("blanks", ranks)
+    for text in texts:
+        ids = [x for piece in token_shards.without_long_runs(text) for x in code.encode_ordinary(piece)]
+        assert b"".join(back[i] for i in ids).decode() == text
+    assert token_shards.without_long_runs("a b") == ["a b"]
+
+
 def test_toxicity(docs, labels):
     found = rows_of(toxicity.scored(docs, toxicity.trained(docs, labels)))
     assert len(found) == docs.count() and all(0 <= r["score"] <= 1 for r in found)
