@@ -85,7 +85,7 @@ LABELS = {
 
 def near_text_hash(text: Column) -> Column:
     """Hash of lower-cased text with white space collapsed."""
-    return F.sha2(F.lower(N.collapse(text)), 256)
+    return F.sha2(F.lower(N.collapse_text(text)), 256)
 
 
 def html_to_text(html: Column) -> Column:

@@ -40,36 +40,56 @@ def _compatible() -> tuple[str, str, dict[str, str]]:
 _MARKED, _PLAIN, _LIGATURES = _compatible()
 
 
+#: The same as a class; the look-ahead passes over printed ASCII in one test.
+_SPACES = r"(?![!-~])[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def is_ascii(col: Column) -> Column:
+    """No character needs more than one byte; such texts take the short way everywhere."""
+    return F.octet_length(col) == F.char_length(col)
+
+
 def plain_spaces(col: Column) -> Column:
     """Wide spaces as blanks; no character moves."""
-    return F.translate(col, WIDE_SPACES, " " * len(WIDE_SPACES))
+    return F.when(is_ascii(col), col).otherwise(F.translate(col, WIDE_SPACES, " " * len(WIDE_SPACES)))
 
 
 def fold(col: Column) -> Column:
     """Lower case of the compatibility form, without accents and combining marks."""
-    t = F.translate(F.regexp_replace(plain_spaces(col), r"[\u0300-\u036f]", ""), _MARKED, _PLAIN)
+    t = F.translate(col, WIDE_SPACES + _MARKED, " " * len(WIDE_SPACES) + _PLAIN)
+    t = F.regexp_replace(t, r"[\u0300-\u036f]", "")
     for letter, form in _LIGATURES.items():
         t = F.replace(t, F.lit(letter), F.lit(form))
-    return F.lower(t)
+    return F.lower(F.when(is_ascii(col), col).otherwise(t))
 
 
 def collapse(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, rf"[\s{WIDE_SPACES}]+", " "))
+    return F.trim(F.regexp_replace(col, _SPACES, " "))
+
+
+def collapse_text(col: Column) -> Column:
+    """``collapse`` for a column that holds whole texts."""
+    return F.trim(F.when(is_ascii(col), F.regexp_replace(col, r"\s+", " ")).otherwise(F.regexp_replace(col, _SPACES, " ")))
 
 
 def strip_punctuation(col: Column) -> Column:
     return F.regexp_replace(col, r"[^\p{L}\p{N}]+", " ")
 
 
+def _squeeze(col: Column) -> Column:
+    """``collapse`` behind ``strip_punctuation``, which leaves blanks only."""
+    return F.trim(F.regexp_replace(col, " {2,}", " "))
+
+
 def normalize_name(col: Column) -> Column:
     """Comparable company name: folded, ``&`` spelt out, company words dropped."""
     words = strip_punctuation(F.replace(fold(col), F.lit("&"), F.lit(" and ")))
-    return collapse(F.regexp_replace(words, r"\b(" + "|".join(COMPANY_WORDS) + r")\b", " "))
+    return _squeeze(F.regexp_replace(words, r"\b(" + "|".join(COMPANY_WORDS) + r")\b", " "))
 
 
 def normalize_alias(col: Column) -> Column:
     """Comparable alias; company words are kept."""
-    return collapse(strip_punctuation(fold(col)))
+    return F.trim(strip_punctuation(fold(col)))
 
 
 def normalize_registration(col: Column) -> Column:
@@ -100,7 +120,7 @@ def format_registration(col: Column) -> Column:
 
 def slugify(col: Column) -> Column:
     base = F.replace(normalize_alias(col), F.lit(" "), F.lit("-"))
-    return F.substring(F.when(base == "", F.lit("entity")).otherwise(base), 1, 80)
+    return F.substring(F.regexp_replace(base, "^$", "entity"), 1, 80)
 
 
 def blank(col: Column) -> Column:
