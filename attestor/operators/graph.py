@@ -49,6 +49,27 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, *, how: str = "inne
     return a.join(b, [key, "_salt", "_null"], how).drop("_salt", "_null")
 
 
+def join_facts(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, row: str, salts: int = 256) -> DataFrame:
+    """Left join to one row per key, reading ``left`` once; ``heavy`` is a bounded list of its frequent keys.
+
+    The facts of heavy keys are broadcast.  Their rows have what they need by
+    then, so in the join of the others they are spread over ``salts`` values
+    that match nothing, as are the rows of null keys.
+    """
+    facts = right.select(key, F.struct(*[c for c in right.columns if c != key]).alias("_facts"))
+    few = facts.join(F.broadcast(heavy), key, "left_semi").withColumnRenamed("_facts", "_few")
+    listed = heavy.withColumn("_listed", F.lit(True)).join(few, key, "left")
+    marked = left.join(F.broadcast(listed), key, "left")
+    apart = F.coalesce("_listed", F.lit(False)) | F.col(key).isNull()
+    marked = marked.withColumn("_salt", F.when(apart, 1 + F.pmod(F.xxhash64(row), F.lit(salts))).otherwise(0).cast("int"))
+    marked = marked.withColumn("_key", F.when(~apart, F.col(key)))
+    # zero, but no literal: the join would drop a literal from its keys, and with it the spreading
+    others = facts.withColumnRenamed(key, "_key").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(1)).cast("int"))
+    joined = marked.join(others, (marked["_salt"] == others["_salt"]) & marked["_key"].eqNullSafe(others["_key"]), "left").drop("_salt", "_key", "_listed")
+    found = F.coalesce("_few", "_facts")
+    return joined.select(*left.columns, *[found[c].alias(c) for c in right.columns if c != key])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is the smallest node it reaches.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from attestor.functions import names as N
 from attestor.operators.claims import latest_values, working_claims
 from attestor.operators.common import is_status, published, top_per_group
+from attestor.operators.graph import heavy_keys, join_facts
 from attestor.schemas import COMPANY_DISCLOSURE_TYPES, DISCLOSURE_TYPES, LIFECYCLE_LINKS, STATE_FIELDS, Clock
 
 NO_ISSUE = "Multiple live certificates have no issue date; current record was not guessed."
@@ -115,7 +116,7 @@ def decided_evidence(evidence: DataFrame, links: DataFrame, clock: Clock) -> Dat
         .otherwise("historical")
     )
     # Entities whose evidence is all disclosures have no facts.
-    return pairs.join(facts, "entity_id", "left").select(
+    return join_facts(pairs, facts, "entity_id", heavy_keys(links, "entity_id"), "id").select(
         "entity_id",
         F.col("id").alias("evidence_id"),
         lifecycle.alias("lifecycle"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor.functions import names as N
 from attestor.operators import graph, imports
-from attestor.schemas import CORPUS_ITEM
+from attestor.operators import lifecycle as L
+from attestor.schemas import CORPUS_ITEM, Clock
 
 ENTITY = "id string, slug string, canonical_name string, normalized_name string, registration_number string, registration_number_normalized string, website string, legal_name string, trading_name string, merged_into_id string, visibility string"
 
@@ -93,6 +94,45 @@ def test_salt_spreads_a_heavy_key(spark):
     assert sum(sizes) == 9000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
+def test_lifecycle_of_a_company_with_a_third_of_the_rows(spark):
+    """Every task of the join with the decisions has about as many rows as the others."""
+    n, day = 30_000, F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 300).cast("int"))
+    evidence = spark.range(n).select(
+        "id", F.lit("bee_certificate").alias("evidence_type"), day.alias("issue_date"), F.date_add(day, 900).alias("expiry_date"), day.alias("discovered_at"), F.lit("published").alias("publication_state")
+    )
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.lit(None).cast("long")).otherwise(F.col("id"))
+    links = spark.range(n).select(hot.alias("entity_id"), F.col("id").alias("evidence_id"), F.lit("confirmed").alias("link_state"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        decided = L.decided_evidence(evidence, links, Clock())
+        sizes = sorted(r["count"] for r in decided.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        states = {r["lifecycle"]: r["count"] for r in decided.filter("entity_id = -1").groupBy("lifecycle").count().collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert sum(states.values()) == n // 3 and set(states) == {"disputed"}
+
+
+def test_stage_is_written_once(spark, tmp_path):
+    from attestor.operators.common import staged
+
+    built = []
+
+    def build():
+        built.append(1)
+        return {"a": spark.range(3), "b": spark.range(5)}
+
+    folder = f"{tmp_path}/stage"
+    assert {n: df.count() for n, df in staged(spark, folder, build).items()} == {"a": 3, "b": 5}
+    assert staged(spark, folder, build)["b"].count() == 5 and len(built) == 1
+    # a run that died before its mark is written over
+    spark.range(9).write.parquet(f"{tmp_path}/broken/a")
+    assert {n: df.count() for n, df in staged(spark, f"{tmp_path}/broken", build).items()} == {"a": 3, "b": 5} and len(built) == 2
+
+
 def test_three_names_of_one_company(spark, tables):
     batch = items(
         spark,
