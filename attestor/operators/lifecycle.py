@@ -8,6 +8,9 @@ An entity holding a third of all rows therefore never lands in one task.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -284,3 +287,50 @@ def refresh_expiries(tables, before: DataFrame, clock: Clock) -> DataFrame:
 def evidence_levels(tables) -> DataFrame:
     """Reported level per evidence from its newest successful run that has one."""
     return latest_values(tables, ["bee_level"]).select("evidence_id", "bee_level")
+
+
+def transition_index(tables, clock: Clock) -> DataFrame:
+    """(day, entity_id): the days on which the date alone can change a company's documents.
+
+    A document changes when its last ``soon_days`` begin, and on the day after
+    its expiry.
+    """
+    unmerged = tables["entities"].filter(F.col("merged_into_id").isNull()).select(F.col("id").alias("entity_id"))
+    pairs = entity_evidence_pairs(tables["evidence_raw"], tables["evidence_entity_links"].join(unmerged, "entity_id", "left_semi"))
+    days = F.array(F.date_sub("expiry_date", clock.soon_days), F.date_add("expiry_date", 1))
+    return pairs.filter("expiry_date is not null").select("entity_id", F.explode(days).alias("day")).distinct()
+
+
+def write_transition_index(index: DataFrame, path: str) -> None:
+    """One folder per day, so that a run opens only the days it is asked for."""
+    index.repartition("day").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def refresh_due(tables, index: DataFrame, since: date, clock: Clock) -> DataFrame:
+    """What the days after ``since`` up to the clock change, looking only at companies due in between.
+
+    Equals a comparison of all states at both dates, as long as nothing but
+    the date has changed.
+    """
+    due = index.filter((F.col("day") > F.lit(since)) & (F.col("day") <= F.lit(clock.as_of))).select("entity_id").distinct()
+    links = tables["evidence_entity_links"].join(due, "entity_id", "left_semi")
+    then = classify_lifecycle(tables["evidence_raw"], links, replace(clock, as_of=since))
+    now = classify_lifecycle(tables["evidence_raw"], links, clock).withColumnRenamed("lifecycle", "after")
+    changed = then.withColumnRenamed("lifecycle", "before").join(now, ["entity_id", "evidence_id"])
+    return changed.filter("before <> after").select("entity_id", "evidence_id", "before", "after")
+
+
+def refresh_counts(changes: DataFrame) -> DataFrame:
+    """Changed documents by state before and after."""
+    return changes.groupBy("before", "after").agg(F.count("*").alias("updated"))
+
+
+def refresh_reviews(tables, clock: Clock) -> DataFrame:
+    """Reviews to open for companies whose current record is disputed, unless one is open for the document."""
+    from attestor.operators.publish import open_review_once
+
+    unmerged = tables["entities"].filter(F.col("merged_into_id").isNull()).select(F.col("id").alias("entity_id"))
+    links = tables["evidence_entity_links"].join(unmerged, "entity_id", "left_semi")
+    disputes = dispute_reasons(tables["evidence_raw"], links, evidence_levels(tables), clock)
+    wanted = disputes.select(F.lit("conflicting_evidence").alias("type"), "reason", F.lit("high").alias("severity"), "entity_id", F.col("supporting_evidence_id").alias("evidence_id"))
+    return open_review_once(tables["review_items"], wanted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.functions import names as N
@@ -208,3 +209,35 @@ def agency_profile(tables, newest: int = 100) -> DataFrame:
         .join(people, "verifier_agency_id", "left")
         .fillna(0, ["alias_count", "signatory_count"])
     )
+
+
+def agency_sections(tables, newest: int = 100) -> DataFrame:
+    """Profile of every public agency as rows of sections, agencies without documents included.
+
+    Sections are agency, alias, accreditation, signatory (by name) and evidence
+    (the newest documents); ``position`` counts within a section.
+    """
+    public = tables["verification_agencies"].filter("visibility = 'public'")
+    keys = public.select(F.col("id").alias("agency_id"))
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, section: str, label: Column, detail: Column = none, extra: Column = none, order: list[Column] | None = None) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("agency_id").orderBy(*(order or [label, detail])))
+        return df.join(keys, "agency_id", "left_semi").select("agency_id", F.lit(section).alias("section"), place.alias("position"), label.cast("string").alias("label"), detail.cast("string").alias("detail"), extra.cast("string").alias("extra"))
+
+    c = F.col
+    named = public.select(c("id").alias("agency_id"), "name", "legal_name", "website")
+    confirmed = tables["evidence_entity_links"].filter("link_state = 'confirmed'").select(c("evidence_id").alias("id"), "entity_id")
+    shown = tables["entities"].filter("visibility = 'public'").select(c("id").alias("entity_id"), "canonical_name")
+    papers = tables["evidence_raw"].filter(published()).select("id", "title", "issue_date", c("verifier_agency_id").alias("agency_id")).join(keys, "agency_id", "left_semi")
+    newest_first = [F.desc_nulls_last("issue_date"), F.desc("id"), F.asc_nulls_last("entity_id")]
+    top = top_per_group(papers.join(confirmed, "id", "left"), ["agency_id"], newest_first, newest).join(shown, "entity_id", "left")
+    evidence = top.select("agency_id", F.lit("evidence").alias("section"), c("_rank").alias("position"), c("title").alias("label"), c("canonical_name").alias("detail"), F.date_format("issue_date", "yyyy-MM-dd").alias("extra"))
+    parts = [
+        rows(named, "agency", c("name"), c("legal_name"), c("website")),
+        rows(tables["agency_aliases"], "alias", c("alias")),
+        rows(tables["agency_accreditations"], "accreditation", c("accreditation_identifier"), c("accreditation_body"), c("status")),
+        rows(tables["signatories"], "signatory", c("name"), c("role_title")),
+        evidence,
+    ]
+    return reduce(DataFrame.unionByName, parts)

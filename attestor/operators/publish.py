@@ -520,20 +520,50 @@ def merge_repair_claims(previous: DataFrame, extracted: DataFrame, context: Data
     )
 
 
+def unusable_names(previous: DataFrame, context: DataFrame) -> DataFrame:
+    """Documents with a stored name that may not be shown."""
+    c = Q.canonical_field(F.col("field_key"))
+    named = previous.join(context.select("evidence_id", "linked_name"), "evidence_id", "left")
+    bad = ~Q.plausible_claim(c, F.col("value")) | (F.col("linked_name").isNotNull() & ~Q.matches_linked(F.col("value"), F.col("linked_name"), F.array().cast("array<string>")))
+    return named.filter(c.isin("measured_entity", "legal_entity_name", "trading_name") & bad).select("evidence_id").distinct()
+
+
 def sanitize_claims(previous: DataFrame, extracted: DataFrame, context: DataFrame) -> DataFrame:
     """Fields whose stored value may not be shown and was not replaced.
 
     Extraction is used only for documents with an unusable name.
     """
-    c = Q.canonical_field(F.col("field_key"))
-    named = previous.join(context.select("evidence_id", "linked_name"), "evidence_id", "left")
-    bad = ~Q.plausible_claim(c, F.col("value")) | (F.col("linked_name").isNotNull() & ~Q.matches_linked(F.col("value"), F.col("linked_name"), F.array().cast("array<string>")))
-    invalid = named.filter(c.isin("measured_entity", "legal_entity_name", "trading_name") & bad).select("evidence_id").distinct()
-    merged = merge_repair_claims(previous, extracted.join(invalid, "evidence_id", "left_semi"), context)
+    merged = merge_repair_claims(previous, extracted.join(unusable_names(previous, context), "evidence_id", "left_semi"), context)
     dropped = merged.filter(F.col("step") == "dropped").select("evidence_id", "field_key")
     return dropped.join(context.select("evidence_id", "published"), "evidence_id", "left").select("evidence_id", "field_key", F.col("published").alias("opens_review"))
 
 
+def sanitized_runs(tables, previous: DataFrame, extracted: DataFrame, context: DataFrame, parser: str = "sanitize/v1") -> dict[str, DataFrame]:
+    """Runs, claims and reviews of a pass that suppresses values which may not be shown.
+
+    Every document of ``context`` without a successful run of ``parser`` gets
+    one, with a claim for each field that is left and a warning for each one
+    suppressed; a published document with a suppressed field gets one review.
+    """
+    done = tables["extraction_runs"].filter((F.col("parser") == parser) & F.col("success")).select("evidence_id").distinct()
+    todo = context.join(done, "evidence_id", "left_anti")
+    mine = todo.select("evidence_id")
+    previous, extracted = (df.join(mine, "evidence_id", "left_semi") for df in (previous, extracted))
+    suppressed = sanitize_claims(previous, extracted, todo)
+    merged = merge_repair_claims(previous, extracted.join(unusable_names(previous, todo), "evidence_id", "left_semi"), todo)
+    run = F.concat_ws("-", F.lit(parser), F.col("evidence_id").cast("string"))
+    listed = suppressed.groupBy("evidence_id").agg(F.array_sort(F.collect_set("field_key")).alias("fields"))  # at most one of each claim field
+    none = F.array().cast("array<string>")
+    runs = todo.join(listed, "evidence_id", "left").select(
+        run.alias("id"), "evidence_id", F.lit(parser).alias("parser"), F.lit(True).alias("success"), F.transform(F.coalesce("fields", none), lambda f: F.concat(F.lit("Suppressed invalid "), f, F.lit("."))).alias("warnings")
+    )
+    claims = merged.filter("value is not null").select(F.concat_ws("-", run, "field_key").alias("id"), run.alias("extraction_run_id"), "evidence_id", "field_key", F.col("value").alias("raw_value"))
+    told = listed.join(todo.filter("published").select("evidence_id"), "evidence_id", "left_semi")
+    reason = F.concat(F.lit("Malformed extracted "), F.array_join("fields", ", "), F.lit(" was suppressed and not shown as a published fact."))
+    reviews = open_review_once(tables["review_items"], told.select(F.lit("invalid_extracted_claim").alias("type"), reason.alias("reason"), F.lit("normal").alias("severity"), "evidence_id"))
+    return {"extraction_runs": runs, "extracted_claims": claims, "review_items": reviews}
+
+
 def pending_repairs(tables, parser: str) -> DataFrame:
     """Documents without a successful run of a parser."""
     done = tables["extraction_runs"].filter((F.col("parser") == parser) & F.col("success")).select(F.col("evidence_id").alias("id"))

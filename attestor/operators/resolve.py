@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from attestor.functions import names as N
 from attestor.functions import quality as Q
-from attestor.operators.common import is_status, join_known, live_entity, published
+from attestor.operators.common import computed, is_status, join_known, live_entity, published
 from attestor.schemas import NON_INDUSTRY_SECTORS
 
 # --- fixed values ------------------------------------------------------------
 NON_COMPANY_HOST = r"(?i)(\.gov\.za$|\.gov$|treasury\.gov|sanas\.co\.za|irba\.co\.za|empowerlogic|aqrate|empowerdex|bee\.co\.za|cipc\.co\.za)"
+AGENCY_NUMBER = r"(?i)\bBVA\s?\d{2,4}\b"
 DOMAIN_TYPES = [
     "bee_certificate",
     "sworn_affidavit",
@@ -245,6 +246,39 @@ def ensure_agencies(tables, stated: DataFrame) -> DataFrame:
     )
 
 
+def agency_changes(tables, stated: DataFrame) -> dict[str, DataFrame]:
+    """Rows that a batch of stated agency names adds: agencies, aliases and accreditation numbers.
+
+    ``stated`` has (evidence_id, name) and may have ``number``, the agency's
+    accreditation number, which is otherwise read from the name.  An alias is a
+    stated spelling that differs from the agency's name; of several documents
+    with one new number the smallest id is its evidence.
+    """
+    if "number" not in stated.columns:
+        stated = stated.withColumn("number", F.lit(None).cast("string"))
+    canonical = Q.canonical_agency(F.col("name"))
+    rows = computed(stated.select("evidence_id", F.trim("name").alias("name"), "number"), canonical=canonical).filter("canonical is not null")
+    rows = computed(rows, name_key=N.normalize_name(F.col("canonical")), raw_key=N.normalize_name(F.col("name")))
+    known = agency_lookup(tables).groupBy("name_key").agg(F.min("agency_id").cast("string").alias("known_id"))
+    keyed = rows.join(known, "name_key", "left").join(known.select(F.col("name_key").alias("raw_key"), F.col("known_id").alias("raw_id")), "raw_key", "left")
+    new_id = F.concat(F.lit("agy_"), F.substring(F.sha2("name_key", 256), 1, 16))
+    keyed = keyed.select("*", F.coalesce("known_id", "raw_id").alias("have"), F.coalesce("known_id", "raw_id", new_id).alias("agency_id"))
+    made = keyed.filter("have is null").groupBy("agency_id").agg(F.min("canonical").alias("name"), F.min("name_key").alias("normalized_name"))
+    had = agency_lookup(tables).select(F.col("agency_id").cast("string").alias("agency_id"), F.col("name_key").alias("normalized_alias"))
+    alias = keyed.filter("raw_key <> name_key and raw_key <> ''").groupBy("agency_id", F.col("raw_key").alias("normalized_alias")).agg(F.min("name").alias("alias"))
+    number = F.upper(F.regexp_replace(F.coalesce(F.nullif(F.trim("number"), F.lit("")), F.regexp_extract("name", AGENCY_NUMBER, 0)), r"\s+", ""))
+    marked = keyed.select("agency_id", number.alias("accreditation_identifier"), "evidence_id").filter(F.col("accreditation_identifier").rlike(r"^BVA\d{2,4}$"))
+    marks = tables["agency_accreditations"].select(F.col("agency_id").cast("string").alias("agency_id"), "accreditation_identifier")
+    return {
+        "agencies": made.select(F.col("agency_id").alias("id"), "name", "normalized_name", N.slugify(F.col("name")).alias("slug"), F.lit("public").alias("visibility")),
+        "aliases": alias.join(had, ["agency_id", "normalized_alias"], "left_anti").select("agency_id", "alias", "normalized_alias"),
+        "accreditations": marked.groupBy("agency_id", "accreditation_identifier")
+        .agg(F.min("evidence_id").alias("evidence_id"))
+        .join(marks, ["agency_id", "accreditation_identifier"], "left_anti")
+        .select("agency_id", F.lit("SANAS").alias("accreditation_body"), "accreditation_identifier", F.lit("Identifier stated on certificate").alias("status"), "evidence_id"),
+    }
+
+
 def registration_candidates(tables) -> DataFrame:
     """Valid company numbers for entities without one, from three sources."""
     wanted = tables["entities"].filter(live_entity() & N.blank(F.col("registration_number"))).select(F.col("id").alias("entity_id"))

@@ -119,6 +119,37 @@ def ensure_agencies(t):
     return RS.ensure_agencies(t, I.agency_texts(t).select(F.col("id").alias("evidence_id"), F.col("raw").alias("name")))
 
 
+AGENCIES = f"""{LOOKUP}, kn as (select name_key, min(agency_id)::varchar id from lk group by 1),
+st0 as (select o_orderkey k, case o_orderkey%9 when 0 then 'EmpowerLogic (Pty) Ltd' when 2 then 'Verifier '||(o_orderkey%50) when 4 then 'Honeycomb BEE Ratings' when 8 then 'Mosela Rating Agency (Pty) Ltd' end c,
+   case o_orderkey%9 when 0 then 'empowerlogic' when 2 then 'verifier '||(o_orderkey%50) when 4 then 'honeycomb bee ratings' when 8 then 'mosela rating agency' end nk,
+   case o_orderkey%9 when 0 then 'Empower Logic  ratings' when 4 then 'Honeycomb' end alias, case o_orderkey%9 when 0 then 'empower logic ratings' when 4 then 'honeycomb' end rk, case when o_orderkey%9=2 then 'BVA'||lpad((o_orderkey%50)::varchar,3,'0') end num from orders),
+st as (select st0.*, coalesce(a.id, b.id) have, coalesce(a.id, b.id, 'agy_'||left(sha256(nk),16)) id from st0 left join kn a on a.name_key=nk left join kn b on b.name_key=coalesce(rk,nk) where c is not null)"""
+
+
+def stated_agencies(t):
+    k = F.col("id")
+    number = F.when(k % 9 == 2, F.concat(F.lit("bva "), F.lpad(s(k % 50), 3, "0"))).when(k % 9 == 0, "number 12")
+    return I.agency_texts(t).select(k.alias("evidence_id"), F.col("raw").alias("name"), number.alias("number"))
+
+
+@query("agency_changes_agencies", f"with {AGENCIES} select distinct id, c as name, nk normalized_name, trim(regexp_replace(lower(c),'[^a-z0-9]+','-','g'),'-') slug, 'public' visibility from st where have is null")
+def agency_changes_agencies(t):
+    return RS.agency_changes(t, stated_agencies(t))["agencies"]
+
+
+@query("agency_changes_aliases", f"with {AGENCIES} select distinct id agency_id, alias, rk normalized_alias from st where alias is not null and not exists (select 1 from lk where lk.agency_id::varchar=st.id and lk.name_key=st.rk)")
+def agency_changes_aliases(t):
+    return RS.agency_changes(t, stated_agencies(t))["aliases"]
+
+
+@query(
+    "agency_changes_accreditations",
+    f"with {AGENCIES} select id agency_id, 'SANAS' accreditation_body, num accreditation_identifier, 'Identifier stated on certificate' status, min(k) evidence_id from st where num is not null and not exists (select 1 from agency_accreditations x where x.agency_id::varchar=st.id and x.accreditation_identifier=num) group by 1,3",
+)
+def agency_changes_accreditations(t):
+    return RS.agency_changes(t, stated_agencies(t))["accreditations"]
+
+
 REG_CANDIDATES = """
 rc0 as (select s.entity_id, s.registration_number v, 'current_state' via from state s where s.registration_number is not null
   union all select entity_id, value, 'published_claim' from published_claims where field_key='registration_number'
@@ -484,6 +515,36 @@ def sanitize_claims(t):
     return P.sanitize_claims(*repair_inputs(t))
 
 
+SANITIZED = f"""{REPAIR},
+sn as (select k, pub, {REPAIR_FIELD} field_key, case when f=3 and not ed then case when hn then nv end else v end as value from rp0 where hp)"""
+
+
+def sanitized(t, table):
+    return P.sanitized_runs(t, *repair_inputs(t))[table]
+
+
+@query(
+    "sanitize_runs",
+    f"with {SANITIZED} select 'sanitize/v1-'||o_orderkey id, o_orderkey evidence_id, 'sanitize/v1' parser, true success, case when sn.k is not null and sn.value is null then 'Suppressed invalid measured_entity.' else '' end warnings from orders left join sn on sn.k=o_orderkey",
+)
+def sanitize_runs(t):
+    return sanitized(t, "extraction_runs")
+
+
+@query("sanitize_run_claims", f"with {SANITIZED} select 'sanitize/v1-'||k||'-'||field_key id, 'sanitize/v1-'||k extraction_run_id, k evidence_id, field_key, value raw_value from sn where value is not null")
+def sanitize_run_claims(t):
+    return sanitized(t, "extracted_claims")
+
+
+@query(
+    "sanitize_reviews",
+    f"""with {SANITIZED} select 'invalid_extracted_claim' as type, 'Malformed extracted measured_entity was suppressed and not shown as a published fact.' reason, 'normal' severity, k evidence_id from sn
+        where value is null and pub and not exists (select 1 from review_items r where r.status='pending' and r.type='invalid_extracted_claim' and r.evidence_id=k)""",
+)
+def sanitize_reviews(t):
+    return sanitized(t, "review_items")
+
+
 @query("pending_repairs", "select id, strftime(created_at,'%Y-%m-%d') created_at from evidence_raw e where not exists (select 1 from runs r where r.evidence_id=e.id and r.parser='repair/v1' and r.success)")
 def pending_repairs(t):
     return P.pending_repairs(t, "repair/v1")

@@ -140,6 +140,9 @@ select p.entity_id, p.id evidence_id, case
   when p.expiry_date is null and in_pool then 'unknown_validity'
   else 'historical' end lifecycle
 from pool p join facts f on f.entity_id=p.entity_id"""
+# The same decisions half a year before.
+for _name in ("pool", "ranked_pool", "facts0", "facts", "decisions"):
+    VIEWS[f"{_name}_then"] = re.sub(r"\b(pool|ranked_pool|facts0|facts)\b", r"\1_then", VIEWS[_name]).replace("2001-01-01", "2000-07-01")
 VIEWS["evidence"] = """
 select e.*, coalesce(d.lifecycle,'discovered') lifecycle_state from evidence_raw e left join decisions d on d.evidence_id=e.id"""
 VIEWS["vis"] = """

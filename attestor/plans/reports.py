@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from attestor.operators import claims as C
@@ -270,6 +272,21 @@ def agency_profile(t):
     return P.agency_profile(t)
 
 
+@query(
+    "agency_sections",
+    """with pa as (select * from verification_agencies where visibility='public'),
+       ev as (select e.verifier_agency_id agency_id, e.title, e.issue_date, n.canonical_name, row_number() over (partition by e.verifier_agency_id order by e.issue_date desc nulls last, e.id desc, l.entity_id nulls last) rn
+              from evidence_raw e join pa on pa.id=e.verifier_agency_id left join links l on l.evidence_id=e.id and l.link_state='confirmed' left join entities n on n.id=l.entity_id and n.visibility='public' where e.publication_state='published')
+       select id agency_id, 'agency' section, 1 "position", name as label, legal_name detail, website extra from pa
+       union all select agency_id, 'alias', row_number() over (partition by agency_id order by alias), alias, null, null from agency_aliases where agency_id in (select id from pa)
+       union all select agency_id, 'accreditation', row_number() over (partition by agency_id order by accreditation_identifier), accreditation_identifier, 'SANAS', 'active' from agency_accreditations where agency_id in (select id from pa)
+       union all select agency_id, 'signatory', row_number() over (partition by agency_id order by name), name, 'Technical signatory', null from signatories where agency_id in (select id from pa)
+       union all select agency_id, 'evidence', rn, title, canonical_name, strftime(issue_date,'%Y-%m-%d') from ev where rn<=100""",
+)
+def agency_sections(t):
+    return P.agency_sections(t)
+
+
 @query(
     "entities_with_evidence",
     "select id, canonical_name from live e where exists (select 1 from vis v where v.entity_id=e.id and v.evidence_type='government_procurement_disclosure')",
@@ -707,6 +724,40 @@ def refresh_expiries(t):
     return L.refresh_expiries(t, before, CLOCK)
 
 
+def stored_states(t):
+    return t["evidence_raw"].select(F.col("id").alias("evidence_id"), F.when(F.col("id") % 3 == 0, "current").otherwise("historical").alias("lifecycle"))
+
+
+@query(
+    "refresh_expiries_counts",
+    """select case when d.evidence_id%3=0 then 'current' else 'historical' end as before, d.lifecycle as after, count(*) updated from decisions d join entities e on e.id=d.entity_id
+       where e.merged_into_id is null and d.lifecycle<>case when d.evidence_id%3=0 then 'current' else 'historical' end group by 1,2""",
+)
+def refresh_expiries_counts(t):
+    return L.refresh_counts(L.refresh_expiries(t, stored_states(t), CLOCK))
+
+
+@query(
+    "refresh_expiries_reviews",
+    """select 'conflicting_evidence' as type, case when f.top_issue is null then 'Multiple live certificates have no issue date; current record was not guessed.'
+        when a.value<>b.value then 'Multiple live certificates share issue date '||strftime(f.top_issue,'%Y-%m-%d')||' with conflicting B-BBEE levels.'
+        else 'Multiple live certificates share issue date '||strftime(f.top_issue,'%Y-%m-%d')||'; current record was not guessed.' end reason, 'high' severity, f.entity_id, f.supporting_id evidence_id
+       from facts f join entities e on e.id=f.entity_id left join latest_val a on a.evidence_id=f.top_id and a.field_key='bee_level' left join latest_val b on b.evidence_id=f.next_id and b.field_key='bee_level'
+       where f.disputed and e.merged_into_id is null and not exists (select 1 from review_items r where r.status='pending' and r.type='conflicting_evidence' and r.evidence_id=f.supporting_id)""",
+)
+def refresh_expiries_reviews(t):
+    return L.refresh_reviews(t, CLOCK)
+
+
+@query(
+    "refresh_expiries_due",
+    """select n.entity_id, n.evidence_id, b.lifecycle as before, n.lifecycle as after from decisions n join decisions_then b using (entity_id, evidence_id) join entities e on e.id=n.entity_id where e.merged_into_id is null and b.lifecycle<>n.lifecycle""",
+)
+def refresh_expiries_due(t):
+    """Half a year of changes, from the companies that the index names for it."""
+    return L.refresh_due(t, L.transition_index(t, CLOCK), date(2000, 7, 1), CLOCK)
+
+
 @query(
     "expiry_status",
     """select id, case when expiry_date is null then 'unknown_validity' when expiry_date<date '2001-01-01' then 'expired' when expiry_date<=date '2001-01-01'+90 then 'expiring_soon' else 'current' end status from evidence_raw""",

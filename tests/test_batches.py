@@ -226,3 +226,24 @@ def test_slugs_stay_unique(spark, tables):
 )
 def test_fetchable(spark, url, ok):
     assert spark.createDataFrame([(url,)], "u string").select(N.fetchable_url(F.col("u"))).first()[0] is ok
+
+
+def test_index_of_due_days_is_read_by_day(spark, tmp_path):
+    from dataclasses import replace
+    from datetime import date
+
+    from attestor.views import Tables
+
+    tables, clock = Tables(spark, "/root/testdata/sf0.001"), Clock()
+    L.write_transition_index(L.transition_index(tables, clock), f"{tmp_path}/index")
+    index = spark.read.schema("entity_id long, day date").parquet(f"{tmp_path}/index")
+    since = date(2000, 11, 1)
+    unmerged = tables["entities"].filter("merged_into_id is null").select(F.col("id").alias("entity_id"))
+    links = tables["evidence_entity_links"].join(unmerged, "entity_id", "left_semi")
+    then, now = (L.classify_lifecycle(tables["evidence_raw"], links, c) for c in (replace(clock, as_of=since), clock))
+    full = then.withColumnRenamed("lifecycle", "before").join(now, ["entity_id", "evidence_id"]).filter("before <> lifecycle")
+    got = L.refresh_due(tables, index, since, clock)
+    assert sorted(map(tuple, got.select("entity_id", "evidence_id", "before", "after").collect())) == sorted(map(tuple, full.select("entity_id", "evidence_id", "before", "lifecycle").collect()))
+    due = index.filter((F.col("day") > F.lit(since)) & (F.col("day") <= F.lit(clock.as_of)))
+    assert 0 < len(due.inputFiles()) and "PartitionFilters: [isnotnull(day" in due._jdf.queryExecution().executedPlan().toString()
+    assert due.select("entity_id").distinct().count() < unmerged.count()
