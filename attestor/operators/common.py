@@ -111,6 +111,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> str:
+    """Name of a session table with these rows, written once to a shared folder, dealt and sorted by ``key``.
+
+    Joins and groupings of such tables by their keys need no exchange.  The
+    key should be spread evenly, best one row each.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", shared_folder(spark, name)).format("parquet").saveAsTable(table)
+    return table
+
+
 def staged(spark: SparkSession, folder: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
     """Tables written once to ``folder``, with a mark after the last; where the mark is found nothing is built or written.
 

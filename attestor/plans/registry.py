@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return portable(fn(Tables(spark, sf_dir, DEFAULT_CLOCK)))
+            return portable(fn(Tables(spark, sf_dir, DEFAULT_CLOCK, store=True)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOUR = 3600
@@ -112,23 +113,83 @@ def source_changes(checks: DataFrame) -> DataFrame:
     return j.select("id", "source_id", before.isNull().alias("first"), F.coalesce(before != F.col("content_hash"), F.lit(True)).alias("changed"))
 
 
-def stream_source_changes(checks: DataFrame) -> DataFrame:
-    """Streaming form; the state of a source is its last hash."""
+class SourceHistory(StatefulProcessor):
+    """Checks of one source, held until the watermark has passed them, then compared in the order of events.
 
-    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["started_at", "id"])
-        before = rows["content_hash"].shift(1)
-        before.iloc[0] = last
-        state.update((rows["content_hash"].iloc[-1],))
-        yield pd.DataFrame({"id": rows["id"], "source_id": key[0], "first": before.isna(), "changed": before.isna() | (before != rows["content_hash"])})
+    State: checks that wait, and the newest hash compared so far with its
+    time.  A timer stands at the earliest waiting check; when none waits, at
+    the time after which a quiet source is forgotten.
+    """
 
-    return (
-        checks.select("id", "source_id", "started_at", "content_hash")
-        .groupBy("source_id")
-        .applyInPandasWithState(
-            compare, "id long, source_id long, first boolean, changed boolean", "last string", "append", GroupStateTimeout.NoTimeout
-        )
+    WAITING = "id long, started_at long, content_hash string"
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.newest = handle.getValueState("newest", "content_hash string, at long")
+
+    def _alarm(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = min([t for t in self.handle.listTimers()] if self.waiting.exists() else [], default=None)
+        for some in rows:
+            at = some["started_at"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList(list(zip(some["id"].tolist(), at.tolist(), some["content_hash"].tolist(), strict=True)))
+            soonest = int(at.min()) // 1000 + 1
+            first = soonest if first is None else min(first, soonest)
+        if first is not None:
+            self._alarm(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._none()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        if not held:
+            self.newest.clear()
+            yield self._none()
+            return
+        held.sort(key=lambda r: (r[1], r[0]))
+        ready = [r for r in held if r[1] // 1000 < mark]
+        rest = held[len(ready) :]
+        last, seen = self.newest.get() if self.newest.exists() else (None, None)
+        out = []
+        for i, at, content in ready:
+            fresh = seen is None or (at - seen) // 1000 > self.forget_ms
+            out.append((i, key[0], fresh, fresh or last != content))
+            last, seen = content, at
+        if ready:
+            self.newest.update((last, ready[-1][1]))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(max(rest[0][1] // 1000 + 1, mark + 1))
+        else:
+            self.waiting.clear()
+            self.handle.registerTimer(ready[-1][1] // 1000 + self.forget_ms)
+        yield pd.DataFrame(out, columns=["id", "source_id", "first", "changed"])
+
+    def _none(self) -> pd.DataFrame:
+        return pd.DataFrame({"id": pd.Series(dtype="int64"), "source_id": pd.Series(dtype="int64"), "first": pd.Series(dtype=bool), "changed": pd.Series(dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_source_changes(checks: DataFrame, watermark: str = "1 day", forget_days: int = 400) -> DataFrame:
+    """Streaming form, in the order of events: a check is compared once the watermark has passed it.
+
+    Checks that come later than the watermark are dropped; a source without a
+    check for ``forget_days`` starts anew.  Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    rows = checks.select("id", "source_id", F.col("started_at").cast("timestamp").alias("started_at"), "content_hash").withWatermark("started_at", watermark)
+    return rows.groupBy("source_id").transformWithStateInPandas(
+        SourceHistory(forget_days * 86_400_000), outputStructType="id long, source_id long, first boolean, changed boolean", outputMode="append", timeMode="eventTime"
     )
 
 
@@ -152,15 +213,44 @@ def stream_dedupe_evidence(documents: DataFrame, event_time: str, watermark: str
     return documents.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def write_new_evidence(documents: DataFrame, path: str, checkpoint: str):
-    """Exact form: every micro-batch appends only hashes the table does not hold.
+#: Folders of the store of hashes; a power of two.
+BUCKETS = 1024
+STORED = "content_hash string, doc_id long"
+
+
+def with_bucket(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(buckets)).cast("int"))
+
+
+def known_evidence(batch: DataFrame, path: str) -> DataFrame:
+    """The stored rows in the folders that may hold the hashes of ``batch`` (with ``bucket``); the others are not opened."""
+    wanted = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most as many as there are folders
+    known = batch.sparkSession.read.schema(STORED + ", bucket int").parquet(path)
+    return known.filter(F.col("bucket").isin(wanted) if wanted else F.lit(False))
+
+
+def append_new_evidence(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store the rows whose hash is not stored, the first of each hash, a file per folder, with Bloom filters of the hashes."""
+    rows = with_bucket(rows, buckets)
+    first = rows.groupBy("bucket", "content_hash").agg(F.min("doc_id").alias("doc_id"))
+    new = first.join(known_evidence(rows, path).select("bucket", "content_hash"), ["bucket", "content_hash"], "left_anti")
+    out = new.repartition("bucket").write.mode("append").option("parquet.bloom.filter.enabled#content_hash", "true")
+    out.partitionBy("bucket").parquet(path)
+
+
+def create_evidence_store(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A new store of rows (content_hash, doc_id)."""
+    first = with_bucket(rows, buckets).groupBy("bucket", "content_hash").agg(F.min("doc_id").alias("doc_id"))
+    first.repartition("bucket").write.option("parquet.bloom.filter.enabled#content_hash", "true").partitionBy("bucket").parquet(path)
+
+
+def write_new_evidence(documents: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Exact form: every micro-batch appends only hashes the store does not hold, and opens only folders that may hold them.
 
     A batch that is replayed after a failure finds its own rows stored and
     appends nothing.
     """
     def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema("content_hash string, doc_id long").parquet(path)
-        dedupe_evidence(batch, known).select("content_hash", "doc_id").write.mode("append").parquet(path)
+        append_new_evidence(batch, path, buckets)
 
     return documents.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)

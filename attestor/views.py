@@ -3,19 +3,20 @@
 Each table is one lazy DataFrame built from plain expressions, so its size
 grows with the input.  ``Tables`` builds a table the first time it is asked
 for; a real deployment passes its own mapping of stored tables instead.  With
-``store`` the decisions on evidence and the entity snapshot, which most reports
-read several times, are written once to the shared folder and read from there.
+``store`` the tables that most reports read several times are written once for a
+session, dealt by the key they are joined by (``SNAPSHOTS``), and every later
+``Tables`` of that session, folder and clock reads them from there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import names as N
-from attestor.operators.common import stored
+from attestor.operators.common import bucketed
 from attestor.schemas import DEFAULT_CLOCK, Clock
 
 # Words that make the generated company names exercise the sector rules.
@@ -67,6 +68,11 @@ TABLE_NAMES = [
 ]
 
 
+#: Tables worth a snapshot and their keys; each key is unique or nearly so, so that no bucket is hot.
+SNAPSHOTS = {"entities": "id", "evidence": "id", "evidence_entity_links": "evidence_id", "decided_evidence": "evidence_id", "entity_current_state": "entity_id"}
+_written: dict[tuple, str] = {}
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
@@ -106,9 +112,15 @@ class Tables(Mapping):
             builder = getattr(self, f"_{name}", None) if name in TABLE_NAMES else None
             if builder is None:
                 raise KeyError(name)
-            self._cache[name] = builder()
+            self._cache[name] = self._snapshot(name, builder) if self.store and name in SNAPSHOTS else builder()
         return self._cache[name]
 
+    def _snapshot(self, name: str, builder: Callable[[], DataFrame]) -> DataFrame:
+        at = (self.spark.sparkContext.applicationId, self.dir, self.clock, name)
+        if at not in _written or not self.spark.catalog.tableExists(_written[at]):
+            _written[at] = bucketed(builder(), name, SNAPSHOTS[name])
+        return self.spark.table(_written[at])
+
     def __iter__(self) -> Iterator[str]:
         return iter(TABLE_NAMES)
 
@@ -326,8 +338,7 @@ class Tables(Mapping):
     def _decided_evidence(self) -> DataFrame:
         from attestor.operators.lifecycle import decided_evidence
 
-        decided = decided_evidence(self["evidence_raw"], self["evidence_entity_links"], self.clock)
-        return stored(decided, "decided-evidence") if self.store else decided
+        return decided_evidence(self["evidence_raw"], self["evidence_entity_links"], self.clock)
 
     def _evidence_source_locations(self) -> DataFrame:
         o = self.raw("orders")
@@ -446,8 +457,7 @@ class Tables(Mapping):
     def _entity_current_state(self) -> DataFrame:
         from attestor.operators.lifecycle import current_state
 
-        state = current_state(self)
-        return stored(state, "entity-current-state") if self.store else state
+        return current_state(self)
 
     # --- monitoring, review and logs ---------------------------------------
     def _monitored_sources(self) -> DataFrame:

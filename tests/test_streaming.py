@@ -1,6 +1,7 @@
 """The streams give the rows of their batch forms."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -47,15 +48,41 @@ def test_rate_limit_brute_force(spark):
         assert got[i] == (earlier < 8)
 
 
-def test_source_changes_stream(spark):
-    def checks(df):
-        return df.select(
-            F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.col("ts").alias("started_at"), F.md5(F.floor(F.col("value") / 20).cast("string")).alias("content_hash")
-        )
-
-    batch = J.source_changes(checks(events(spark, False)))
-    stream = run(J.stream_source_changes(checks(events(spark, True))), "source_changes")
-    assert rows(stream, "id", "first", "changed") == rows(batch, "id", "first", "changed")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHECK = "id long, source_id long, started_at timestamp, content_hash string"
+
+
+def test_source_changes_in_the_order_of_events(spark, tmp_path):
+    """Shuffled and late input, a file per micro-batch, gives what the batch form gives."""
+    rng = random.Random(4)
+    start = 1_700_000_000
+    made = [(i, i % 7, start + 3600 * (i // 2) + rng.randrange(1800), rng.choice("ab")) for i in range(200)]
+    late = sorted(made, key=lambda r: r[2] + rng.randrange(40) * 3600)  # up to 40 hours late
+    end = [(1000 + k, k, start + 30 * 86400, "z") for k in range(8)] + [(2000, 99, start + 60 * 86400, "z")]
+    parts = [late[i : i + 25] for i in range(0, 200, 25)] + [end[:8], end[8:]]
+    inbox = str(tmp_path / "checks")
+    for k, part in enumerate(parts):
+        df = spark.createDataFrame(part, "id long, source_id long, at long, content_hash string")
+        df.select("id", "source_id", F.timestamp_seconds("at").alias("started_at"), "content_hash").coalesce(1).write.mode("append").parquet(inbox)
+        for name in os.listdir(inbox):
+            if name.endswith(".parquet") and os.path.getmtime(f"{inbox}/{name}") > 2000:
+                os.utime(f"{inbox}/{name}", (1000 + k, 1000 + k))
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        source = spark.readStream.schema(CHECK).option("maxFilesPerTrigger", 1).parquet(inbox)
+        query = J.stream_source_changes(source, "48 hours", forget_days=10).writeStream.format("memory").queryName("source_changes").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    batch = J.source_changes(spark.read.schema(CHECK).parquet(inbox)).filter("id < 1000")
+    assert rows(spark.table("source_changes").filter("id < 1000"), "id", "first", "changed") == rows(batch, "id", "first", "changed")
+    # what was compared is gone, and quiet sources are forgotten: their check a month later counts as a first one
+    assert sizes[-1] < max(sizes), sizes
+    ends = {r["id"]: r["first"] for r in spark.table("source_changes").filter("id >= 1000").collect()}
+    assert ends and all(ends.values())
 
 
 def test_publication_counts_stream(spark):
@@ -77,9 +104,23 @@ def test_dedupe_stream(spark):
 
 def test_exact_dedupe_by_batch(spark, tmp_path):
     table, inbox = str(tmp_path / "evidence"), str(tmp_path / "inbox")
-    spark.createDataFrame([("h1", 1)], "content_hash string, doc_id long").write.parquet(table)
-    spark.createDataFrame([("h1", 2), ("h2", 3), ("h2", 4)], "content_hash string, doc_id long").coalesce(1).write.parquet(inbox)
-    source = spark.readStream.schema("content_hash string, doc_id long").parquet(inbox)
+    J.create_evidence_store(spark.createDataFrame([("h1", 1)], J.STORED), table)
+    spark.createDataFrame([("h1", 2), ("h2", 3), ("h2", 4)], J.STORED).coalesce(1).write.parquet(inbox)
+    source = spark.readStream.schema(J.STORED).parquet(inbox)
     for _ in range(2):
         J.write_new_evidence(source, table, os.path.join(str(tmp_path), "checkpoint")).start().awaitTermination(120)
     assert rows(spark.read.parquet(table), "content_hash", "doc_id") == [("h1", 1), ("h2", 3)]
+
+
+def test_a_batch_opens_only_its_folders(spark, tmp_path):
+    table = str(tmp_path / "evidence")
+    stored = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("content_hash"), F.col("id").alias("doc_id"))
+    J.create_evidence_store(stored, table, buckets=64)
+    batch = spark.createDataFrame([("new", 9000)], J.STORED).unionByName(stored.filter("doc_id in (3, 4)"))
+    known = J.known_evidence(J.with_bucket(batch, 64), table)
+    opened = known.select(F.input_file_name().alias("f")).distinct().count()
+    assert 0 < opened <= 3 < len(spark.read.parquet(table).inputFiles())
+    assert "PartitionFilters: [isnotnull(bucket" in known._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [bucket" in known._jdf.queryExecution().executedPlan().toString()
+    for _ in range(2):  # a replayed batch adds nothing
+        J.append_new_evidence(batch, table, 64)
+        assert spark.read.parquet(table).count() == 2001
