@@ -114,6 +114,11 @@ def sequences(docs: DataFrame, table: dict[bytes, int], *, doc_id: str = "doc_id
         part, pos = TaskContext.get().partitionId(), 0
         code = encoder(name, held.value)
         left, owners = np.zeros(0, kind), np.zeros(0, np.int64)
+
+        def encoded(some: str) -> list[int]:
+            pieces = without_long_runs(some)
+            return code.encode_ordinary(some) if len(pieces) == 1 else [x for piece in pieces for x in code.encode_ordinary(piece)]
+
         names: list = []  # ids of the documents in the stream so far
 
         def cut(last: bool):
@@ -140,7 +145,7 @@ def sequences(docs: DataFrame, table: dict[bytes, int], *, doc_id: str = "doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = [np.array([*(x for piece in without_long_runs(t or "") for x in code.encode_ordinary(piece)), end_mark], kind) for t in some.column(1).to_pylist()]
+                found = [np.array([*encoded(t or ""), end_mark], kind) for t in some.column(1).to_pylist()]
                 owners = np.concatenate([owners, np.repeat(np.arange(len(names), len(names) + len(found)), [len(f) for f in found])])
                 names = names + some.column(0).to_pylist()
                 left = np.concatenate([left, *found])
