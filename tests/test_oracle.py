@@ -44,8 +44,9 @@ def test_matches_sql(spark, duck, name):
     cur = duck.execute(ORACLES[name])
     want_cols, want = table([d[0] for d in cur.description], cur.fetchall())
     assert got_cols == want_cols
-    extra = [r for r in got if r not in set(want)][:3]
-    missing = [r for r in want if r not in set(got)][:3]
+    known, seen = set(want), set(got)
+    extra = [r for r in got if r not in known][:3]
+    missing = [r for r in want if r not in seen][:3]
     assert got == want, f"{len(got)} rows, expected {len(want)}; extra {extra}; missing {missing}"
 
 
