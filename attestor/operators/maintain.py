@@ -228,11 +228,14 @@ def disclosure_claims(disclosures: DataFrame) -> DataFrame:
 
 
 def disclosure_to_evidence(disclosures: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
-    """New evidence, link and claims of disclosures not stored yet.
+    """New evidence, locations, links and claims of disclosures not stored yet.
 
     ``disclosures`` carry ``identity_hash`` and ``entity_id``; a hash that is
-    already stored adds no evidence row.
+    already stored adds no evidence row.  ``imports.disclosed`` gives the dates
+    that rows or their sources state.
     """
+    from attestor.operators.imports import notes
+
     stored = existing.select(F.col("content_hash").alias("identity_hash")).distinct()
     first = disclosures.groupBy("identity_hash").agg(F.min_by(F.struct(*[c for c in disclosures.columns if c != "identity_hash"]), "ordinal").alias("d"))
     new = first.join(stored, "identity_hash", "left_anti").select("identity_hash", "d.*").withColumn("evidence_id", F.concat(F.lit("evd_"), F.substring("identity_hash", 1, 24)))
@@ -240,7 +243,8 @@ def disclosure_to_evidence(disclosures: DataFrame, existing: DataFrame) -> dict[
     shown = F.when(level.isNotNull(), F.concat(F.lit("Level "), level, F.lit(" reported"))).otherwise("B-BBEE level as reported")
     title = F.concat(F.col("canonical_name"), F.lit(" — "), shown, F.lit(" in "), F.col("institution"), F.coalesce(F.concat(F.lit(" "), F.col("tender_number")), F.lit("")))
     return {
-        "evidence": new.select("evidence_id", "identity_hash", title.alias("title"), "source_url", F.col("evidence_date").alias("issue_date"), "institution"),
+        "evidence": new.select("evidence_id", "identity_hash", title.alias("title"), "source_url", F.col("evidence_date").alias("issue_date"), "institution", notes(F.col("outcome")).alias("public_notes")),
+        "locations": new.select("evidence_id", F.col("source_url").alias("url")),
         "links": new.select("evidence_id", "entity_id", F.lit("confirmed").alias("link_state")),
         "claims": disclosure_claims(new),
     }

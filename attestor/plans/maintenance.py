@@ -716,6 +716,8 @@ def disclosures(t):
     return disclosure_identity(rows)
 
 
+_NOTE = "Official government procurement disclosure. The B-BBEE level is exactly as reported in the source for this dated procurement. This is not a current verification certificate. No certificate number, expiry date or verification agency is inferred. "
+
 DISCLOSED = """
 dx as (select *, sha256('gpd:v1|https://t.example.org/'||(k%60)||'|'||coalesce(case when k%2=0 then 't'||(k%4) end,'')||'|kestrel '||(k%5)||'|2|'||coalesce(case when k%4<>0 then '2025-03' end,'')) h from orders_d),
 dn as (select *, 'evd_'||left(h,24) evidence_id from (select *, row_number() over (partition by h order by k) rn from dx) where rn=1 and h not in (select h from dx where k%45=0))"""
@@ -723,7 +725,7 @@ dn as (select *, 'evd_'||left(h,24) evidence_id from (select *, row_number() ove
 
 @query(
     "disclosure_to_evidence",
-    f"with {DISCLOSED} select evidence_id, h identity_hash, 'Kestrel '||(k%5)||' — Level 2 reported in Council'||coalesce(case when k%2=0 then ' T'||(k%4) end,'') title, 'https://t.example.org/'||(k%60) source_url, case when k%4<>0 then '2025-03' end issue_date, 'Council' institution from dn",
+    f"with {DISCLOSED} select evidence_id, h identity_hash, 'Kestrel '||(k%5)||' — Level 2 reported in Council'||coalesce(case when k%2=0 then ' T'||(k%4) end,'') title, 'https://t.example.org/'||(k%60) source_url, case when k%4<>0 then '2025-03' end issue_date, 'Council' institution, '{_NOTE}The named supplier was recorded in an official awarded-tender or bidder-result publication.' public_notes from dn",
 )
 def disclosure_to_evidence(t):
     rows = disclosures(t)
@@ -731,6 +733,13 @@ def disclosure_to_evidence(t):
     return M.disclosure_to_evidence(rows, stored)["evidence"]
 
 
+@query("disclosure_to_evidence_locations", f"with {DISCLOSED} select evidence_id, 'https://t.example.org/'||(k%60) url from dn")
+def disclosure_to_evidence_locations(t):
+    rows = disclosures(t)
+    stored = rows.filter(F.col("ordinal") % 45 == 0).select(F.col("identity_hash").alias("content_hash"))
+    return M.disclosure_to_evidence(rows, stored)["locations"]
+
+
 @query(
     "disclosure_to_evidence_claims",
     f"""with {DISCLOSED} select evidence_id, x.f field_key, x.r raw_value, x.n normalized_value from (select evidence_id, unnest([{{'f':'document_type','r':'government_procurement_disclosure','n':'government_procurement_disclosure'}},{{'f':'measured_entity','r':'Kestrel '||(k%5),'n':'Kestrel '||(k%5)}},{{'f':'legal_entity_name','r':'Kestrel '||(k%5),'n':'Kestrel '||(k%5)}},
@@ -954,9 +963,6 @@ def import_corpus_sources(t):
     return imported(t, "sources")
 
 
-_NOTE = "Official government procurement disclosure. The B-BBEE level is exactly as reported in the source for this dated procurement. This is not a current verification certificate. No certificate number, expiry date or verification agency is inferred. "
-
-
 @query(
     "import_corpus_evidence",
     f"""with {BATCH} select distinct 'evd_'||left(h,24) id, 'government_procurement_disclosure' evidence_type, case when g%3=0 then 'Award of 3 March 2025' else nm||' — Level '||(1+g%8)||' reported in Department '||(g%17)||' '||tender end title, url source_url, 'tenders.example.org' source_domain, h content_hash,

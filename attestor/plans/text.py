@@ -340,6 +340,30 @@ def salvage_names(t):
     return t.raw("customer").select(k.alias("id"), S.salvage_name(I.pick(SALVAGE, k)).alias("name"))
 
 
+MUNICIPAL = [
+    "N/A Kestrel {k} Works (Pty) Ltd",
+    "Financial Services & Risk Management  Heron {k} CC",
+    "MLM/SCM/12/2024 R 1 200,50 Kestrel {k}",
+    "K2021123456 (SA) Pty) Ltd t/a Heron Tiles {k}",
+    "K2021123456 t/a Plover {k} Glass",
+    "Wagtail {k} Works, a division of Heron",
+    "Kestrel {k} Civils (Pty) Ltd",
+    "Heron (Pty) Ltd Plover (Pty) Ltd {k}",
+    "Noisy Brand {k}",
+]
+
+
+@query(
+    "municipal_names",
+    """select c_custkey id, ['Kestrel '||c_custkey||' Works (Pty) Ltd','Heron '||c_custkey||' CC','Kestrel '||c_custkey,'Heron Tiles '||c_custkey,'Plover '||c_custkey||' Glass','Wagtail '||c_custkey||' Works, a division of Heron',
+          'Kestrel '||c_custkey||' Civils (Pty) Ltd','Heron (Pty) Ltd Plover (Pty) Ltd '||c_custkey,'Noisy Brand '||c_custkey][c_custkey%9+1] as name, c_custkey%9 not in (1,6) noise, c_custkey%9 in (5,7,8) still_noise from customer""",
+)
+def municipal_names(t):
+    raw = I.pick([I.with_key(m, F.col("c_custkey")) for m in MUNICIPAL], F.col("c_custkey"))
+    rows = t.raw("customer").select(F.col("c_custkey").alias("id"), raw.alias("raw"), S.municipal_name(raw).alias("name"))
+    return rows.select("id", "name", S.is_municipal_noise(F.col("raw"), ["noisy brand"]).alias("noise"), S.is_municipal_noise(F.col("name"), ["noisy brand"]).alias("still_noise"))
+
+
 @query(
     "name_quality",
     """select k id, k%10=4 joint_venture, k%10 in (5,7,9) malformed, k%20=9 short_legal, k%10=6 person,
