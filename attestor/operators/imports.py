@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from attestor.functions import dates as D
 from attestor.functions import names as N
 from attestor.functions import suppliers as S
-from attestor.operators.common import computed, join_known, stored
+from attestor.operators.common import computed, join_known, spread, stored
 from attestor.operators.documents import disclosure_identity
 from attestor.operators.graph import components, join_heavy
 from attestor.operators.resolve import find_existing_entity, unmerged
@@ -59,7 +59,7 @@ def prepared(items: DataFrame) -> DataFrame:
     """Items with clean names, comparable keys and the aliases they state."""
     known = {f.name: f.dataType for f in CORPUS_ITEM.fields} | {"allowHistoricalProcurement": "boolean"}
     columns = [F.col(c) if c in items.columns else F.lit(None).cast(kind).alias(c) for c, kind in known.items()]
-    rows = computed(items.select("ordinal", *columns), _c=S.clean_supplier(F.col("canonicalName")), _o=S.clean_spelling(F.col("canonicalName")))
+    rows = computed(spread(items.select("ordinal", *columns), "ordinal"), _c=S.clean_supplier(F.col("canonicalName")), _o=S.clean_spelling(F.col("canonicalName")))
     rows = rows.withColumn("name", F.coalesce("_c.canonical_name", F.lit("")))
     rows = computed(rows, name_key=F.coalesce(N.normalize_name(F.col("name")), F.lit("")), reg_key=F.nullif(N.normalize_registration(F.col("registrationNumber")), F.lit("")))
     rows = rows.select(

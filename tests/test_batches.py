@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions import names as N
 from attestor.operators import graph, imports
 from attestor.operators import lifecycle as L
+from attestor.operators import patches as patching
 from attestor.schemas import CORPUS_ITEM, Clock
 
 ENTITY = "id string, slug string, canonical_name string, normalized_name string, registration_number string, registration_number_normalized string, website string, legal_name string, trading_name string, merged_into_id string, visibility string"
@@ -247,3 +248,70 @@ def test_index_of_due_days_is_read_by_day(spark, tmp_path):
     due = index.filter((F.col("day") > F.lit(since)) & (F.col("day") <= F.lit(clock.as_of)))
     assert 0 < len(due.inputFiles()) and "PartitionFilters: [isnotnull(day" in due._jdf.queryExecution().executedPlan().toString()
     assert due.select("entity_id").distinct().count() < unmerged.count()
+
+
+def serial_patches(companies, aliases, patches):
+    """The loop over the patches: (entity, via, reason, new number) of each."""
+    number, names, added, out = {c: r for c, _, r in companies}, {}, {}, {}
+    for c, name, _ in companies:
+        names.setdefault(name, []).append(c)
+    for c, name in aliases:
+        added.setdefault(name, []).append(c)
+    stored = {k: min(v) for k, v in added.items()}
+    batch = {}
+    for o, name, reg, replace, alias in patches:
+        holders = [c for c, r in number.items() if r and r == reg]
+        by_name, by_alias = min(names.get(name, [None])), stored.get(name) or min(batch.get(name, [None]))
+        e = min(holders) if holders else by_name or by_alias
+        via = "registration_number" if holders else "canonical_name" if by_name else "alias" if by_alias else None
+        reason = new = None
+        if e is None:
+            reason = "not_found"
+        elif reg is not None:
+            may = number[e] is None or number[e] == replace
+            if may and any(c != e for c in holders):
+                reason = "registration_belongs_to_another_entity"
+            elif not may and number[e] != reg:
+                reason = "existing_registration_preserved"
+            elif may:
+                new = number[e] = reg
+        if e is not None and alias:
+            batch.setdefault(alias, []).append(e)
+        out[o] = (e, via, reason, new)
+    return out
+
+
+def test_identity_patches_on_few_numbers_and_names_match_the_loop(spark, tables):
+    """Numbers taken, given up and asked for many times: holders and aliases come from ordered passes, not from pairs."""
+    rng = random.Random(11)
+    regs = [f"20{i:02}/00000{i}/07" for i in range(1, 5)]
+    plain = lambda r: r and r.replace("/", "")
+    firms = [(str(i), f"works {'abc'[i % 3]}{i // 6}", rng.choice([*regs[:2], None, None])) for i in range(10, 40)]
+    tables = {**tables, "entities": spark.createDataFrame([company(i, n, r) for i, n, r in firms], ENTITY), "entity_aliases": tables["entity_aliases"].limit(0)}
+    patches = []
+    for o in range(-40, 110):
+        name = rng.choice([n for _, n, _ in firms[:12]] + ["nick one", "nick two"])
+        patches.append((o, name, rng.choice([*regs, None]), rng.choice([*regs, None]), rng.choice(["nick one", "nick two", None, None])))
+    rows = [(o, n, r, p, [a] if a else None) for o, n, r, p, a in patches]
+    rows = spark.createDataFrame(rows, "ordinal long, name string, registration string, replace_if string, aliases array<string>")
+    got = {r["ordinal"]: (r["entity_id"], r["via"], r["reason"], plain(r["new_registration"])) for r in patching.apply_batch(tables, rows)["results"].collect()}
+    assert got == serial_patches([(i, n, plain(r)) for i, n, r in firms], [], [(o, n, plain(r), plain(p), a) for o, n, r, p, a in patches])
+
+
+def test_what_comes_before_a_patch_is_found_without_pairs(spark):
+    n = 400
+    asked = spark.createDataFrame([(i, "x") for i in range(n)], "ordinal long, key string")
+    facts = spark.createDataFrame([(i * 2, "x", str(1000 - i)) for i in range(n)], "at long, key string, entity_id string")
+    for later in (False, True):
+        got = patching._extremes(asked, facts, "key", [F.min("entity_id")], later=later).toDF("ordinal", "low")
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        seen = {r["ordinal"]: r["low"] for r in got.collect()}
+        for o in (0, 1, 7, n - 1):
+            want = [str(1000 - i) for i in range(n) if (i * 2 >= o if later else i * 2 < o)]
+            assert seen[o] == min(want, default=None)
+    spans = [(rng.randrange(-70, 70), rng.randrange(0, 40)) for rng in [random.Random(5)] for _ in range(40)]
+    df = spark.createDataFrame([(a, a + w) for a, w in spans], "a long, b long").select("a", "b", F.explode(patching._blocks(F.col("a"), F.col("b"))).alias("x"))
+    covered = {}
+    for r in df.collect():
+        covered.setdefault((r["a"], r["b"]), set()).update(range(r["x"]["block"] << r["x"]["level"], (r["x"]["block"] + 1) << r["x"]["level"]))
+    assert covered == {(a, a + w): set(range(a, a + w + 1)) for a, w in spans}
