@@ -315,3 +315,14 @@ def test_what_comes_before_a_patch_is_found_without_pairs(spark):
     for r in df.collect():
         covered.setdefault((r["a"], r["b"]), set()).update(range(r["x"]["block"] << r["x"]["level"], (r["x"]["block"] + 1) << r["x"]["level"]))
     assert covered == {(a, a + w): set(range(a, a + w + 1)) for a, w in spans}
+
+
+def test_long_expressions_of_a_batch_run_in_many_tasks(spark, tables):
+    """A small file of many rows is one task; names are cleaned after the rows have been dealt."""
+    some = items(spark, [(i, {"canonicalName": f"Heron {i} Works"}) for i in range(50)]).coalesce(1)
+    patches = spark.createDataFrame([(i, f"heron {i}") for i in range(50)], "ordinal long, name string").coalesce(1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (imports.prepared(some), patching.prepared(patches)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [ordinal" in plan and plan.index("regexp_replace") < plan.index("RepartitionByExpression")
+        assert rows.rdd.getNumPartitions() == n
