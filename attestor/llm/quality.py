@@ -1,18 +1,23 @@
 """Quality by a word model with interpolated modified Kneser-Ney smoothing.
 
-A model of three-word sequences is trained on trusted text: documents labelled
-1, a bounded number of them (``TRAIN_DOCS`` by expectation, of at most
-``TRAIN_CHARS`` characters).  Counts, counts of counts and discounts come from
-Spark joins over count tables dealt by sequence; the finished tables go to
-sorted hash arrays in shards.  Every document's sequences look up their counts
-there, whole texts, and give its perplexity.  A document is kept if its
-perplexity does not exceed a quantile of all trusted documents of its language
-that the model has not seen, times a margin.
+Models of three-word sequences are trained on trusted text: all words of all
+documents labelled 1.  Documents fall into two halves by their id, and a model
+is counted from each; a document is scored by the model of the other half, so
+that no model has seen what it scores and every trusted document serves both
+the counts and the thresholds.  Counts, counts of counts and discounts come
+from Spark joins over count tables dealt by sequence.
+
+A finished model is a table of (key, value), dealt into shards by the leading
+bits of the key.  Documents lie in blocks; a block asks each shard once for the
+keys of its distinct sequences, and the answers meet the block's texts again.
+Neither the driver nor a task holds a model.  A document is kept if its
+perplexity does not exceed a quantile of all trusted documents of its language,
+times a margin.
 
 Edge cases: a null or empty text has no words, a null perplexity and is kept; a
-language (null included) without unseen trusted text has no threshold and its
+language (null included) without trusted text has no threshold and its
 documents are kept; repeated labels of a document count as trusted only if all
-of them are 1; without any trusted text every perplexity is null.
+of them are 1; where the other half has no trusted text, the perplexity is null.
 """
 
 from __future__ import annotations
@@ -24,20 +29,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import annotated, hashed_words, lowered_table, mix, stored
+from attestor.llm.common import hashed_words, lowered_table, mix, stored
 
 #: Words are anything between ASCII white space; case counts.
 CASED = lowered_table(lambda b: b != 32 and not 9 <= b <= 13)
 CASED[65:91] = np.arange(65, 91)
 
-TRAIN_DOCS, TRAIN_CHARS = 2000, 20_000
 QUANTILE, MARGIN = 0.99, 1.25
+#: Bytes of text of one block of documents, and for each shard of the models.
+BLOCK, PER_SHARD = 2 << 20, 16 << 20
+LEAST_SHARDS = 256
 #: Hashes of one shard of the arrays.
 SHARD = 1 << 18
+_SPAN = 1 << 30
 _BEGIN = 1  # stands in front of the first word
 
-ADDED = "n_words long, log_prob double"
-
 
 def combined(*hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(hashes[0]), np.uint64)
@@ -117,50 +123,74 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality
 
 
 def chosen(n: int, train_docs: int) -> Column:
-    """Whether a trusted document is one of the training documents."""
-    span = 1 << 30
-    return F.pmod(F.xxhash64("doc_id"), F.lit(span)) < min(span // 2, int(span * train_docs / max(n, 1)))
+    """Whether a trusted document is one of about ``train_docs`` of ``n``, from the first half at most."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(_SPAN)) < min(_SPAN // 2, int(_SPAN * train_docs / max(n, 1)))
 
 
-def _discounted(grams: DataFrame, context: list[str], gram: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(sequence, share) and (context, weight) from (sequence, n) by joins of the count tables.
+def half() -> Column:
+    """0 or 1, by the id."""
+    return (F.pmod(F.xxhash64("doc_id"), F.lit(_SPAN)) >= _SPAN // 2).cast("int")
 
-    The three discounts of modified Kneser-Ney come from how many sequences
-    occur once, twice, three and four times.
-    """
-    times = {r["n"]: r["k"] for r in grams.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+
+def _counted(rows: DataFrame) -> dict[int, DataFrame]:
+    """(part, words, n) of sequences of three, two and one words from (part, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, words, ranges in hashed_words(batch.column(1), CASED):
+                one, two = with_history(words, ranges)
+                part = np.repeat(batch.column(0).to_numpy()[i : i + len(ranges) - 1], np.diff(ranges))
+                yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(two), one, words))], names=["part", "a", "b", "c"])
+
+    grams = rows.select("part", "text").mapInArrow(count, "part int, a long, b long, c long")
+    three = stored(grams.groupBy("part", "a", "b", "c").agg(F.count("*").alias("n")), "grams")
+    two = stored(three.groupBy("part", "b", "c").agg(F.count("*").alias("n")), "pairs")
+    return {3: three, 2: two, 1: two.groupBy("part", "c").agg(F.count("*").alias("n"))}
+
+
+#: Words before the last one, and all words, of the sequences of each order.
+LEVELS = {3: (["a", "b"], ["a", "b", "c"]), 2: (["b"], ["b", "c"]), 1: ([], ["c"])}
+
+
+def _cuts(times: dict[int, int]) -> list[float]:
+    """The three discounts of modified Kneser-Ney, from how many sequences occur once, twice, three and four times."""
     n1, n2, n3, n4 = (float(times.get(k, 0)) for k in range(1, 5))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     d1 = min(0.95, max(0.05, 1 - 2 * y * n2 / n1)) if n1 else 0.5
     d2 = min(1.9, max(d1, 2 - 3 * y * n3 / n2)) if n2 else d1
     d3 = min(2.9, max(d2, 3 - 4 * y * n4 / n3)) if n3 else d2
-    cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    totals = grams.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
-    shares = (grams.join(totals, context) if context else grams.crossJoin(F.broadcast(totals))).select(*gram, (F.greatest(F.lit(0.0), F.col("n") - cut) / F.col("total")).cast("float").alias("share"))
-    return shares, totals.select(*context, (F.col("cut") / F.col("total")).cast("float").alias("weight"))
+    return [d1, d2, d3]
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
-    """A model of the chosen trusted documents; None without any."""
-    ids = trusted_ids(labels)
-    ids = ids.filter(chosen(ids.count(), train_docs))  # bounded by train_docs
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") <= train_chars)
-    rows = rows.join(F.broadcast(ids), "doc_id").select("text")
+def _discounted(grams: DataFrame, context: list[str], gram: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(part, sequence, share) and (part, context, weight) from (part, sequence, n) by joins of the count tables."""
+    times = {0: {}, 1: {}}
+    for r in grams.filter("n <= 4").groupBy("part", "n").agg(F.count("*").alias("k")).collect():  # eight rows at most
+        times[r["part"]][r["n"]] = r["k"]
+    of = [F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3) for d1, d2, d3 in (_cuts(times[0]), _cuts(times[1]))]
+    cut = F.when(F.col("part") == 0, of[0]).otherwise(of[1])
+    on = ["part", *context]
+    totals = grams.groupBy(*on).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
+    # totals of all words are a row for each half
+    shares = grams.join(totals if context else F.broadcast(totals), on).select("part", *gram, (F.greatest(F.lit(0.0), F.col("n") - cut) / F.col("total")).cast("float").alias("share"))
+    return shares, totals.select(*on, (F.col("cut") / F.col("total")).cast("float").alias("weight"))
+
+
+def _trusted(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words, ranges in hashed_words(batch.column(0), CASED):
-                one, two = with_history(words, ranges)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.ascontiguousarray(two), one, words)], names=["a", "b", "c"])
 
-    grams = rows.mapInArrow(count, "a long, b long, c long").groupBy("a", "b", "c").agg(F.count("*").alias("n"))
-    three = stored(grams, "grams")
-    two = three.groupBy("b", "c").agg(F.count("*").alias("n"))
-    one = two.groupBy("c").agg(F.count("*").alias("n"))
+def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int) -> Model | None:
+    """A model in memory, for texts at hand, of about ``train_docs`` trusted documents of the first half; None without any.
+
+    ``judged`` does not use it: it takes all trusted text and holds no model.
+    """
+    ids = trusted_ids(labels)
+    counts = _counted(_trusted(docs, ids.filter(chosen(ids.count(), train_docs)), doc_id, text).withColumn("part", F.lit(0)))
     cols = lambda t, names: [t.column(n).to_numpy().view(np.uint64) for n in names]
     shares, weights, rest, kinds = {}, {}, 1.0, 0
-    for order, counts, context, gram in ((3, three, ["a", "b"], ["a", "b", "c"]), (2, two, ["b"], ["b", "c"]), (1, one, [], ["c"])):
-        share, weight = (x.toArrow() for x in _discounted(counts, context, gram))
+    for order, (context, gram) in LEVELS.items():
+        share, weight = (x.toArrow() for x in _discounted(counts[order], context, gram))
         if not share.num_rows:
             return None
         keys = cols(share, gram)
@@ -172,30 +202,120 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     return Model(shares, weights, rest, kinds)
 
 
-def perplexities(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """Each document as ``row`` with its words and the log-probability of all of them."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _keys(part: int, *words: np.ndarray) -> np.ndarray:
+    """Keys of sequences or contexts in the model of a half."""
+    return combined(np.full(len(words[0]), part + 2, np.uint64), *words)
+
+
+def _entries(found: DataFrame, words: list[str], value: str, weight: bool, bits: int) -> DataFrame:
+    """(shard, key, weight, value) of sequences with a share, or contexts with a weight."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            given = [x.view(np.uint64) for x in columns[1:-1]]
+            keys = np.where(columns[0] == 0, _keys(0, *given), _keys(1, *given))
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(64 - bits)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), weight)), batch.column(batch.num_columns - 1)], names=["shard", "key", "weight", "value"])
+
+    return found.select("part", *words, F.col(value).alias("value")).mapInArrow(work, "shard int, key long, weight boolean, value float")
+
+
+def modelled(rows: DataFrame, bits: int) -> tuple[DataFrame, dict[int, float]]:
+    """The models of both halves of (part, text) as one table of entries, and the floor of each for an unknown word."""
+    counts, tables, floor = _counted(rows), [], {}
+    for order, (context, gram) in LEVELS.items():
+        shares, weights = _discounted(counts[order], context, gram)
+        tables.append(_entries(shares, gram, "share", False, bits))
+        if context:
+            tables.append(_entries(weights, context, "weight", True, bits))
+        else:
+            kinds = counts[1].groupBy("part").count().join(weights, "part").collect()  # a row for each half
+            floor = {r["part"]: r["weight"] / (r["count"] + 1) for r in kinds}
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out, floor
+
+
+def _block_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts of a block, and the range of words of each text."""
+    words, ranges = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, w, r in hashed_words(texts, CASED):
+        words.append(w)
+        ranges.append(r[1:] + ranges[-1][-1])
+    return np.concatenate(words), np.concatenate(ranges)
+
 
-    def work(texts: pa.Array) -> list:
-        n, logs = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for i, j, words, ranges in hashed_words(texts, CASED):
-            n[i:j] = np.diff(ranges)
-            if held.value is not None:
-                logs[i:j] = held.value.log_probs(words, ranges)
-        return [pa.array(n), pa.array(logs, mask=np.full(len(texts), held.value is None))]
+def _sequences(part: int, words: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys, and for each word where its sequences and contexts are among them.
 
-    return annotated(docs, text, work, ADDED)
+    The places are those of (word), (one before), (one, word), (two, one), (two, one, word).
+    """
+    one, two = with_history(words, ranges)
+    asked = [_keys(part, words), _keys(part, one), _keys(part, one, words), _keys(part, two, one), _keys(part, two, one, words)]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    return keys, np.split(at, len(asked))
+
+
+def perplexities(docs: DataFrame, model: DataFrame, floor: dict[int, float], bits: int, blocks: int) -> DataFrame:
+    """doc_id, lang, n_words and log_prob of all words of (doc_id, lang, text), each by the model of the other half."""
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) * 2 + half()
+    dealt = docs.select(place.cast("int").alias("block"), "doc_id", "lang", "text")
+    other = lambda table: 1 - table.column("block")[0].as_py() % 2
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, _ = _sequences(other(table), *_block_words(table.column("text")))
+        edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        each = [(k, x.tobytes()) for k, x in enumerate(np.split(keys, edges)) if len(x)]
+        block = np.full(len(each), table.column("block")[0].as_py(), np.int32)
+        return pa.table([pa.array(block), pa.array([k for k, _ in each], pa.int32()), pa.array([x for _, x in each], pa.binary())], names=["block", "shard", "keys"])
+
+    def answer(asked: pa.Table, entries: pa.Table) -> pa.Table:
+        known, at = np.unique(entries.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        values = np.zeros((2, len(known) + 1), np.float32)  # shares and weights; the last is that of no entry
+        values[entries.column("weight").to_numpy().astype(int), at] = entries.column("value").to_numpy()
+        out = []
+        for x in asked.column("keys"):
+            keys = np.frombuffer(x.as_buffer(), np.uint64)
+            places = np.searchsorted(known, keys)
+            if len(known):
+                places[known[np.minimum(places, len(known) - 1)] != keys] = len(known)
+            out.append(values[:, places].tobytes())
+        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "found"])
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        words, ranges = _block_words(table.column("text"))
+        part, logs = other(table), np.zeros(len(words))
+        if len(words):
+            _, (word, before, pair, context, triple) = _sequences(part, words, ranges)
+            found = [np.frombuffer(x.as_buffer(), np.float32).reshape(2, -1) for x in answers.sort_by("shard").column("found")]
+            share, weight = np.concatenate(found, axis=1).astype(np.float64)
+            p = share[word] + floor.get(part, 1.0)
+            p = np.where(weight[before] > 0, share[pair] + weight[before] * p, p)  # a known context has a weight
+            p = np.where(weight[context] > 0, share[triple] + weight[context] * p, p)
+            logs = np.log(p)
+        sums = np.append(0, np.cumsum(logs))
+        n = pa.array(np.diff(ranges))
+        log_prob = pa.array(sums[ranges[1:]] - sums[ranges[:-1]], mask=np.full(len(n), part not in floor))
+        return pa.table([table.column("doc_id"), table.column("lang"), n, log_prob], names=["doc_id", "lang", "n_words", "log_prob"])
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, shard int, keys binary")
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block int, shard int, found binary")
+    added = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_words long, log_prob double"
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, added)
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold of the language, and whether the document is kept."""
-    model = trained(docs, labels, doc_id=doc_id, text=text, train_docs=train_docs)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    perplexity = F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words")))
-    found = stored(perplexities(slim, model).select("row.doc_id", "row.lang", "n_words", perplexity.alias("perplexity")), "perplexity")
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (max(LEAST_SHARDS, -(-size // PER_SHARD)) - 1).bit_length()
     ids = trusted_ids(labels)
-    unseen = found.join(ids.filter(~chosen(ids.count(), train_docs)), "doc_id")
-    limits = unseen.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    model, floor = modelled(_trusted(docs, ids, doc_id, text).select(half().alias("part"), "text"), bits)
+    scored = perplexities(slim, model, floor, bits, 1 + size // (2 * BLOCK))
+    perplexity = F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words")))
+    found = stored(scored.select("doc_id", "lang", "n_words", perplexity.alias("perplexity")), "perplexity")
+    limits = found.join(ids, "doc_id").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
     limits = limits.select(F.col("lang").alias("of"), "threshold")
     out = found.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")  # one row for each language
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

@@ -324,6 +324,58 @@ def test_modified_kneser_ney(spark):
         assert model.log_probs(words, ranges)[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_all_trusted_text_serves_the_models(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 500)
+    rng = random.Random(19)
+    some = lambda n: " ".join(rng.choice("a b c d e f g".split()) for _ in range(n))
+    texts = [some(rng.randrange(3, 30)) for _ in range(80)] + [some(12_000), some(15_000), None, "", "g zzz a"]  # two of over 20,000 characters
+    docs = spark.createDataFrame([(d, t, "ab"[d % 2]) for d, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trusted = {d for d in range(len(texts) - 1) if d % 3}
+    labels = spark.createDataFrame([(d, int(d in trusted)) for d in range(len(texts))], "doc_id long, quality int")
+    half = {r[0]: r[1] for r in docs.select("doc_id", quality.half()).collect()}
+    assert {half[80], half[81]} <= {0, 1} and len(set(half.values())) == 2
+
+    def model(part):
+        grams = Counter()
+        for d in trusted:
+            if half[d] == part:
+                w = ["<", "<", *(texts[d] or "").split()]
+                grams.update(zip(w, w[1:], w[2:], strict=False))
+        levels = {3: grams, 2: Counter(g[1:] for g in grams)}
+        levels[1] = Counter(g[1:] for g in levels[2])
+        cuts = {m: quality._cuts(Counter(c.values())) for m, c in levels.items()}
+        owns = {m: {} for m in levels}
+        for m, c in levels.items():
+            for g, n in c.items():
+                owns[m].setdefault(g[:-1], {})[g] = n
+
+        def p(gram):
+            m = len(gram)
+            if not m:
+                return 1 / (len(levels[1]) + 1)
+            own = owns[m].get(gram[:-1])
+            if not own:
+                return p(gram[1:])
+            cut, total, c = lambda n: cuts[m][min(n, 3) - 1], sum(own.values()), own.get(gram, 0)
+            return (max(0, c - cut(c)) if c else 0) / total + sum(map(cut, own.values())) / total * p(gram[1:])
+
+        return p
+
+    models = {part: model(1 - part) for part in (0, 1)}  # each half is scored by the model of the other
+    want = {}
+    for d, t in enumerate(texts):
+        w = ["<", "<", *(t or "").split()]
+        logs = [math.log(models[half[d]](g)) for g in zip(w, w[1:], w[2:], strict=False)]
+        want[d] = math.exp(-sum(logs) / len(logs)) if logs else None
+    found = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
+    assert len(found) == len(texts)
+    for d, r in found.items():
+        assert (r["perplexity"] is None) if want[d] is None else r["perplexity"] == pytest.approx(want[d], rel=1e-4)
+    for lang in "ab":  # of all trusted documents of the language
+        of = [want[d] for d in sorted(trusted) if "ab"[d % 2] == lang and want[d]]
+        assert all(r["threshold"] == pytest.approx(max(of) * quality.MARGIN, rel=1e-4) for r in found.values() if r["lang"] == lang)
+
+
 def test_junk_is_told_from_trusted_text(spark):
     sf = "/root/testdata/sf0.1"
     found = queries.op3_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int"))).collect()
