@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from attestor import views
 from attestor.functions import names as N
-from attestor.operators import graph, imports
+from attestor.operators import common, graph, imports, ranking
 from attestor.operators import lifecycle as L
 from attestor.operators import patches as patching
 from attestor.schemas import CORPUS_ITEM, Clock
@@ -326,3 +327,46 @@ def test_long_expressions_of_a_batch_run_in_many_tasks(spark, tables):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [ordinal" in plan and plan.index("regexp_replace") < plan.index("RepartitionByExpression")
         assert rows.rdd.getNumPartitions() == n
+
+
+def test_tasks_of_a_shuffle_grow_in_number_with_the_tables(spark, tmp_path, monkeypatch):
+    """Their size, and with it a task's memory and spill, stays the same."""
+    for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("events", "event_id")):
+        spark.range(100 if name == "lineitem" else 10).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{name}.parquet")
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = views.Tables(spark, str(tmp_path), store=True)
+    try:
+        tables.size_tasks()
+        assert common.shuffle_tasks(spark) == few  # small tables change nothing
+        monkeypatch.setattr(views, "ROWS_PER_TASK", 4)
+        tables.size_tasks()
+        assert common.shuffle_tasks(spark) == 25 and int(spark.conf.get("spark.sql.shuffle.partitions")) == few
+        rows = spark.range(1000).withColumn("key", F.col("id") % 50)
+        counts = rows.groupBy("key").count()
+        assert "hashpartitioning(key" in counts._jdf.queryExecution().executedPlan().toString() and ", 25)" in counts._jdf.queryExecution().executedPlan().toString()
+        assert common.spread(rows, "key").rdd.getNumPartitions() == 25
+        made = common.bucketed(rows, "wide", "id")
+        assert {r["data_type"] for r in spark.sql(f"describe extended {made}").collect() if r["col_name"] == "Num Buckets"} == {"25"}
+        assert spark.table(made).count() == 1000 and {r["count"] for r in counts.collect()} == {20}
+    finally:
+        spark.conf.unset(common.TASKS)
+
+
+def test_documents_without_an_entity_do_not_meet_in_one_task(spark):
+    tables = {
+        "evidence_entity_links": spark.createDataFrame([(1, 7, "confirmed"), (1, 8, "confirmed"), (2, 7, "candidate"), (3, 9, "confirmed"), (4, None, "confirmed")], "evidence_id long, entity_id long, link_state string"),
+        "entities": spark.createDataFrame([(7, "public", "A", "a"), (8, "hidden", "B", "b")], "id long, visibility string, canonical_name string, slug string"),
+    }
+    evidence = spark.range(1, 2001).withColumn("title", F.col("id").cast("string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        found = ranking.confirmed_entity(tables, evidence)
+        sizes = [len(x) for x in found.rdd.glom().collect()]
+        rows = sorted(tuple(r) for r in found.filter("id < 6").collect() if r["entity_id"] is not None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.columns == ["entity_id", "id", "title", "entity_name", "entity_slug"]
+    assert rows == [(7, 1, "1", "A", "a"), (8, 1, "1", None, None), (9, 3, "3", None, None)]
+    assert sum(sizes) == 2001 and max(sizes) < 1000  # one row more for the second link of a document
