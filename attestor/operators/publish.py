@@ -15,7 +15,7 @@ from attestor.functions import dates as D
 from attestor.functions import names as N
 from attestor.functions import quality as Q
 from attestor.operators.claims import working_claims
-from attestor.operators.common import any_where, computed, join_known, shared_folder, staged, top_per_group
+from attestor.operators.common import any_where, computed, join_known, shared_folder, staged, stored, top_per_group
 from attestor.operators.lifecycle import expiry_status, is_disclosure
 from attestor.schemas import COMPANY_DISCLOSURE_TYPES, PROCUREMENT, RECOGNISED_TYPES, STATE_FIELDS, STATUS_TYPES, Clock
 
@@ -258,13 +258,20 @@ def lock_overrides(incoming: DataFrame, locks: DataFrame) -> DataFrame:
     )
 
 
-def approved_claims(tables, approved: DataFrame) -> DataFrame:
+def claims_of(tables, documents: DataFrame) -> DataFrame:
+    """Working claims of some documents (evidence_id), told apart before runs and claims are put together."""
+    some = documents.select("evidence_id").distinct()
+    return working_claims({name: tables[name].join(some, "evidence_id", "left_semi") for name in ("extraction_runs", "extracted_claims")})
+
+
+def approved_claims(tables, approved: DataFrame, working: DataFrame | None = None) -> DataFrame:
     """Claims that approved certificates publish: plausible, own number, not locked away.
 
-    ``approved`` has (evidence_id, entity_id).
+    ``approved`` has (evidence_id, entity_id); ``working`` are the claims of
+    these documents, if they have been read already.
     """
     kinds = tables["evidence_raw"].select(F.col("id").alias("evidence_id"), "evidence_type")
-    claims = working_claims(tables)
+    claims = claims_of(tables, approved) if working is None else working
     claims = claims.filter(Q.plausible_claim(F.col("canonical_key"), F.col("value"))).select("evidence_id", F.col("canonical_key").alias("field_key"), "value", "claim_id")
     own = tables["entities"].filter(F.col("merged_into_id").isNull()).select(F.col("id").alias("entity_id"), "registration_number_normalized")
     rows = approved.join(kinds, "evidence_id").filter(~is_disclosure()).join(claims, "evidence_id").join(own, "entity_id")
@@ -316,13 +323,13 @@ def checked_approvals(tables, approved: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("review_status", "review_evidence", "has_item", "merged", "has_evidence")
 
 
-def publication_days(tables, approved: DataFrame) -> DataFrame:
+def publication_days(tables, approved: DataFrame, working: DataFrame | None = None) -> DataFrame:
     """Approved documents with the days they are published with.
 
     A certificate's own claims come before its stored days; a disclosure keeps
     its stored issue day and has no expiry.  A claim that is no day is passed over.
     """
-    claims = working_claims(tables)
+    claims = claims_of(tables, approved) if working is None else working
     day = F.regexp_extract(F.trim("value"), r"^\d{4}-\d{2}-\d{2}", 0).try_cast("date")
 
     def claimed(name: str) -> Column:
@@ -336,9 +343,10 @@ def publication_days(tables, approved: DataFrame) -> DataFrame:
     return rows.withColumns({"issue_date": issue, "expiry_date": expiry}).drop("c_issue", "c_expiry", "s_issue", "s_expiry")
 
 
-def supersede_previous(tables, approved: DataFrame, clock: Clock) -> DataFrame:
-    """Stored current documents that an approved primary document replaces."""
-    new = publication_days(tables, approved.select("evidence_id", "entity_id")).filter(F.col("evidence_type").isin(STATUS_TYPES))
+def supersede_previous(tables, approved: DataFrame, clock: Clock, days: DataFrame | None = None) -> DataFrame:
+    """Stored current documents that an approved primary document replaces; ``days`` are its publication days, if known."""
+    days = publication_days(tables, approved.select("evidence_id", "entity_id")) if days is None else days
+    new = days.filter(F.col("evidence_type").isin(STATUS_TYPES))
     # The newest approved document of an entity decides.
     newest = new.groupBy("entity_id").agg(F.max(F.struct("issue_date", "evidence_id")).alias("n"), any_where(F.col("issue_date").isNull()).alias("undated"))
     state = tables["entity_current_state"].filter(F.col("evidence_id").isNotNull()).select("entity_id", F.col("evidence_id").alias("previous_id"))
@@ -371,17 +379,20 @@ def publication_decisions(tables, approved: DataFrame, clock: Clock) -> dict[str
 
     checked: approvals and why one is refused; rows: accepted documents with
     their days and reported level; claims: those of accepted certificates;
-    superseded: documents they replace.
+    superseded: documents they replace.  Approvals are checked, and the claims
+    of accepted documents read, once for all of them.
     """
-    checked = checked_approvals(tables, approved)
+    checked = stored(checked_approvals(tables, approved), "publication-checked")
     pairs = checked.filter("error is null").select("evidence_id", "entity_id").distinct()
-    reported = working_claims(tables).filter((F.col("canonical_key") == "bee_level") & Q.plausible_claim(F.col("canonical_key"), F.col("value")))
+    working = stored(claims_of(tables, pairs).select("evidence_id", "claim_id", "canonical_key", "value"), "publication-claims")
+    days = stored(publication_days(tables, pairs, working), "publication-days")
+    reported = working.filter((F.col("canonical_key") == "bee_level") & Q.plausible_claim(F.col("canonical_key"), F.col("value")))
     reported = reported.groupBy("evidence_id").agg(F.max("value").alias("reported"))
     return {
         "checked": checked,
-        "rows": publication_days(tables, pairs).join(reported, "evidence_id", "left"),
-        "claims": approved_claims(tables, pairs),
-        "superseded": supersede_previous(tables, pairs, clock),
+        "rows": days.join(reported, "evidence_id", "left"),
+        "claims": approved_claims(tables, pairs, working),
+        "superseded": supersede_previous(tables, pairs, clock, days),
     }
 
 

@@ -370,3 +370,33 @@ def test_documents_without_an_entity_do_not_meet_in_one_task(spark):
     assert found.columns == ["entity_id", "id", "title", "entity_name", "entity_slug"]
     assert rows == [(7, 1, "1", "A", "a"), (8, 1, "1", None, None), (9, 3, "3", None, None)]
     assert sum(sizes) == 2001 and max(sizes) < 1000  # one row more for the second link of a document
+
+
+def test_a_publication_reads_the_claims_of_its_documents_once(spark, monkeypatch):
+    """Days, levels and claims of a batch come from one reading of claims, that of accepted documents only."""
+    from attestor.operators import publish
+    from attestor.schemas import STATE_FIELDS
+
+    run = "id string, evidence_id long, started_at string, success boolean"
+    claim = "id string, evidence_id long, extraction_run_id string, field_key string, edited_value string, normalized_value string, structured_value string, raw_value string, confidence double"
+    stated = [(1, "bee_level", "2"), (1, "issue_date", "2000-05-01"), (1, "expiry_date", "2001-04-30"), (2, "bee_level", "4"), (3, "bee_level", "5"), (None, "bee_level", "6")]
+    made = {
+        "evidence_raw": spark.createDataFrame([(1, "bee_certificate"), (2, "government_procurement_disclosure"), (3, "bee_certificate")], "id long, evidence_type string").withColumns({c: F.lit(None).cast("date") for c in ("issue_date", "expiry_date")}),
+        "entities": spark.createDataFrame([(7, None, None)], "id long, merged_into_id long, registration_number_normalized string"),
+        "review_items": spark.createDataFrame([], "id long, status string, evidence_id long"),
+        "extraction_runs": spark.createDataFrame([(f"r{i}", i, "2000-01-01", True) for i in (1, 2, 3, None)], run),
+        "extracted_claims": spark.createDataFrame([(f"c{n}", i, f"r{i}", f, None, v, None, v, 1.0) for n, (i, f, v) in enumerate(stated)], claim),
+        "field_overrides": spark.createDataFrame([], "entity_id long, field_key string, value string, locked boolean"),
+        "entity_current_state": spark.createDataFrame([], "entity_id long, evidence_id long, " + ", ".join(f"{f} string" for f in STATE_FIELDS)),
+    }
+    read = []
+    working = publish.working_claims
+    monkeypatch.setattr(publish, "working_claims", lambda tables: read.append(1) or working(tables))
+    approved = spark.createDataFrame([(1, 7, None), (1, 7, None), (2, 7, None), (3, 8, None)], "evidence_id long, entity_id long, review_item_id long")
+    out = publish.publication_decisions(made, approved, Clock())
+    rows = {r["evidence_id"]: (str(r["issue_date"]), str(r["expiry_date"]), r["reported"]) for r in out["rows"].collect()}
+    assert rows == {1: ("2000-05-01", "2001-04-30", "2"), 2: ("None", "None", "4")}
+    assert sorted(r["claim_id"] for r in out["claims"].collect()) == ["c0", "c1", "c2"]
+    assert [r["error"] for r in out["checked"].filter("error is not null").collect()] == ["Entity not found."]
+    assert out["superseded"].isEmpty() and len(read) == 1
+    assert publish.claims_of(made, approved.filter("evidence_id = 2")).select("claim_id").collect() == [("c3",)]
