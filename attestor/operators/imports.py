@@ -59,9 +59,14 @@ def prepared(items: DataFrame) -> DataFrame:
     """Items with clean names, comparable keys and the aliases they state."""
     known = {f.name: f.dataType for f in CORPUS_ITEM.fields} | {"allowHistoricalProcurement": "boolean"}
     columns = [F.col(c) if c in items.columns else F.lit(None).cast(kind).alias(c) for c, kind in known.items()]
-    rows = computed(spread(items.select("ordinal", *columns), "ordinal"), _c=S.clean_supplier(F.col("canonicalName")), _o=S.clean_spelling(F.col("canonicalName")))
-    rows = rows.withColumn("name", F.coalesce("_c.canonical_name", F.lit("")))
-    rows = computed(rows, name_key=F.coalesce(N.normalize_name(F.col("name")), F.lit("")), reg_key=F.nullif(N.normalize_registration(F.col("registrationNumber")), F.lit("")))
+    # every step in columns of its own: what a step reads would be worked out again wherever it is read
+    rows = computed(spread(items.select("ordinal", *columns), "ordinal"), _o=S.clean_spelling(F.col("canonicalName")), _reg=N.normalize_registration(F.col("registrationNumber")))
+    rows = computed(rows, _parts=F.struct(*[c.alias(n) for n, c in S.supplier_parts(F.col("_o")).items()]))
+    parts = {n: F.col(f"_parts.{n}") for n in ("unit", "whole", "legal_part", "trade_part")}
+    rows = computed(rows, _n=F.struct(*[c.alias(n) for n, c in S.supplier_names(F.col("_o"), **parts).items()]))
+    rows = computed(rows, name=F.coalesce("_n.canonical", F.lit("")), _key=N.normalize_name(F.col("_n.canonical")), _trade_key=N.normalize_name(F.col("_n.trade")))
+    trade = F.when(F.col("_trade_key") != F.col("_key"), F.col("_n.trade"))
+    rows = computed(rows, name_key=F.coalesce("_key", F.lit("")), reg_key=F.nullif("_reg", F.lit("")), _c=F.struct(trade.alias("trading_name"), F.col("_n.owner").alias("parent_name"), F.array_compact(F.array(trade)).alias("aliases")))
     rows = rows.select(
         "*",
         F.coalesce(_text("tradingName"), F.col("_c.trading_name")).alias("trading"),
@@ -70,7 +75,7 @@ def prepared(items: DataFrame) -> DataFrame:
     )
     stated = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("_c.aliases", F.array().cast("array<string>")), F.array("_o"))
     stated = F.filter(F.transform(stated, lambda a: F.trim(a)), lambda a: F.coalesce(a != "", F.lit(False)) & (N.normalize_name(a) != F.col("name_key")))
-    return rows.select("*", stated.alias("stated")).drop("_c", "_o")
+    return rows.select("*", stated.alias("stated")).drop("_c", "_o", "_reg", "_parts", "_n", "_key", "_trade_key")
 
 
 def disclosed(items: DataFrame) -> DataFrame:
@@ -124,12 +129,14 @@ def decided(tables, items: DataFrame, recent_year: int) -> DataFrame:
     own = tables["entities"].select(F.col("id").cast("string").alias("stored_id"), F.nullif(F.trim("registration_number"), F.lit("")).alias("stored_reg"))
     rows = items.join(found, "ordinal").join(procured, "ordinal", "left").transform(join_known, own, ["stored_id"], "ordinal")
     name, missing = F.col("name"), F.col("stored_id").isNull()
+    rows = computed(rows, _t=N.collapse(name), _given=N.collapse(F.col("canonicalName")))
+    rows = computed(rows, _core=S.core_words(F.col("_t")))
     rows = computed(
         rows,
-        joint=S.is_joint_venture(name) | S.is_joint_venture(F.col("canonicalName")),
-        bad=S.is_malformed(name) & ~S.is_short_legal_name(name, F.col("registrationNumber")),
+        joint=S.joint_venture(F.col("_t")) | S.joint_venture(F.col("_given")),
+        bad=S.malformed(F.col("_t"), F.col("_core")) & ~S.short_legal_name(F.col("_t"), F.col("registrationNumber")),
         valid_reg=F.when(~N.is_verifier_registration(F.col("registrationNumber")), N.format_registration(F.col("registrationNumber"))),
-    )
+    ).drop("_t", "_given", "_core")
     only_procurement = (F.coalesce(F.size("procurement"), F.lit(0)) > 0) & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0)
     old = only_procurement & ~(F.coalesce("newest_year", F.lit(0)) >= recent_year) & ~F.coalesce("allowHistoricalProcurement", F.lit(False))
     held = F.when(F.length(name) < 2, "no_name").when(F.col("joint"), "joint_venture").when(missing & F.col("bad"), "malformed").when(missing & old, "old_procurement")
@@ -306,7 +313,7 @@ def new_disclosures(tables, rows: DataFrame) -> dict[str, DataFrame]:
     stated = disclosed(rows.filter("entity_id is not null")).filter("fetchable").withColumnRenamed("name", "canonical_name").join(owner, "ordinal")
     stated = disclosure_identity(stated)
     known = tables["evidence_raw"].groupBy(F.col("content_hash").alias("identity_hash")).agg(F.min(F.col("id").cast("string")).alias("stored_evidence"), F.max(F.col("publication_state") == "published").alias("is_published"))
-    stated = stored(stated.join(known, "identity_hash", "left").withColumn("evidence_id", F.coalesce("stored_evidence", F.concat(F.lit("evd_"), F.substring("identity_hash", 1, 24)))), "import-disclosures")
+    stated = stored(stated.join(known.hint("merge"), "identity_hash", "left").withColumn("evidence_id", F.coalesce("stored_evidence", F.concat(F.lit("evd_"), F.substring("identity_hash", 1, 24)))), "import-disclosures")
     others = [c for c in stated.columns if c not in ("identity_hash", "ordinal", "position")]
     new = stated.filter("stored_evidence is null").groupBy("identity_hash").agg(F.min(F.struct("ordinal", "position", *others)).alias("d")).select("identity_hash", "d.*")
     level = F.coalesce(F.concat(F.lit("Level "), N.normalize_level(F.col("bee_level_raw")), F.lit(" reported")), F.lit("B-BBEE level as reported"))
@@ -318,7 +325,7 @@ def new_disclosures(tables, rows: DataFrame) -> dict[str, DataFrame]:
     )
     had = tables["evidence_entity_links"].select(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("entity_id").cast("string").alias("entity_id"))
     first = F.min(F.struct("ordinal", "canonical_name", "institution", F.col("stored_evidence").isNotNull().alias("again"))).alias("l")
-    links = stated.groupBy("evidence_id", "entity_id").agg(first).join(had, ["evidence_id", "entity_id"], "left_anti").select(
+    links = stated.groupBy("evidence_id", "entity_id").agg(first).join(had.hint("merge"), ["evidence_id", "entity_id"], "left_anti").select(
         "evidence_id", "entity_id", F.lit("confirmed").alias("link_state"), F.when(~F.col("l.again"), F.col("l.canonical_name")).otherwise("import").alias("extracted_name"), F.lit("import").alias("match_method"), F.lit(1.0).alias("confidence"),
         F.when(F.col("l.again"), "Procurement disclosure linked on re-import.").otherwise(F.concat(F.lit("Official procurement disclosure from "), F.coalesce("l.institution", F.lit("")), F.lit("."))).alias("reason"),
     )

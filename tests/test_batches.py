@@ -400,3 +400,24 @@ def test_a_publication_reads_the_claims_of_its_documents_once(spark, monkeypatch
     assert [r["error"] for r in out["checked"].filter("error is not null").collect()] == ["Entity not found."]
     assert out["superseded"].isEmpty() and len(read) == 1
     assert publish.claims_of(made, approved.filter("evidence_id = 2")).select("claim_id").collect() == [("c3",)]
+
+
+def test_names_of_an_import_are_cleaned_in_steps(spark, tables):
+    """A step that reads another has its result in a column; the rules are not copied into each other."""
+    from attestor.functions import suppliers as S
+
+    names = [None, "", "  ", "Kestrel Works - a division of Heron (pty) ltd.", "Kestrel t/a Heron t/a Plover", "Kestrel Ltd trading as Heron", "Kestrel t/a KESTREL", "a division of Heron", "x, a division of y t/a z", "‘Quoted’ Works ltd.", "t/a Heron"]
+    rows = imports.prepared(items(spark, [(i, {"canonicalName": n, "registrationNumber": "2001/000001/07" if i % 2 else None}) for i, n in enumerate(names)]))
+    once = spark.createDataFrame(list(enumerate(names)), "ordinal long, raw string").select("ordinal", S.clean_supplier(F.col("raw")).alias("c")).select("ordinal", "c.*")
+    want = {r["ordinal"]: r for r in once.collect()}
+    for r in rows.collect():
+        w = want[r["ordinal"]]
+        assert (r["name"], r["trading"], r["parent"]) == (w["canonical_name"] or "", w["trading_name"], w["parent_name"])
+        assert set(w["aliases"] or []) <= set(r["stated"])
+    assert [want[i]["trading_name"] for i in (3, 4, 5, 6)] == ["Kestrel Works", None, "Heron", None] and want[3]["parent_name"] == "Heron (Pty) Ltd"
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 0 < plan.count("division") <= 8 and plan.count("proprietary") <= 12
