@@ -42,6 +42,10 @@ HIDDEN, SIDES = 32, (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 512, 0.08
 #: Words whose neighbours are looked up at a time, and copies added up in one step.
 SCORED, COPIES = 65_536, 512
+#: Words scored at a time, so that their arrays stay in the processor's cache.
+CACHED = 8192
+#: Numbers no further apart than this can be lowered by one amount before they are exponents of single precision.
+NARROW = 80
 NOTHING = WORDS  # number of the place beyond either end
 
 #: Logarithms of counts are summed as whole numbers of this part.
@@ -121,80 +125,163 @@ class Network:
         self.squares = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
 
     def hidden(self, near: list[np.ndarray]) -> np.ndarray:
-        out = self.sides[0][near[0]]
+        out = self.sides[0].take(near[0], axis=0)
         for side in range(1, len(SIDES)):
-            out += self.sides[side][near[side]]
+            out += self.sides[side].take(near[side], axis=0)
         out += self.bend
         return np.tanh(out, out=out)
 
     def log_probs(self, near: list[np.ndarray], target: np.ndarray) -> np.ndarray:
         """Log-probability of each target: of its class, and of the word within it."""
-        h = self.hidden(near)
-        of, word = target % CLASSES, target // CLASSES
-        out = log_softmax(h @ self.class_w + self.class_b)[np.arange(len(h)), of]
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        h = h[order]
-        for c in range(CLASSES):
-            a, b = edges[c], edges[c + 1]
-            if a < b:
-                mine = order[a:b]
-                out[mine] += log_softmax(h[a:b] @ self.word_w[c] + self.word_b[c])[np.arange(b - a), word[mine]]
+        out = np.empty(len(target), np.float32)
+        for k in range(0, len(target), CACHED):
+            words, order, of, edges = by_class(target[k : k + CACHED])
+            h, at = self.hidden([x[k : k + CACHED][order] for x in near]), np.arange(len(words))
+            classes = h @ self.class_w
+            classes += self.class_b
+            chosen = classes[at, of]
+            chosen -= log_sums(classes)
+            inside = np.empty((len(words), PER_CLASS), np.float32)
+            for c in range(CLASSES):
+                np.matmul(h[edges[c] : edges[c + 1]], self.word_w[c], out=inside[edges[c] : edges[c + 1]])
+            inside += self.word_b.take(of, axis=0)
+            chosen += inside[at, words // CLASSES]
+            chosen -= log_sums(inside)
+            out[k + order] = chosen
         return out
 
     def _step(self, name: str, gradient: np.ndarray, rows=None) -> None:
+        """A step along ``gradient``, which is used up; of some rows only, if given."""
         squares, value = self.squares[name], getattr(self, name)
         if rows is None:
             squares += gradient * gradient
-            value -= RATE * gradient / np.sqrt(squares)
+            gradient /= np.sqrt(squares)
+            gradient *= RATE
+            value -= gradient
             return
         squares, value = squares.reshape(-1, HIDDEN), value.reshape(-1, HIDDEN)
-        now = squares[rows] + gradient * gradient
-        squares[rows] = now
-        value[rows] -= RATE * gradient / np.sqrt(now)
+        now = squares.take(rows, axis=0)
+        now += gradient * gradient
+        put_rows(squares, rows, now)
+        gradient /= np.sqrt(now, out=now)
+        gradient *= RATE
+        put_rows(value, rows, value.take(rows, axis=0) - gradient)
 
     def learn(self, near: list[np.ndarray], target: np.ndarray) -> None:
         """One step on a batch, with step sizes that shrink by the gradients seen."""
-        n = len(target)
+        n, at = len(target), np.arange(len(target))
+        target, order, of, edges = by_class(target)
+        near = [x[order] for x in near]
         h = self.hidden(near)
-        of, word = target % CLASSES, target // CLASSES
-        error = softmax(h @ self.class_w + self.class_b)
-        error[np.arange(n), of] -= 1
+        error = h @ self.class_w
+        error += self.class_b
+        error = softmax(error)
+        error[at, of] -= 1
+        error /= n
         back = error @ self.class_w.T
-        self._step("class_w", h.T @ error / n)
-        self._step("class_b", error.sum(axis=0) / n)
+        self._step("class_w", h.T @ error)
+        self._step("class_b", row_sums(error))
         # the targets of each class as a block of equal height, so that all classes go in one product
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        of, high = of[order], int(np.diff(edges).max())
-        place = np.arange(n) - edges[of]
-        blocks = np.zeros((CLASSES, high, HIDDEN), np.float32)
-        blocks[of, place] = h[order]
-        chances = softmax((blocks @ self.word_w + self.word_b[:, None])[of, place])
-        chances[np.arange(n), word[order]] -= 1
-        error = np.zeros((CLASSES, high, PER_CLASS), np.float32)
-        error[of, place] = chances
-        back[order] += (error @ self.word_w.transpose(0, 2, 1))[of, place]
-        self._step("word_w", blocks.transpose(0, 2, 1) @ error / n)
-        self._step("word_b", error.sum(axis=1) / n)
-        back *= (1 - h * h) / n
-        self._step("bend", back.sum(axis=0))
-        rows = np.concatenate([numbers + side * (WORDS + 1) for side, numbers in enumerate(near)]).astype(np.int16)
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        self._step("sides", np.add.reduceat(back[order % n], first, axis=0), rows[first])
+        high = int(np.diff(edges).max())
+        place = of * high + at - edges[of]
+        blocks, error = np.zeros((CLASSES, high, HIDDEN), np.float32), np.zeros((CLASSES, high, PER_CLASS), np.float32)
+        put_rows(blocks.reshape(-1, HIDDEN), place, h)
+        chances = (blocks @ self.word_w).reshape(-1, PER_CLASS).take(place, axis=0)
+        chances += self.word_b.take(of, axis=0)
+        chances = softmax(chances)
+        chances[at, target // CLASSES] -= 1
+        chances /= n
+        put_rows(error.reshape(-1, PER_CLASS), place, chances)
+        back += (error @ self.word_w.transpose(0, 2, 1)).reshape(-1, HIDDEN).take(place, axis=0)
+        self._step("word_w", blocks.transpose(0, 2, 1) @ error)
+        some = np.flatnonzero(edges[1:] > edges[:-1])
+        error = np.zeros((CLASSES, PER_CLASS), np.float32)
+        error[some] = np.add.reduceat(chances, edges[some], axis=0)
+        self._step("word_b", error)
+        h *= h
+        back -= back * h
+        self._step("bend", row_sums(back))
+        rows, sums = group_sums(back, np.concatenate([numbers + side * (WORDS + 1) for side, numbers in enumerate(near)]).astype(np.int16))
+        self._step("sides", sums, rows)
+
+
+def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Targets ordered by class, their order, their classes, and where each class begins and ends."""
+    order = np.argsort((target % CLASSES).astype(np.int8), kind="stable")
+    target = target[order]
+    of = target % CLASSES
+    return target, order, of, np.searchsorted(of, np.arange(CLASSES + 1))
+
+
+def put_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``into[rows] = values`` for rows that lie in one piece each, copied whole."""
+    kind = np.dtype((np.void, into.itemsize * into.shape[1]))
+    into.view(kind)[:, 0][rows] = values.view(kind)[:, 0]
+
+
+def row_sums(values: np.ndarray) -> np.ndarray:
+    return np.ones(len(values), values.dtype) @ values
+
+
+def group_sums(values: np.ndarray, groups: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct groups and the sums of their rows; row k of ``groups`` belongs to row k modulo the height of ``values``.
+
+    The first rows of all groups are added at once, then the second ones of
+    those that have two, and so on; what long groups have beyond ``few`` rows
+    is added group by group.
+    """
+    order = np.argsort(groups, kind="stable")
+    groups = groups[order]
+    order %= len(values)
+    first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    n = np.diff(np.append(first, len(groups)))
+    high = np.minimum(n, few + 1).astype(np.int8)
+    longest = np.argsort(-high, kind="stable")
+    first, n, high = first[longest], n[longest], -high[longest]
+    out = values.take(order[first], axis=0)
+    for k in range(1, few):
+        some = int(np.searchsorted(high, -k))  # those of more than k rows
+        if not some:
+            break
+        out[:some] += values.take(order[first[:some] + k], axis=0)
+    some = int(np.searchsorted(high, -few))
+    if some:
+        left = n[:some] - few
+        starts = np.cumsum(left) - left
+        at = np.arange(left.sum()) + np.repeat(first[:some] + few - starts, left)
+        out[:some] += np.add.reduceat(values.take(order[at], axis=0), starts, axis=0)
+    return groups[first].astype(np.intp), out
+
+
+def lowered(x: np.ndarray) -> np.ndarray | np.float32:
+    """Lowers each row of ``x`` in place so that its exponentials neither overflow nor vanish together, and returns by how much."""
+    if not x.size:
+        return np.float32(0)
+    top = x.max()
+    if top - x.min() > NARROW:
+        top = x.max(axis=1)
+        x -= top[:, None]
+    else:
+        x -= top
+    return top
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+    """Of each row, in place."""
+    lowered(x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def log_sums(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the summed exponentials of each row; ``x`` is used up."""
+    top = lowered(x)
+    np.exp(x, out=x)
+    out = x @ np.ones(x.shape[1], x.dtype)
+    np.log(out, out=out)
+    out += top
+    return out
 
 
 def vocabulary(docs: DataFrame, *, text: str = "text") -> Vocabulary:

@@ -426,6 +426,32 @@ def test_every_word_is_a_target_in_one_round(spark, monkeypatch):
     assert learned.value == 240
 
 
+def test_row_sums_of_a_batch_are_those_of_its_words_one_by_one():
+    rng = np.random.default_rng(4)
+    back = rng.normal(size=(300, pseudo_likelihood.HIDDEN)).astype(np.float32)
+    groups = np.concatenate([np.zeros(300), rng.integers(1, 9, 300), rng.integers(10, 400, 600)]).astype(np.int16)
+    rows, sums = pseudo_likelihood.group_sums(back, groups)
+    want = np.zeros((400, pseudo_likelihood.HIDDEN))
+    np.add.at(want, groups, back[np.arange(len(groups)) % 300])
+    assert sorted(rows.tolist()) == sorted(set(groups.tolist()))
+    np.testing.assert_allclose(sums, want[rows], atol=1e-4)
+
+
+def test_exponentials_of_distant_numbers_neither_overflow_nor_vanish():
+    x = np.array([[0, 1, 2], [-500, -501, -500], [500, 0, -500]], np.float32)
+    for rows in (x, x[:1]):
+        exact = np.exp(rows.astype(float) - rows.max(axis=1, keepdims=True))
+        np.testing.assert_allclose(pseudo_likelihood.softmax(rows.copy()), exact / exact.sum(axis=1, keepdims=True), rtol=1e-5, atol=1e-7)
+        np.testing.assert_allclose(pseudo_likelihood.log_sums(rows.copy()), rows.max(axis=1) + np.log(exact.sum(axis=1)), rtol=1e-5)
+
+
+def test_words_hashed_in_steps_have_the_same_hashes(monkeypatch):
+    texts = pa.array(["a bb ccc " * 20, None, "d" * 5000 + " e", "", "f"])
+    whole = [w.tolist() for _, _, w, _ in hashed_words(texts)]
+    monkeypatch.setattr("attestor.llm.common.HASHED", 3)
+    assert [w.tolist() for _, _, w, _ in hashed_words(texts)] == whole
+
+
 def test_words_of_one_bucket_have_their_own_shares(spark):
     frequent = [f"f{k}" for k in range(pseudo_likelihood.WORDS - pseudo_likelihood.RARE)]
     (_, _, found, _) = next(hashed_words(pa.array([" ".join(f"r{k}" for k in range(2000))])))
