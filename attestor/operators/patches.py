@@ -91,7 +91,7 @@ def _blocks(first: Column, last: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(61)), at))
 
 
-def _holders(rows: DataFrame, numbers: DataFrame, accepted: DataFrame) -> DataFrame:
+def _holders(rows: DataFrame, numbers: DataFrame, accepted: DataFrame, steps: DataFrame) -> DataFrame:
     """(ordinal, low, high): smallest and largest company that holds a patch's number when the patch comes.
 
     Companies whose number never changes are reduced to one row a number.  Of
@@ -102,8 +102,7 @@ def _holders(rows: DataFrame, numbers: DataFrame, accepted: DataFrame) -> DataFr
     lowest, highest = F.min("entity_id"), F.max("entity_id")
     still = numbers.join(accepted.select("entity_id").distinct().hint("merge"), "entity_id", "left_anti").filter("reg_key is not null")
     still = still.groupBy("reg_key").agg(lowest.alias("low"), highest.alias("high"))
-    until = F.coalesce(F.lead("since").over(W.partitionBy("entity_id").orderBy("since")), F.lit(LAST))
-    spans = _steps(numbers, accepted).withColumn("until", until).filter("reg_key is not null")
+    spans = steps.filter("reg_key is not null")
     asked = rows.filter("reg_key is not null and ordinal is not null").select("ordinal", "reg_key")
     early = spans.filter((F.col("since") == FIRST) & (F.col("until") < LAST)).select("reg_key", "entity_id", F.col("until").alias("at"))
     late = spans.filter((F.col("since") > FIRST) & (F.col("until") == LAST)).select("reg_key", "entity_id", F.col("since").alias("at"))
@@ -120,9 +119,10 @@ def _holders(rows: DataFrame, numbers: DataFrame, accepted: DataFrame) -> DataFr
 
 
 def _steps(numbers: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(entity_id, reg_key, since): the numbers, the stored one first, of the companies whose number changes."""
+    """(entity_id, reg_key, since, until): the numbers, the stored one first, of the companies whose number changes."""
     of = accepted.select("entity_id").distinct().hint("merge")
-    return numbers.join(of, "entity_id", "left_semi").select("entity_id", "reg_key", F.lit(FIRST).alias("since")).unionByName(accepted.select("entity_id", "reg_key", F.col("ordinal").alias("since")))
+    steps = numbers.join(of, "entity_id", "left_semi").select("entity_id", "reg_key", F.lit(FIRST).alias("since")).unionByName(accepted.select("entity_id", "reg_key", F.col("ordinal").alias("since")))
+    return steps.withColumn("until", F.coalesce(F.lead("since").over(W.partitionBy("entity_id").orderBy("since")), F.lit(LAST)))
 
 
 def _named(rows: DataFrame, key: str, indexes: tuple[DataFrame, DataFrame], added: DataFrame, out: str) -> DataFrame:
@@ -138,12 +138,16 @@ def _named(rows: DataFrame, key: str, indexes: tuple[DataFrame, DataFrame], adde
 
 
 def _round(rows: DataFrame, numbers: DataFrame, indexes: tuple[DataFrame, DataFrame], accepted: DataFrame, added: DataFrame) -> DataFrame:
-    """(ordinal, entity_id, via, reason, new_key) of every patch, given what earlier patches are thought to do."""
-    by_reg = _holders(rows, numbers, accepted)
+    """(ordinal, entity_id, via, reason, new_key) of every patch, given what earlier patches are thought to do.
+
+    What is read more than once is written once, so no join or pass is done twice.
+    """
+    steps = stored(_steps(numbers, accepted), "patch-steps")
+    by_reg = _holders(rows, numbers, accepted, steps)
     found = rows.select("ordinal", "reg_key", "registration", "formatted", "replace_key").join(by_reg.hint("merge"), "ordinal", "left").join(_named(rows, "name_key", indexes, added, "named").hint("merge"), "ordinal")
-    found = found.withColumn("entity_id", F.coalesce("low", "named"))
+    found = stored(found.withColumn("entity_id", F.coalesce("low", "named")), "patch-found")
     # of a company whose number changes: the last one before the patch
-    facts = _steps(numbers, accepted).select("entity_id", F.col("since").alias("at"), F.struct("since", "reg_key").alias("given"))
+    facts = steps.select("entity_id", F.col("since").alias("at"), F.struct("since", "reg_key").alias("given"))
     at = _extremes(found.filter("entity_id is not null").select("ordinal", "entity_id"), facts, "entity_id", [F.max("given")]).toDF("ordinal", "given")
     at = at.filter("given is not null").select("ordinal", F.lit(True).alias("changed"), F.col("given.reg_key").alias("now"))
     own = numbers.select("entity_id", F.col("reg_key").alias("stored"))
@@ -216,9 +220,12 @@ def apply_batch(tables, patches: DataFrame) -> dict[str, DataFrame]:
     had = tables["entity_aliases"].select(F.col("entity_id").cast("string").alias("entity_id"), "normalized_alias")
     new_aliases = alias.groupBy("entity_id", "normalized_alias").agg(F.min(F.struct("ordinal", "position", "alias")).alias("a")).join(had.hint("merge"), ["entity_id", "normalized_alias"], "left_anti").select("entity_id", "a.alias", "normalized_alias", F.lit("other").alias("alias_type"))
 
-    sector = some.select("ordinal", "entity_id", F.explode(F.array_distinct(F.filter("sectors", lambda x: ~x.isin(NON_INDUSTRY_SECTORS)))).alias("sector_id"), F.lit("sector").alias("classification_type"))
-    listing = some.filter("listed").select("ordinal", "entity_id", F.lit(LISTED).alias("sector_id"), F.lit("listing").alias("classification_type"))
-    classed = sector.unionByName(listing).join(tables["sectors"].select(F.col("id").alias("sector_id")), "sector_id", "left_semi")
+    # one list for both kinds: with a fixed id beside the join, Spark would compare pairs and send the listings to all tasks
+    class_of = lambda x, kind: F.struct(x.alias("sector_id"), F.lit(kind).alias("classification_type"))
+    sectors = F.transform(F.array_distinct(F.filter("sectors", lambda x: ~x.isin(NON_INDUSTRY_SECTORS))), lambda x: class_of(x, "sector"))
+    listing = F.when(F.col("listed"), F.array(class_of(F.lit(LISTED), "listing")))
+    stated = some.select("ordinal", "entity_id", F.explode(F.flatten(F.array_compact(F.array(sectors, listing)))).alias("c")).select("ordinal", "entity_id", "c.*")
+    classed = stated.join(tables["sectors"].select(F.col("id").alias("sector_id")).hint("merge"), "sector_id", "left_semi")
     keys = ["entity_id", "sector_id", "classification_type"]
     had = tables["entity_classifications"].select(F.col("entity_id").cast("string").alias("entity_id"), "sector_id", "classification_type")
 

@@ -318,6 +318,28 @@ def test_what_comes_before_a_patch_is_found_without_pairs(spark):
     assert covered == {(a, a + w): set(range(a, a + w + 1)) for a, w in spans}
 
 
+def test_listings_of_a_batch_are_joined_by_key_not_sent_to_all_tasks(spark, tables):
+    some = {**tables, "entities": spark.createDataFrame([company(i, f"heron {i}") for i in range(6)], ENTITY)}
+    rows = [(0, "heron 0", True, ["sec_bank", "sec_bank"]), (1, "heron 1", True, None), (2, "heron 2", False, ["sec_bank"]), (3, "heron 3", None, []), (4, "heron 0", True, ["sec_none"])]
+    some["sectors"] = spark.createDataFrame([("sec_jse",), ("sec_bank",)], "id string")
+    out = patching.apply_batch(some, spark.createDataFrame(rows, "ordinal long, name string, listed boolean, sectors array<string>"))
+    got = out["classifications"]
+    assert sorted(tuple(r) for r in got.collect()) == [("0", "sec_bank", "sector"), ("0", "sec_jse", "listing"), ("1", "sec_jse", "listing"), ("2", "sec_bank", "sector")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastExchange" not in plan
+
+
+def test_numbers_of_a_round_are_put_in_order_once(spark, tables, monkeypatch):
+    some, made = {**tables, "entities": spark.createDataFrame([company(0, "heron 0")], ENTITY)}, []
+    steps = patching._steps
+    monkeypatch.setattr(patching, "_steps", lambda numbers, accepted: made.append(1) or steps(numbers, accepted))
+    rounds = patching._round
+    ran = []
+    monkeypatch.setattr(patching, "_round", lambda *a: ran.append(1) or rounds(*a))
+    patching.apply_batch(some, spark.createDataFrame([(0, "heron 0", "2016/700000/07")], "ordinal long, name string, registration string"))
+    assert len(made) == len(ran) > 1
+
+
 def test_long_expressions_of_a_batch_run_in_many_tasks(spark, tables):
     """A small file of many rows is one task; names are cleaned after the rows have been dealt."""
     some = items(spark, [(i, {"canonicalName": f"Heron {i} Works"}) for i in range(50)]).coalesce(1)
