@@ -1,9 +1,13 @@
 """The operators against brute force, exact round trips and held-out accuracy."""
 
+import contextlib
 import math
+import os
 import random
 import re
 import string
+import threading
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -376,6 +380,49 @@ def test_all_trusted_text_serves_the_models(spark, monkeypatch):
         assert all(r["threshold"] == pytest.approx(max(of) * quality.MARGIN, rel=1e-4) for r in found.values() if r["lang"] == lang)
 
 
+def test_quality_sends_a_part_at_a_time(spark, monkeypatch):
+    """What lies on disk at any time is a part of what is sent in all, and nothing but the result stays."""
+    monkeypatch.setattr(quality, "BLOCK", 1 << 18)
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(20_000)]
+    texts = [" ".join(words[int(20_000 * rng.random() ** 3)] for _ in range(1000)) for _ in range(1200)]
+    docs = spark.createDataFrame([(d, t, "a") for d, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(d, int(d % 3 == 0)) for d in range(len(texts))], "doc_id long, quality int")
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tops = [f.getPath() for f in manager.localDirs()] + [os.path.dirname(shared_folder(spark, "x")).removeprefix("file:")]
+
+    def size():
+        total = 0
+        for top in tops:
+            for at, _, names in os.walk(top):
+                for name in names:
+                    with contextlib.suppress(OSError):
+                        total += os.path.getsize(f"{at}/{name}")
+        return total
+
+    seen, over, before = [], threading.Event(), size()
+
+    def watch():
+        while not over.wait(0.05):
+            seen.append(size() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = quality.judged(docs, labels)
+    finally:
+        over.set()
+        watcher.join()
+    held = sum(map(len, texts))
+    assert found.filter("perplexity is not null").count() == len(texts)
+    assert max(seen) < 4 * held
+    for _ in range(50):  # shuffle files go in the background
+        if (left := size() - before) < 0.1 * held:
+            break
+        time.sleep(0.1)
+    assert left < 0.1 * held
+
+
 def test_junk_is_told_from_trusted_text(spark):
     sf = "/root/testdata/sf0.1"
     found = queries.op3_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int"))).collect()
