@@ -618,7 +618,7 @@ def perplexities(docs: DataFrame, model: Counted, blocks: int, k: int, groups: i
 
             def shares(m: int, n: np.ndarray, of: np.ndarray | int) -> np.ndarray:
                 cut = np.append(0, cuts[m, part])[np.minimum(n, 3)]
-                return (np.maximum(0, n - cut) / of).astype(np.float32)
+                return (np.maximum(0, n - cut) / of).astype(np.float32).astype(np.float64)
 
             p, sums, weight = None, None, None  # sums and weights of the contexts of the words, for the level at hand
             for m, keys in asked.items():
